@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from tidemark.session import ship
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -13,7 +15,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    yield ship(session)
 
 
 @pytest.fixture(scope="session")
