@@ -1,19 +1,24 @@
 """Near-duplicate groups by HyperMinHash.
 
 One pass turns every text into a set of word shingles (64-bit hashes), a 128-bit digest
-of the set and 128 compressed registers: a shingle's top 7 bits choose the bucket, and of
-the smallest rest in a bucket a register keeps the leading-zero count (6 bits) and ten
-mantissa bits. Empty buckets borrow from filled ones by one fixed permutation per bucket.
-Four neighbouring registers are one 64-bit band key, so 32 keys a text: two sets at 0.8
-share none of them with probability (1 - 0.8^4)^32 = 5e-8.
-
-Equal sets form a class and only its smallest doc_id goes on. In each band bucket all
-members are compared with the smallest one (a hub, never all pairs); registers give an
-estimate of the similarity, corrected for registers that agree by chance, and pairs at
-least `threshold - margin` (five standard deviations) are confirmed on full sets. Members
-that are then still in another component than their hub are compared with the rest of
-their bucket, in blocks of bounded size, so every pair that shares a bucket is either
-confirmed, refused or already connected.
+of the set and 512 compressed registers: a shingle's top 9 bits choose the bucket, and of
+the smallest rest in a bucket a register keeps the leading-zero count (4 bits, saturating)
+and four mantissa bits. Empty buckets borrow from filled ones by one fixed order per
+bucket. Eight neighbouring registers are one 64-bit band key, so 64 keys a text: two sets
+at 0.8 share none of them with probability (1 - 0.8^8)^64 = 8e-6, and texts that have 3 %
+in common meet in a bucket with 1e-11, which holds for billions of texts.
+
+1. Equal sets form a class and only its smallest doc_id goes on.
+2. In each band bucket all members are compared with the smallest one (a hub, never all
+   pairs). Registers give an estimate of the similarity, corrected for registers that
+   agree by chance; pairs at `threshold - margin` (over five standard deviations) or more
+   are confirmed on full sets, and confirmed pairs give components.
+3. Pairs of hub and member estimated at LOOSE or more give families, in which texts may be
+   linked past their hub. In a family that is not one component yet, the members outside
+   its largest component are compared with all of it on full sets, in blocks of at most
+   about BLOCK by BLOCK texts, by counting common shingles as a matrix product; a block
+   returns at most one link for each text and component. Work there is the number of
+   such members times the family, inside tasks of bounded size; rows stay few.
 
 Cases: null or blank texts have n_shingles 0 and link with nothing; rows with a null
 doc_id take part in no link and have a null component_id and kept = true; rows that
@@ -31,36 +36,39 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import connected_components, long_matrix, staged
 from tidemark.llm.shingles import set_digest, shingle_set
 
-REGISTERS, ROWS, MANTISSA = 128, 4, 10
+REGISTERS, ROWS, MANTISSA = 512, 8, 4
 BANDS = REGISTERS // ROWS
-BLOCK = 512
-_BITS = np.uint64(57)  # what is left of a hash below the bucket number
-_ORDER = np.stack([np.random.default_rng(1000 + i).permutation(REGISTERS) for i in range(REGISTERS)])
+BLOCK, LOOSE = 512, 0.4
+_REST = 64 - 9  # bits of a hash below the bucket number
+_ORDER = np.stack([np.random.default_rng(1000 + i).permutation(REGISTERS) for i in range(REGISTERS)]).astype(np.int16)
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """128 registers (uint16) of sorted distinct hashes, at least one."""
-    bucket = (hashes >> _BITS).astype(np.int64)
+    """512 registers (uint8) of sorted distinct hashes, at least one."""
+    bucket = (hashes >> np.uint64(_REST)).astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))  # sorted: the first of a bucket is its minimum
-    rest = (hashes[first] & np.uint64((1 << 57) - 1)) | np.uint64(1)
+    rest = (hashes[first] & np.uint64((1 << _REST) - 1)) | np.uint64(1)
     bits = rest.astype(np.float64).view(np.uint64)
-    zeros = 57 + 1023 - (bits >> np.uint64(52)).astype(np.int64)
+    zeros = np.clip(_REST - 1 + 1023 - (bits >> np.uint64(52)).astype(np.int64), 0, 15)
     mantissa = ((bits >> np.uint64(52 - MANTISSA)) & np.uint64((1 << MANTISSA) - 1)).astype(np.int64)
-    out = np.zeros(REGISTERS, np.uint16)
+    out = np.zeros(REGISTERS, np.uint8)
     filled = np.zeros(REGISTERS, bool)
     at = bucket[first]
-    out[at], filled[at] = (zeros << MANTISSA | mantissa).astype(np.uint16), True
+    out[at], filled[at] = (zeros << MANTISSA | mantissa).astype(np.uint8), True
     empty = np.flatnonzero(~filled)
-    if len(empty):
-        lender = _ORDER[empty, filled[_ORDER[empty]].argmax(1)]
-        out[empty] = out[lender]
+    for reach in (16, REGISTERS):  # nearly all find a lender among the first
+        if len(empty):
+            lent = filled[_ORDER[empty, :reach]]
+            found = lent.any(1)
+            out[empty[found]] = out[_ORDER[empty[found], lent[found].argmax(1)]]
+            empty = empty[~found]
     return out
 
 
 def estimated(agree: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Jaccard estimate: the share of agreeing registers, less those expected to agree by chance.
 
-    A register cell near x is about x * 2^-10 / (2 ln 2) wide; integrating the two
+    A register cell near x is about x * 2^-MANTISSA / (2 ln 2) wide; integrating the two
     exponential densities over it gives the chance that different minima share a cell.
     """
     n_a, n_b = np.asarray(n_a, float), np.asarray(n_b, float)
@@ -69,7 +77,7 @@ def estimated(agree: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray
 
 
 def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest (16 bytes, null if the set is empty), bands (32 longs holding 128 registers)."""
+    """doc_id, n_shingles, digest (16 bytes, null if the set is empty), bands (64 longs holding 512 registers)."""
 
     def run(batches):
         for b in batches:
@@ -84,18 +92,18 @@ def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def _estimate(pairs: DataFrame, least: float) -> DataFrame:
-    """Of (a, b, n_a, n_b, bands_a, bands_b) the pairs estimated at `least` or more."""
+def _estimate(pairs: DataFrame) -> DataFrame:
+    """The estimated similarity of (a, b, n_a, n_b, bands_a, bands_b)."""
 
     def run(batches):
         for t in batches:
             if not t.num_rows:
                 continue
-            x, y = (long_matrix(t.column(i), BANDS).view(np.uint16) for i in (4, 5))
+            x, y = (long_matrix(t.column(i), BANDS).view(np.uint8) for i in (4, 5))
             e = estimated((x == y).sum(1), t.column(2).to_numpy(), t.column(3).to_numpy())
-            yield t.select([0, 1]).filter(pa.array(e >= least))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(e)], ["a", "b", "estimate"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long, estimate double")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -126,7 +134,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return joined.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.18) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: see the module for method and cases."""
     least = percent / 100 - margin
     sigs = staged(signatures(docs, shingle, id_col, text_col), "signatures")
@@ -146,53 +154,91 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             pairs = pairs.join(one.select(F.col("rep").alias(x), F.col("n").alias("n_" + x), F.col("bands").alias("bands_" + x)), x)
         return pairs.select("a", "b", "n_a", "n_b", "bands_a", "bands_b")
 
-    links = staged(_confirm(_estimate(with_registers(stars), least), texts, shingle, percent), "links")
+    stars = staged(_estimate(with_registers(stars)).where(F.col("estimate") >= min(LOOSE, least)), "stars")
+    links = staged(_confirm(stars.where(F.col("estimate") >= least).select("a", "b"), texts, shingle, percent), "links")
     component = connected_components(links)
-
-    # members that their hub did not reach meet the rest of their bucket
-    placed = staged(one.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
-    hubs = placed.select(F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
-    open_buckets = staged(buckets.where("size > 2").join(hubs, "hub"), "open")
-    member = placed.select("rep", "n", "component", "bands", F.posexplode("bands").alias("band", "key")).join(open_buckets, ["band", "key"])
-    loose = staged(member.where("component <> hub_component").select("band", "key", "rep", "n", "component", "bands", "size"), "loose")
-    if loose.take(1):
-        more = staged(_confirm(_within_buckets(placed, loose, least), texts, shingle, percent), "more")
-        links = links.union(more)
-        component = connected_components(links)
-        placed = one.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = one.select("rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    # texts that may be linked past their hub
+    family = connected_components(stars).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    member = staged(family.join(placed, "rep"), "members")
+    parts = member.groupBy("family", "component").agg(F.count("*").alias("size"))
+    main = parts.groupBy("family").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("n_all"))
+    main = main.select("family", F.col("main.component").alias("main"), "n_all", (F.col("n_all") - F.col("main.size")).alias("n_outside"))
+    open_ones = staged(main.where("n_outside > 0 AND n_all > 2"), "open")
+    if open_ones.take(1):
+        more = staged(_within_families(member, open_ones, texts, shingle, percent), "more")
+        component = connected_components(links.union(more))
+        placed = one.select("rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     of_set = staged(reps.select("digest", "rep").join(placed.select("rep", "component"), "rep").select("digest", "component"), "of_set")
     out = sigs.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
-def _within_buckets(placed: DataFrame, loose: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components in one bucket, one of them loose, estimated at `least` or more.
+def _within_families(member: DataFrame, families: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between members outside a family's main component and any member of another component.
 
-    A bucket is cut into blocks of about BLOCK members, its loose members again into
-    such blocks; one task compares one block with one block.
+    All members are dealt to blocks, and those outside the main component again; a task
+    compares one block of either kind.
     """
-    sized = loose.groupBy("band", "key").agg(F.count("*").alias("n_loose"), F.first("size").alias("n_all"))
-    sized = staged(sized.select("band", "key", F.ceil(F.col("n_loose") / BLOCK).cast("int").alias("nl"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("na")), "sized")
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    families = families.select("family", "main", blocks("n_all").alias("na"), blocks("n_outside").alias("no"))
+    own = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["band", "key", "rep", "n", "component", "bands"]
-    right = placed.select("rep", "n", "component", "bands", F.posexplode("bands").alias("band", "key")).join(sized, ["band", "key"])
-    right = right.select(*cols, own("na").alias("i"), every("nl").alias("j"))
-    left = loose.select(*cols).join(sized, ["band", "key"]).select(*cols, own("nl").alias("j"), every("na").alias("i"))
+    part = staged(member.join(families, "family").join(texts.withColumnRenamed("id", "rep"), "rep"), "parts")
+    right = part.select("family", "rep", "component", "text", own("na", 1).alias("i"), every("no").alias("j"))
+    left = part.where("component <> main").select("family", "rep", "component", "text", own("no", 2).alias("j"), every("na").alias("i"))
 
     def compare(l: pa.Table, r: pa.Table) -> pa.Table:
-        la, ra = l.column("rep").to_numpy(), r.column("rep").to_numpy()
         out_a, out_b = [], []
-        if len(la) and len(ra):
-            x, y = (long_matrix(t.column("bands").combine_chunks(), BANDS).view(np.uint16) for t in (l, r))
-            lc, rc, rn = l.column("component").to_numpy(), r.column("component").to_numpy(), r.column("n").to_numpy()
-            for k, n in enumerate(l.column("n").to_numpy()):
-                hit = (estimated((y == x[k]).sum(1), rn, n) >= least) & (rc != lc[k])
-                out_a.append(np.minimum(ra[hit], la[k]))
-                out_b.append(np.maximum(ra[hit], la[k]))
-        e = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([e, *out_a]), "b": np.concatenate([e, *out_b])})
-
-    by = ["band", "key", "i", "j"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "a long, b long").distinct()
+        if l.num_rows and r.num_rows:
+            ls, rs = ([shingle_set(x.as_py(), shingle) for x in t.column("text")] for t in (l, r))
+            both = common_counts(ls, rs)
+            ln, rn = (np.array([len(x) for x in s], np.int64) for s in (ls, rs))
+            lc, rc = (t.column("component").to_numpy() for t in (l, r))
+            hit = (100 * both >= percent * (ln[:, None] + rn[None, :] - both)) & (lc[:, None] != rc[None, :])
+            x, y = np.nonzero(hit)
+            first = np.unique(np.stack([x, rc[y]]), axis=1, return_index=True)[1]  # one link a text and component
+            out_a, out_b = l.column("rep").to_numpy()[x[first]], r.column("rep").to_numpy()[y[first]]
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    by = ["family", "i", "j"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "a long, b long")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], frequent: int = 8, width: int = 4096) -> np.ndarray:
+    """How many hashes each left set shares with each right set.
+
+    Hashes in `frequent` left sets or more are columns of a matrix product, `width` at a
+    time; the others are counted one by one.
+    """
+    tokens = np.concatenate(left)
+    row = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    words, code, n = np.unique(tokens, return_inverse=True, return_counts=True)
+    out = np.zeros((len(left), len(right)), np.int64)
+    r_tokens = np.concatenate(right)
+    r_row = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    if not len(words):
+        return out
+    at = np.minimum(np.searchsorted(words, r_tokens), len(words) - 1)
+    same = words[at] == r_tokens
+    r_code, r_row = at[same], r_row[same]
+    rank = np.cumsum(n >= frequent) - 1  # column of a frequent hash
+    often, r_often = n[code] >= frequent, n[r_code] >= frequent
+    lf, rf, lrow, rrow = rank[code[often]], rank[r_code[r_often]], row[often], r_row[r_often]
+    for start in range(0, int((n >= frequent).sum()), width):
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        inside, r_inside = (lf >= start) & (lf < start + width), (rf >= start) & (rf < start + width)
+        x[lrow[inside], lf[inside] - start] = 1
+        y[rrow[r_inside], rf[r_inside] - start] = 1
+        out += (x @ y.T).astype(np.int64)
+    order = np.argsort(code[~often], kind="stable")
+    lcode, lrow = code[~often][order], row[~often][order]
+    rcode, rrow = r_code[~r_often], r_row[~r_often]
+    for k in range(frequent - 1):  # the k-th left set that has the hash
+        pos = np.searchsorted(lcode, rcode) + k
+        ok = pos < len(lcode)
+        ok[ok] = lcode[pos[ok]] == rcode[ok]
+        np.add.at(out, (lrow[pos[ok]], rrow[ok]), 1)
+    return out
