@@ -4,15 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import minhash
+from tidemark.llm import decontaminate, linededup, minhash
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_chunks_removed", "chars_removed")
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2, percent=80)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Every window of item size around every shared shingle; in the smallest tables that takes seconds.
+_OP3 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) AS dn, unnest(range(0, len(w) - 4)) AS p, w FROM d),
+dh AS (SELECT doc_id, dn, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM ds),
+bs AS (SELECT item_id, len(w) AS bn, unnest(range(0, len(w) - 4)) AS q, w FROM b),
+bh AS (SELECT item_id, bn, s, count(*) AS weight FROM (SELECT item_id, bn, array_to_string(w[q + 1:q + 5], ' ') AS s FROM bs) GROUP BY ALL),
+hit AS (SELECT doc_id, dn, p, item_id, bn, s, weight FROM dh JOIN bh USING (s)),
+win AS (SELECT doc_id, item_id, bn, s, weight, unnest(range(greatest(0, p - bn + 5), least(p, dn - bn) + 1)) AS start_word FROM hit),
+shared AS (SELECT doc_id, item_id, bn, start_word, s, least(count(*), min(weight)) AS c FROM win GROUP BY doc_id, item_id, bn, start_word, s),
+scored AS (SELECT doc_id, item_id, start_word, bn AS n_words, sum(c) AS shared, bn - 4 AS n FROM shared GROUP BY doc_id, item_id, start_word, bn),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / (2.0 * n - shared) DESC, start_word) AS k FROM scored WHERE 100 * shared >= 80 * (2 * n - shared))
+SELECT doc_id, item_id, CAST(start_word AS INTEGER) AS start_word, CAST(n_words AS INTEGER) AS n_words, CAST(shared AS INTEGER) AS shared, CAST(shared AS DOUBLE) / (2 * n - shared) AS similarity FROM best WHERE k = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": _OP3}
