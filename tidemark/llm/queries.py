@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, linededup, minhash
+from tidemark.llm import decontaminate, linededup, minhash, packing, tokens
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is; executors find it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +27,24 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: Every window of item size around every shared shingle; in the smallest tables that takes seconds.

@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -21,33 +19,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, LONG, SLICE = 300_000, 64, 1 << 20
+CACHE, LONG, SLICE = 1_000_000, 64, 1 << 20
 
 #: Unicode white space, as the tokenizers' pattern language has it.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @lru_cache(maxsize=1)
-def _classes() -> tuple[str, str]:
-    """Character ranges of all letters and all numbers, for the re module, which has no \\p{L}."""
-    found = {"L": [], "N": []}
-    for kind, ranges in found.items():
-        start = None
-        for c in range(sys.maxunicode + 2):
-            inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
-            if inside and start is None:
-                start = c
-            elif not inside and start is not None:
-                ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-                start = None
-    return "".join(found["L"]), "".join(found["N"])
+def byte_level_pattern():
+    """How the byte-level tokenizer cuts a text before merging."""
+    import regex
+
+    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 @lru_cache(maxsize=1)
-def byte_level_pattern() -> re.Pattern:
-    """How the byte-level tokenizer cuts a text before merging."""
-    letters, numbers = _classes()
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{WHITE}{letters}{numbers}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+def _byte_letters() -> dict[int, str]:
+    """Byte-level models write a byte as a letter: printable Latin-1 as itself, the others as the letters from U+0100 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+def as_letters(data: bytes) -> str:
+    return data.decode("latin-1").translate(_byte_letters())
 
 
 @lru_cache(maxsize=4)
@@ -62,58 +57,61 @@ def tokenizer(path: str):
     return t, tuple(x.content for x in t.get_added_tokens_decoder().values())
 
 
+#: A word of Latin-1 letters and ASCII signs, without digits and apostrophes, needs no normalizer but lower case, and is cut into letters and signs.
+_EASY = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff!-&(-/:-@\[-`{-~]+\Z")
+_RUNS = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[!-&(-/:-@\[-`{-~]+")
+
+
 class WordIds(dict):
     """Ids (little-endian unsigned 32-bit bytes) of white-space separated words under a tokenizer that ignores white space and case."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer, self.special = tokenizer(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.runs: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; a null text is an empty one."""
-        plain = [bool(t) and not any(s in t for s in self.special) for t in texts]
-        cut = [t.encode("utf-8", "replace").lower() if p else b"" for t, p in zip(texts, plain)]
-        out = []
-        known = self.keys()
-        words_of = [None if len(b) > SLICE else b.split() for b in cut]
-        self.learn([w for ws in words_of if ws for w in ws if w not in known])
-        for text, p, body, ws in zip(texts, plain, cut, words_of):
-            if not p:
-                out.append(self.encode(text) if text else b"")
-            elif ws is not None:
-                out.append(self._joined(ws))
-            else:
-                out.append(b"".join(self._sliced(body)))
-        return out
-
-    def _joined(self, ws: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.__getitem__, ws))
-        except KeyError:  # the cache was emptied since
-            self.learn(ws)
-            return b"".join(map(self.__getitem__, ws))
-
-    def _sliced(self, body: bytes):
-        at = 0
-        while at < len(body):
-            end = min(len(body), at + SLICE)
-            while end < len(body) and body[end] not in b" \t\n\r\x0b\x0c":
-                end += 1
-            ws = body[at:end].split()
-            self.learn(ws)
-            yield self._joined(ws)
-            at = end
+    def _run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            if len(self.runs) >= CACHE:
+                self.runs.clear()
+            found = self.merge(run if run.isascii() else as_letters(run.encode()))
+            ids = self.runs[run] = np.array([x.id for x in found], "<u4").tobytes()
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        ids = b"".join(map(self._run, _RUNS.findall(text))) if len(text) <= LONG and _EASY.match(text) else self.encode(text)
+        if len(text) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids of a text; a null text is an empty one."""
+        if not text:
+            return b""
+        body = text.encode("utf-8", "replace").lower()
+        if b"<|" in body and any(x.lower().encode() in body for x in self.special):
+            return self.encode(text)
+        return b"".join(b"".join(map(self.__getitem__, part.split())) for part in _white_slices(body))
+
+
+def _white_slices(body: bytes):
+    """A long text in parts of about SLICE bytes, cut at white space."""
+    at = 0
+    while len(body) - at > SLICE:
+        end = at + SLICE
+        while end < len(body) and body[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        yield body[at:end]
+        at = end
+    yield body[at:] if at else body
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -132,11 +130,12 @@ class PieceCounts(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer, self.special = tokenizer(path)
+        self.merge = self.tokenizer.model.tokenize
         self.frequent: dict[str, int] = {}
         self.find = byte_level_pattern().findall
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        n = len(self.merge(as_letters(piece.encode("utf-8", "replace"))))
         if len(piece) <= LONG:
             if len(self) >= CACHE:
                 self.clear()
@@ -149,30 +148,22 @@ class PieceCounts(dict):
             self.frequent = frequent
             self.update(frequent)
 
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            self.update(self.frequent)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[p] = len(e.ids)
-
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         if any(s in text for s in self.special):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return sum(self._count(part) for part in _slices(text))
+        return sum(sum(map(self.__getitem__, self.find(part))) for part in _slices(text))
+
 
-    def _count(self, text: str) -> int:
-        return sum(map(self.__getitem__, self.find(text)))
+_BETWEEN = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 def _slices(text: str):
     """A long text cut before a space that follows a letter and precedes one: no piece spans such a place."""
     at = 0
     while len(text) - at > SLICE:
-        m = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])").search(text, at + SLICE)
+        m = _BETWEEN.search(text, at + SLICE)
         if not m:
             break
         yield text[at : m.start()]
@@ -209,8 +200,8 @@ def frequent_pieces(docs: DataFrame, path: str, text_col: str, size: int, sample
 
     top = sample.mapInArrow(pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
     found = [r["piece"] for r in top.collect()]
-    t, special = tokenizer(path)
-    return {p: len(e.ids) for p, e in zip(found, t.encode_batch_fast(found, add_special_tokens=False)) if p not in special}
+    counts = PieceCounts(path)
+    return {p: counts[p] for p in found}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", table_size: int = 16_384, sample_rows: int = 2_000) -> DataFrame:
@@ -230,17 +221,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         counts.use(table.value)
         for b in batches:
             texts = b.column(1).to_pylist()
-            n_bytes, n_tokens = [], []
-            for k in range(0, len(texts), 64):
-                part = texts[k : k + 64]
-                short = [t for t in part if t and len(t) <= SLICE and not any(s in t for s in counts.special)]
-                found = [counts.find(t) for t in short]
-                counts.learn({p for ps in found for p in ps}.difference(counts))
-                of = iter(found)
-                for t in part:
-                    n_bytes.append(len(t.encode("utf-8", "replace")) if t else 0)
-                    known = t and len(t) <= SLICE and not any(s in t for s in counts.special)
-                    n_tokens.append(sum(map(counts.__getitem__, next(of))) if known else counts.count(t))
+            n_bytes = [len(t.encode("utf-8", "replace")) if t else 0 for t in texts]
+            n_tokens = [counts.count(t) for t in texts]
             n = pa.array(n_tokens, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), n, pa.array([x > limit for x in n_tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
