@@ -113,8 +113,6 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     pairs of one a next to each other, so its set is built once.
     """
     pairs = staged(pairs, "candidates")
-    some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = staged(texts.join(some, "id", "left_semi"), "texts")
     tb = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     ta = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
 
@@ -140,24 +138,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sigs = staged(signatures(docs, shingle, id_col, text_col), "signatures")
     reps = sigs.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     reps = staged(reps.where("rep IS NOT NULL"), "representatives")
-    # a doc_id that stands for two sets (rows that repeat it) has one row here
-    one = reps.dropDuplicates(["rep"])
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    keys = one.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = keys.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    buckets = staged(buckets, "buckets")
-    stars = keys.join(buckets, ["band", "key"]).where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    keys = reps.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    buckets = staged(buckets.select("key", "hub"), "buckets")
+    stars = staged(keys.join(buckets, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    some = staged(stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "some")
+    of_some = staged(reps.join(some, "rep", "left_semi").select("rep", "n", "bands"), "of_some")
 
     def with_registers(pairs: DataFrame) -> DataFrame:
         for x in "ab":
-            pairs = pairs.join(one.select(F.col("rep").alias(x), F.col("n").alias("n_" + x), F.col("bands").alias("bands_" + x)), x)
+            pairs = pairs.join(of_some.select(F.col("rep").alias(x), F.col("n").alias("n_" + x), F.col("bands").alias("bands_" + x)), x)
         return pairs.select("a", "b", "n_a", "n_b", "bands_a", "bands_b")
 
     stars = staged(_estimate(with_registers(stars)).where(F.col("estimate") >= min(LOOSE, least)), "stars")
+    # the only texts that are looked at again, fetched once
+    some = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = staged(texts.join(staged(some, "some"), "id", "left_semi"), "texts")
     links = staged(_confirm(stars.where(F.col("estimate") >= least).select("a", "b"), texts, shingle, percent), "links")
     component = connected_components(links)
-    placed = one.select("rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = reps.select("rep").distinct().join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     # texts that may be linked past their hub
     family = connected_components(stars).select(F.col("node").alias("rep"), F.col("component").alias("family"))
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     if open_ones.take(1):
         more = staged(_within_families(member, open_ones, texts, shingle, percent), "more")
         component = connected_components(links.union(more))
-        placed = one.select("rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = reps.select("rep").distinct().join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     of_set = staged(reps.select("digest", "rep").join(placed.select("rep", "component"), "rep").select("digest", "component"), "of_set")
     out = sigs.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
