@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash
+from tidemark.llm import decontaminate, linededup, minhash, packing, quality
 from tidemark.llm.common import staged
+from tidemark.llm.queries import tokenizer_path
+from tidemark.session import ship
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labels of these documents, does not reject."""
+    return quality.good_documents(docs, quality.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the chunks that an earlier document holds; a document that had text and has none left goes."""
+    found = linededup.dedup_lines(docs)
+    emptied = (F.col("n_chunks_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    short = found.where(~emptied)
+    return short.withColumn("n_chars", F.when(F.col("n_chunks_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +30,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's pieces with their places in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 STAGES = [
+    ("quality_classifier", quality_filter),
+    ("line_dedup", line_dedup),
     ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", pack),
 ]
 
 #: A boosted classifier and hash-cut chunks have no SQL form; tests compare the stages with brute force.
@@ -26,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
