@@ -10,7 +10,8 @@ only shares the hash stays.
 
 Only hashes are shuffled to find what repeats; the bytes of repeated chunks follow, and
 texts travel to their decisions compressed. A chunk in a third of all documents is one
-pre-aggregated row on one side and split by skew handling on the other.
+pre-aggregated row on one side and split by skew handling on the other; joins are sort-merge
+at every size, which is where Spark splits skew.
 
 Cases: a null text stays null and has no lines; an empty or one-line text stays as it is;
 \\r is part of its line; rows with equal doc_id and text are one document (all keep what
@@ -93,7 +94,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("d", "r", "no")).alias("first")).where("n > 1")
     repeated = staged(repeated.select("digest", "first"), "repeated")
     # rows that repeat a document bring the same places twice: one mark each is enough
-    marks = found.join(repeated, "digest").select("d", "r", "no", "digest", (F.struct("d", "r", "no") == F.col("first")).alias("first")).distinct()
+    marks = found.join(repeated.hint("merge"), "digest").select("d", "r", "no", "digest", (F.struct("d", "r", "no") == F.col("first")).alias("first")).distinct()
     marks = staged(marks.groupBy("d", "r").agg(F.collect_list(F.struct("no", "digest", "first")).alias("marks")), "marks")
 
     def packed(batches):
@@ -118,13 +119,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         right = right.withColumnsRenamed({"d": "d2", "r": "r2"})
-        return left.join(right, left["d"].eqNullSafe(right["d2"]) & (left["r"] == right["r2"]), how)
+        return left.join(right.hint("merge"), left["d"].eqNullSafe(right["d2"]) & (left["r"] == right["r2"]), how)
 
     carried = base.where("text IS NOT NULL").mapInArrow(packed, "d long, r long, z binary")
     bodies = same(carried, marks, "inner").select("d", "r", "z", "marks").mapInArrow(bytes_of_marks, "d long, r long, no int, digest binary, first boolean, body binary")
     bodies = staged(bodies, "bodies")
     firsts = bodies.where("first").select("digest", F.col("body").alias("first_body"))
-    gone = bodies.where("NOT first").join(firsts.dropDuplicates(["digest"]).transform(staged, "firsts"), "digest").where("body = first_body")
+    gone = bodies.where("NOT first").join(staged(firsts.dropDuplicates(["digest"]), "firsts").hint("merge"), "digest").where("body = first_body")
     gone = staged(gone.groupBy("d", "r").agg(F.collect_set("no").alias("gone")), "gone")
 
     keep = {c: f"c{i}" for i, c in enumerate(docs.columns)}
