@@ -1,7 +1,15 @@
-"""Every query over the shared tables, with its SQL counterpart."""
+"""Every query over the shared tables, with its SQL counterpart.
+
+A query's name starts with the inventory id that it applies.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "br01_bars_hourly"
+from importlib import import_module
+
+from tidemark.plans.register import ORACLE_SQL, QUERIES  # noqa: F401
+
+for _part in ("market", "windows", "joined", "cross_section", "outcomes", "tables", "features", "formulas", "streams"):
+    import_module(f"tidemark.plans.{_part}")
+
+FLAGSHIP = "pf03_daily_books"
