@@ -7,8 +7,8 @@ payloads (SHA-256 and length) of `least` bytes or more, the one with the smalles
 is a response, the others revisit it without a payload.
 
 Reading: every record begins with its version line and the archive's WARC-Warcinfo-ID, a
-random id of this write, so Spark splits files at those bytes wherever it likes and no
-task sees more than a chunk at a time. That gives the chunk table: a row for each record
+random id of this write, so Spark's line reader cuts the streams of gzip files at those bytes and
+no task holds more than a chunk at a time. That gives the chunk table: a row for each record
 identifier and chunk number. Records of one chunk are digested where they lie. The chunks
 of longer ones are dealt by record, sorted by number and streamed through one running
 SHA-256 each: a payload is never put together.
@@ -82,7 +82,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     )
     out = segments.select(F.concat(head.cast("binary"), block).cast("string").alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
     return archive
 
 
