@@ -22,8 +22,8 @@ def with_factors(daily: DataFrame, momentum: int = 20, label: int = 20) -> DataF
 
 
 def with_score(panel: DataFrame) -> DataFrame:
-    """Half momentum, half turnover, each as a z-score of the day."""
-    return panel.withColumn("score", 0.5 * cross_z("mom", "date") + 0.5 * cross_z("amount_z", "date"))
+    """Half momentum, half turnover, each as a z-score of the day; rounded, so that equal scores stay equal whatever the order of summing."""
+    return panel.withColumn("score", F.round(0.5 * cross_z("mom", "date") + 0.5 * cross_z("amount_z", "date"), 9) + 0.0)
 
 
 def books(scored: DataFrame, q: float = 0.2, least: int = 10) -> DataFrame:
@@ -44,7 +44,7 @@ def sector_scores(panel: DataFrame, industry: DataFrame, least_names: int = 1, l
     rows = panel.join(industry, "symbol").where("mom IS NOT NULL AND amount_z IS NOT NULL")
     s = rows.groupBy("date", "industry").agg(F.avg("mom").alias("mom"), F.avg("amount_z").alias("amount_z"), F.avg("book_ret").alias("book_ret"), F.count("*").alias("names")).where(F.col("names") >= least_names)
     s = s.withColumn("sectors", F.count("*").over(Window.partitionBy("date"))).where(F.col("sectors") >= least_sectors)
-    return s.withColumn("score", 0.5 * cross_z("mom", "date") + 0.5 * cross_z("amount_z", "date"))
+    return with_score(s)
 
 
 def turnover(weights: DataFrame, name: str) -> DataFrame:
@@ -78,4 +78,4 @@ def daily_ic(panel: DataFrame, feature: str, target: str, least: int = 10) -> Da
     rows = panel.where(F.col(feature).isNotNull() & F.col(target).isNotNull())
     rank = lambda c: F.rank().over(Window.partitionBy("date").orderBy(c)) + (F.count("*").over(Window.partitionBy("date", c)) - 1) / 2
     ranked = rows.select("date", rank(feature).alias("a"), rank(target).alias("b"))
-    return ranked.groupBy("date").agg(F.count("*").alias("n"), F.corr("a", "b").alias("ic")).where(F.col("n") >= least)
+    return ranked.groupBy("date").agg(F.count("*").alias("n"), (F.round(F.corr("a", "b"), 9) + 0.0).alias("ic")).where(F.col("n") >= least)
