@@ -17,6 +17,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def correlation(a: Column | str, b: Column | str, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation of the pairs without a null; null where one side is constant."""
+    a, b = _col(a), _col(b)
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    f = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    return f(F.covar_pop(a, b)) / F.nullif(f(F.stddev_pop(a)) * f(F.stddev_pop(b)), F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Frames:
     """Window functions for one key and order."""
@@ -99,7 +108,7 @@ class Frames:
     def corr(self, a, b, n: int) -> Column:
         a, b, w = _col(a), _col(b), self.past(n)
         both = a.isNotNull() & b.isNotNull()
-        return F.when(F.count(F.when(both, 1)).over(w) >= n, F.corr(a, b).over(w))
+        return F.when(F.count(F.when(both, 1)).over(w) >= n, correlation(a, b, w))
 
     def cov(self, a, b, n: int) -> Column:
         a, b, w = _col(a), _col(b), self.past(n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.frames import Frames, cross_z
+from tidemark.functions.frames import Frames, correlation, cross_z
 from tidemark.operators.joins import in_segments
 
 BY_DAY = Frames(("symbol",), ("date",))
@@ -78,4 +78,4 @@ def daily_ic(panel: DataFrame, feature: str, target: str, least: int = 10) -> Da
     rows = panel.where(F.col(feature).isNotNull() & F.col(target).isNotNull())
     rank = lambda c: F.rank().over(Window.partitionBy("date").orderBy(c)) + (F.count("*").over(Window.partitionBy("date", c)) - 1) / 2
     ranked = rows.select("date", rank(feature).alias("a"), rank(target).alias("b"))
-    return ranked.groupBy("date").agg(F.count("*").alias("n"), (F.round(F.corr("a", "b"), 9) + 0.0).alias("ic")).where(F.col("n") >= least)
+    return ranked.groupBy("date").agg(F.count("*").alias("n"), (F.round(correlation("a", "b"), 9) + 0.0).alias("ic")).where(F.col("n") >= least)

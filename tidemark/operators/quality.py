@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.frames import Frames
+from tidemark.functions.frames import Frames, correlation
 
 
 def normalized(rows: DataFrame, columns: list[str], by: list[str], method: str = "zscore") -> DataFrame:
@@ -87,7 +87,7 @@ def leakage(rows: DataFrame, columns: list[str], frames: Frames, ret: str, shift
     """Per column the correlation with the next return, and with the past one; suspect where the future is better known by far."""
     ahead = rows.withColumns({"_f": frames.lead(ret, shift), "_p": frames.lag(ret, shift)})
     long = ahead.unpivot(["_f", "_p"], columns, "column", "x")
-    out = long.groupBy("column").agg(F.corr("x", "_f").alias("future_corr"), F.corr("x", "_p").alias("past_corr"))
+    out = long.groupBy("column").agg(correlation("x", "_f").alias("future_corr"), correlation("x", "_p").alias("past_corr"))
     return out.withColumn("suspect", (F.abs("future_corr") > 0.5) | (F.abs("future_corr") > F.abs("past_corr") + 0.3))
 
 

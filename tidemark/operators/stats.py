@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import correlation
+
 
 def mean_rank(c: str, *keys: str) -> Column:
     """Rank with ties averaged among the rows of the keys."""
@@ -15,7 +17,7 @@ def rank_ic(rows: DataFrame, features: list[str], targets: list[str], least: int
     """Spearman correlation of each feature with each target, the count, and its t statistic."""
     long = rows.unpivot(targets, features, "feature", "x").unpivot(["feature", "x"], targets, "target", "y").where("x IS NOT NULL AND y IS NOT NULL")
     ranked = long.select("feature", "target", mean_rank("x", "feature", "target").alias("a"), mean_rank("y", "feature", "target").alias("b"))
-    out = ranked.groupBy("feature", "target").agg(F.count("*").alias("n"), F.corr("a", "b").alias("ic")).where(F.col("n") >= least)
+    out = ranked.groupBy("feature", "target").agg(F.count("*").alias("n"), correlation("a", "b").alias("ic")).where(F.col("n") >= least)
     return out.withColumn("t", F.col("ic") * F.sqrt((F.col("n") - 2) / (1 - F.col("ic") ** 2)))
 
 

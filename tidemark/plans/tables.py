@@ -228,7 +228,7 @@ def _(spark, d):
 
 
 @query("sc01_to_sc13_scalars", """SELECT event_id, TRY_CAST(props AS DOUBLE) AS bad_number, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(sign(value - 50) AS DOUBLE) AS s, ln(1 + value) AS l, least(greatest(value, 10), 90) AS clipped, 1 / (1 + exp(-(value - 50) / 10)) AS sigmoid,
-CAST(strftime(ts, '%G') AS INTEGER) * 100 + CAST(strftime(ts, '%V') AS INTEGER) AS iso_week, lpad(CAST(user_id AS VARCHAR), 6, '0') AS code, date_trunc('week', ts) AS week, CAST(epoch_ms(ts) AS BIGINT) AS ms, md5(event_type || ':' || CAST(event_id AS VARCHAR)) AS name, upper(event_type) LIKE '%ST%' AS has_st FROM events""")
+CAST(strftime(ts, '%G') AS INTEGER) * 100 + CAST(strftime(ts, '%V') AS INTEGER) AS iso_week, lpad(CAST(user_id AS VARCHAR), 6, '0') AS code, date_trunc('week', ts) AS week, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, md5(event_type || ':' || CAST(event_id AS VARCHAR)) AS name, upper(event_type) LIKE '%ST%' AS has_st FROM events""")
 def _(spark, d):
     v = F.col("value")
     return views.table(spark, d, "events").select(
