@@ -136,7 +136,7 @@ def _turning(p: Levels, n: int) -> str:
 
 FORMULAS: dict[str, Callable[[Levels], str]] = {
     "alpha001": lambda p: f"{p.rank(p.argmax(f'power(CASE WHEN {p.r} < 0 THEN {p.std(p.r, 20)} ELSE {p.c} END, 2)', 5))} - 5e-1",
-    "alpha002": lambda p: f"-{p.corr(p.rank(p.delta('ln(volume)', 2)), p.rank('(close - open) / open'), 6)}",
+    "alpha002": lambda p: f"-{p.corr(p.rank(f"round({p.delta('ln(volume)', 2)}, 9)"), p.rank('(close - open) / open'), 6)}",
     "alpha003": lambda p: f"-{p.corr(p.rank(p.o), p.rank(p.v), 10)}",
     "alpha004": lambda p: f"-{p.ts_rank(p.rank(p.l), 9)}",
     "alpha005": lambda p: f"{p.rank(f'open - {p.mean(p.vwap, 10)}')} * -abs({p.rank('close - vwap')})",
