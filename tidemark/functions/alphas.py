@@ -88,7 +88,7 @@ class Levels:
         """Percentile rank among a day's names that have a value, ties averaged."""
         x = self.level(x)
         day = f"PARTITION BY {self.time}"
-        return self.add(f"CASE WHEN {x} IS NOT NULL THEN round((rank() OVER ({day}, CASE WHEN {x} IS NULL THEN 1 ELSE 0 END ORDER BY {x}) + (count({x}) OVER ({day}, {x}) - 1) / 2e0) / count({x}) OVER ({day}), 9) END")
+        return self.add(f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER ({day}, CASE WHEN {x} IS NULL THEN 1 ELSE 0 END ORDER BY {x}) + (count({x}) OVER ({day}, {x}) - 1) / 2e0) / count({x}) OVER ({day}) END")
 
     def scale(self, x: str) -> str:
         x = self.level(x)
