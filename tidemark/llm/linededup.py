@@ -93,9 +93,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = staged(base.mapInArrow(hashes, "d long, r long, no int, digest binary"), "chunks")
     repeated = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("d", "r", "no")).alias("first")).where("n > 1")
     repeated = staged(repeated.select("digest", "first"), "repeated")
-    # rows that repeat a document bring the same places twice: one mark each is enough
-    marks = found.join(repeated.hint("merge"), "digest").select("d", "r", "no", "digest", (F.struct("d", "r", "no") == F.col("first")).alias("first")).distinct()
-    marks = staged(marks.groupBy("d", "r").agg(F.collect_list(F.struct("no", "digest", "first")).alias("marks")), "marks")
+    # as a set: rows that repeat a document bring the same places twice. Nothing here needs the rows of a hash
+    # together, so the join may be split where one hash is hot
+    marks = found.join(repeated.hint("merge"), "digest").select("d", "r", "no", "digest", (F.struct("d", "r", "no") == F.col("first")).alias("first"))
+    marks = staged(marks.groupBy("d", "r").agg(F.collect_set(F.struct("no", "digest", "first")).alias("marks")), "marks")
 
     def packed(batches):
         z = zstandard.ZstdCompressor(1)
