@@ -114,6 +114,22 @@ def test_line_dedup_equals_brute_force(spark, sf_dir):
     assert got == expected_lines([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_line_dedup_leaves_nothing_of_exact_copies(spark):
+    """Not by chunks(): of copies nothing may be left, and a long line or passage stays once."""
+    rng = np.random.default_rng(3)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    sizes = [[9] * n for n in range(2, 40)] + [[60], [9, 60], [60, 9], [9, 60, 9, 60], [60, 9, 9, 9], [9, 9, 60, 60, 9], [9] * 65, [9] * 129]
+    texts = ["\n".join(line(n) for n in s) for s in sizes] + ["\n\n".join(line(n) for n in s) for s in sizes]
+    rows = [(c * len(texts) + i, t) for c in range(3) for i, t in enumerate(texts)]
+    own, planted = [line(12) for _ in range(60)], line(70)
+    rows += [(10_000 + k, "\n".join([own[4 * k], own[4 * k + 1], planted, own[4 * k + 2], own[4 * k + 3]])) for k in range(15)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == t for i, t in enumerate(texts))
+    assert {i for i in range(len(texts), 3 * len(texts)) if got[i].strip()} == set()
+    assert [k for k in range(15) if planted in got[10_000 + k]] == [0]
+    assert all(x in "\n".join(got.values()) for x in own)
+
+
 def test_chunks_are_shift_resistant_and_lossless():
     body = [f"line {i * i % 97} of the body" for i in range(200)]
     one, two = "\n".join(body), "\n".join(["new", "lines", "ahead", *body])

@@ -1,19 +1,24 @@
 """Line dedup by content-defined chunks.
 
-A text is cut into lines; a rolling hash over the hashes of `WINDOW` neighbouring lines
-ends a chunk after a line where it is divisible by `divisor`, so the same run of lines is
-cut at the same places wherever it stands. A chunk has at least two lines and at most
-`longest`. Chunks with two or more non-blank lines are counted over all documents by a
-128-bit hash; of each repeated chunk the first occurrence (smallest doc_id, then smallest
-place) stays, and every other one goes if it equals that one byte for byte. A chunk that
-only shares the hash stays.
+A text is cut into lines; a rolling hash over the hashes of `WINDOW` neighbouring non-blank
+lines ends a chunk after a line where it is divisible by `divisor`, so the same run of lines
+is cut at the same places wherever it stands. A line of more than `WORDS` words is a chunk of
+its own, unless a single shorter line stands between it and the next such line or the end of
+the text: that line goes with it. Every other chunk has two to `longest` non-blank lines; what
+is left of one line at the end of a run goes into the chunk before. Blank lines between chunks
+belong to none and stay. Chunks of two or more non-blank lines or of more than `WORDS` words
+are counted over all documents by a 128-bit hash; of each repeated chunk the first occurrence
+(smallest doc_id, then smallest place) stays, and every other one goes if it equals that one
+byte for byte. A chunk that only shares the hash stays. So of a text that repeats another
+nothing but blank lines is left, unless it is one line of at most `WORDS` words.
 
 Only hashes are shuffled to find what repeats; the bytes of repeated chunks follow, and
 texts travel to their decisions compressed. A chunk in a third of all documents is one
 pre-aggregated row on one side and split by skew handling on the other; joins are sort-merge
 at every size, which is where Spark splits skew.
 
-Cases: a null text stays null and has no lines; an empty or one-line text stays as it is;
+Cases: a null text stays null and has no lines; an empty text, and one of a single line
+of at most `WORDS` words, stays as it is;
 \\r is part of its line; rows with equal doc_id and text are one document (all keep what
 one keeps), a null doc_id sorts first; no rows give no rows; other columns pass through
 whatever their names.
@@ -33,30 +38,65 @@ from tidemark.llm.common import staged
 from tidemark.llm.shingles import mixed
 
 WINDOW, DIVISOR, SHORTEST, LONGEST = 2, 2, 2, 64
+#: A line of more words is long.
+WORDS = 50
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _long(line: bytes) -> bool:
+    return len(line) > 2 * WORDS and len(line.split()) > WORDS
+
+
+def _runs(ends: np.ndarray, start: int, stop: int, longest: int) -> list[tuple[int, int]]:
+    """Ranges of SHORTEST to `longest` that cover start to stop, which are at least SHORTEST apart."""
+    out = []
+    for end in [*ends[(ends > start) & (ends < stop)].tolist(), stop]:
+        while end - start > longest:
+            out.append((start, start + longest))
+            start += longest
+        if end - start >= SHORTEST:
+            out.append((start, end))
+            start = end
+    if start < stop:  # one line is left
+        a, b = out.pop()
+        out += [(a, stop)] if b - a < longest else [(a, b - 1), (b - 1, stop)]
+    return out
+
+
 def cut(lines: list[bytes], divisor: int = DIVISOR, longest: int = LONGEST) -> list[tuple[int, int]]:
     """Half-open ranges of lines, in order, that cover all of them."""
-    n = len(lines)
-    if n <= SHORTEST:
-        return [(0, n)]
-    h = np.fromiter(map(xxh3_64_intdigest, lines), np.uint64, n)
+    full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+    n = len(full)
+    if not n:
+        return [(0, len(lines))]
+    h = np.fromiter((xxh3_64_intdigest(lines[i]) for i in full), np.uint64, n)
     with np.errstate(over="ignore"):
         roll = h.copy()
         for k in range(1, WINDOW):
             roll = roll * _P
             roll[k:] += h[:-k]
         ends = np.flatnonzero(mixed(roll) % np.uint64(divisor) == 0) + 1
-    out, start = [], 0
-    for end in [*ends.tolist(), n]:
-        while end - start > longest:
-            out.append((start, start + longest))
-            start += longest
-        if end - start >= SHORTEST or end == n and end > start:
-            out.append((start, end))
-            start = end
-    return out
+    long = [k for k, i in enumerate(full) if _long(lines[i])]
+    parts, at = [], 0  # of non-blank lines
+    for k in [*long, n]:
+        if k - at >= SHORTEST:
+            parts += _runs(ends, at, k, longest)
+            at = k
+        elif k > at and parts and parts[-1][1] - parts[-1][0] < longest:  # one short line goes with the long line before it
+            parts[-1] = (parts[-1][0], k)
+            at = k
+        if k < n:  # or, as the first, with the one after it
+            parts.append((at, k + 1))
+            at = k + 1
+    if at < n:
+        parts.append((at, n))
+    out, done = [], 0
+    for a, b in parts:
+        if full[a] > done:
+            out.append((done, full[a]))
+        done = full[b - 1] + 1
+        out.append((full[a], done))
+    return [*out, (done, len(lines))] if done < len(lines) else out
 
 
 def chunks(text: str, divisor: int, longest: int) -> list[bytes]:
@@ -66,9 +106,9 @@ def chunks(text: str, divisor: int, longest: int) -> list[bytes]:
 
 
 def _counts(chunk: bytes) -> bool:
-    """Whether a chunk has two non-blank lines."""
+    """Whether a chunk has two non-blank lines, or more than WORDS words."""
     head, sep, tail = chunk.strip().partition(b"\n")
-    return bool(sep and head and tail)
+    return bool(sep and head and tail) or _long(chunk)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, longest: int = LONGEST) -> DataFrame:
