@@ -130,6 +130,31 @@ def test_line_dedup_leaves_nothing_of_exact_copies(spark):
     assert all(x in "\n".join(got.values()) for x in own)
 
 
+def test_line_dedup_removes_every_later_passage(spark):
+    """Passages of over 50 words between neighbours that differ everywhere, with blank lines and cut anywhere."""
+    rng = np.random.default_rng(4)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    planted = [[line(n) for n in s] for s in ([51], [26, 25], [17, 17, 17], [50, 1], [1, 50], [3] * 17, [1] * 51, [40, 9, 9, 40])]
+    rows, own = [], []
+    for k, p in enumerate(planted):
+        for c in range(12):
+            own += [line(9), line(9), line(9)]
+            gap = "\n\n" if c % 3 == 2 else "\n"
+            rows.append((100 * k + c, "\n".join([own[-3], own[-2], gap.join(p), own[-1]] if c % 2 else [own[-3], gap.join(p), own[-2], own[-1]])))
+    short = [line(25), line(25)]
+    rows += [(5000 + c, "\n".join([line(9), short[0], line(9), short[1]])) for c in range(3)]
+    rows += [(6000, "\n".join(["again"] * 200))]
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), whole_passages=True).collect()}
+    for k, p in enumerate(planted):
+        assert got[100 * k].text.split("\n") == rows[12 * k][1].split("\n")
+        for c in range(1, 12):
+            assert not set(p) & set(got[100 * k + c].text.split("\n")) and got[100 * k + c].n_chunks_removed > 0
+    lines = [x for r in got.values() for x in r.text.split("\n")]
+    assert all(lines.count(x) == 1 for x in own) and all(lines.count(x) == 3 for x in short)
+    assert lines.count("again") >= 51
+    assert all(r.chars_removed == len(t) - len(got[i].text) for i, t in rows for r in [got[i]])
+
+
 def test_chunks_are_shift_resistant_and_lossless():
     body = [f"line {i * i % 97} of the body" for i in range(200)]
     one, two = "\n".join(body), "\n".join(["new", "lines", "ahead", *body])

@@ -12,6 +12,14 @@ are counted over all documents by a 128-bit hash; of each repeated chunk the fir
 byte for byte. A chunk that only shares the hash stays. So of a text that repeats another
 nothing but blank lines is left, unless it is one line of at most `WORDS` words.
 
+With `whole_passages`, copies that chunks miss go too: between other neighbours a passage is
+cut elsewhere at its ends. From every non-blank line the shortest run of more than `WORDS`
+words that begins with it and the one that ends with it are looked up by a 128-bit BLAKE2
+hash; any repeated passage of whole lines with more than `WORDS` words is made up of such
+runs, so all its copies but the first go, however they are cut (blank lines don't count, and
+equal hashes are taken for equal runs). Where a text overlaps its own first place only what
+lies behind that place goes.
+
 Only hashes are shuffled to find what repeats; the bytes of repeated chunks follow, and
 texts travel to their decisions compressed. A chunk in a third of all documents is one
 pre-aggregated row on one side and split by skew handling on the other; joins are sort-merge
@@ -26,6 +34,8 @@ whatever their names.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -65,7 +75,7 @@ def _runs(ends: np.ndarray, start: int, stop: int, longest: int) -> list[tuple[i
 
 def cut(lines: list[bytes], divisor: int = DIVISOR, longest: int = LONGEST) -> list[tuple[int, int]]:
     """Half-open ranges of lines, in order, that cover all of them."""
-    full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+    full = filled(lines)
     n = len(full)
     if not n:
         return [(0, len(lines))]
@@ -105,14 +115,32 @@ def chunks(text: str, divisor: int, longest: int) -> list[bytes]:
     return [b"\n".join(lines[a:b]) for a, b in cut(lines, divisor, longest)]
 
 
+def filled(lines: list[bytes]) -> list[int]:
+    """The places of the non-blank lines."""
+    return [i for i, x in enumerate(lines) if x and not x.isspace()]
+
+
+def passages(lines: list[bytes], words: int = WORDS) -> list[tuple[int, int]]:
+    """From each line the shortest run of more than `words` words that begins with it, and the one that ends with it."""
+    n = len(lines)
+    before = np.concatenate([[0], np.cumsum(np.fromiter((len(x.split()) for x in lines), np.int64, n))])
+    ends = np.searchsorted(before, before[:-1] + words, "right")
+    starts = np.searchsorted(before, before[1:] - words, "left") - 1
+    forward = {(a, b) for a, b in enumerate(ends.tolist()) if b <= n}
+    return sorted(forward | {(a, b + 1) for b, a in enumerate(starts.tolist()) if a >= 0})
+
+
 def _counts(chunk: bytes) -> bool:
     """Whether a chunk has two non-blank lines, or more than WORDS words."""
     head, sep, tail = chunk.strip().partition(b"\n")
     return bool(sep and head and tail) or _long(chunk)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, longest: int = LONGEST) -> DataFrame:
-    """All columns of docs with the text shortened, and n_chunks_removed (int), chars_removed (long)."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, longest: int = LONGEST, whole_passages: bool = False) -> DataFrame:
+    """All columns of docs with the text shortened, and n_chunks_removed (int; how many lost a line), chars_removed (long).
+
+    whole_passages: also every later copy of a run of whole lines with more than WORDS words goes.
+    """
     spark_id = F.col(f"`{id_col}`").cast("long")
     base = docs.select(spark_id.alias("d"), F.col(f"`{text_col}`").cast("string").alias("text"))
     base = base.select("d", F.xxhash64("text").alias("r"), "text")
@@ -167,7 +195,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bodies = staged(bodies, "bodies")
     firsts = bodies.where("first").select("digest", F.col("body").alias("first_body"))
     gone = bodies.where("NOT first").join(staged(firsts.dropDuplicates(["digest"]), "firsts").hint("merge"), "digest").where("body = first_body")
-    gone = staged(gone.groupBy("d", "r").agg(F.collect_set("no").alias("gone")), "gone")
+    gone = gone.select("d", "r", F.col("no").alias("a"), F.lit(-1).alias("b"))
+    if whole_passages:
+        gone = gone.union(_repeated_passages(base.where("text IS NOT NULL")))
+    gone = staged(gone.groupBy("d", "r").agg(F.collect_set(F.struct("a", "b")).alias("gone")), "gone")
 
     keep = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     whole = docs.toDF(*keep.values())
@@ -192,14 +223,47 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for body, drop in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 text = None if body is None else z.decompress(body).decode("utf-8", "surrogatepass")
                 left = text
+                lost = 0
                 if drop:
-                    without = set(drop)
-                    left = b"\n".join(c for k, c in enumerate(chunks(text, divisor, longest)) if k not in without).decode("utf-8", "surrogatepass")
+                    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+                    parts, full = cut(lines, divisor, longest), filled(lines)
+                    stays = np.ones(len(lines), bool)
+                    for m in drop:
+                        x, y = parts[m["a"]] if m["b"] < 0 else (full[m["a"]], full[m["b"] - 1] + 1)
+                        stays[x:y] = False
+                    lost = sum(not stays[x:y].all() for x, y in parts)
+                    left = b"\n".join(x for x, stay in zip(lines, stays) if stay).decode("utf-8", "surrogatepass")
                 texts.append(left)
-                n.append(len(drop or ()))
+                n.append(lost)
                 chars.append(len(text or "") - len(left or ""))
             cols = [b.column(i) for i in range(b.num_columns - 1)]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32()), pa.array(chars, pa.int64())], names=out.names)
 
     return joined.mapInArrow(shorten, out).toDF(*docs.columns, "n_chunks_removed", "chars_removed")
+
+
+def _repeated_passages(base: DataFrame) -> DataFrame:
+    """d, r, a, b: ranges of non-blank lines that an earlier text, or an earlier place of this one, holds. base: d, r, text."""
+
+    def hashes(batches):
+        for batch in batches:
+            row, first, end, digest = [], [], [], []
+            for i, text in enumerate(batch.column(2)):
+                lines = text.as_py().encode("utf-8", "surrogatepass").split(b"\n")
+                lines = [x for x in lines if x and not x.isspace()]
+                each = b"".join(blake2b(x, digest_size=16).digest() for x in lines)
+                for a, b in passages(lines):
+                    row.append(i)
+                    first.append(a)
+                    end.append(b)
+                    digest.append(blake2b(each[16 * a : 16 * b], digest_size=16).digest())
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.binary())], ["d", "r", "a", "b", "digest"])
+
+    found = staged(base.mapInArrow(hashes, "d long, r long, a int, b int, digest binary"), "passages")
+    repeated = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("d", "r", "a", "b")).alias("first")).where("n > 1")
+    marks = found.join(staged(repeated.select("digest", "first"), "repeated_passages").hint("merge"), "digest")
+    # a run that overlaps its own first place loses only what lies behind that
+    marks = marks.withColumn("a", F.expr("if(d <=> first.d AND r = first.r, greatest(a, first.b), a)")).where("a < b")
+    return marks.select("d", "r", "a", "b")

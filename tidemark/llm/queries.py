@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    found = linededup.dedup_lines(_table(spark, sf_dir, "documents"), whole_passages=True)
     return found.select("doc_id", "text", "n_chunks_removed", "chars_removed")
 
 
