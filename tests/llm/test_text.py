@@ -128,6 +128,24 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_without_white_space_and_rare_language(spark):
+    rng = np.random.default_rng(6)
+    signs = {"ja": [chr(0x3041 + i) for i in range(80)], "zh": [chr(0x4E00 + i) for i in range(300)], "th": [chr(0x0E01 + i) for i in range(46)]}
+    run = lambda lang, n: "".join(rng.choice(signs[lang], n))
+    en = lambda: " ".join(rng.choice(["the", "house", "of", "and", "river", "green"], 30))
+    rows = [(i, en(), "en") for i in range(400)] + [(400 + 40 * k + i, run(lang, 300), lang) for k, lang in enumerate(("ja", "zh")) for i in range(20)] + [(500 + i, run("th", 300), "th") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.trained(docs, max_rows=60)
+    assert model.languages == ["en", "ja", "th", "zh"]
+    assert [model.predict(run(x, 500))[0] for x in ("ja", "zh", "th")] == ["ja", "zh", "th"] and model.predict(en())[0] == "en"
+    assert model.predict(run("ja", 250) + run("zh", 3000))[0] == "zh" and model.predict(run("zh", 250) + run("ja", 3000))[0] == "ja"
+    assert len(model._row) < 20  # long tokens are not kept
+
+
+def test_shares():
+    assert langid.share([], 10) == 1 and langid.share([3, 4], 10) == 4 and langid.share([1, 100, 100], 11) == 5 and langid.share([5] * 9, 4) == 1
+
+
 def test_language_odd_rows(odd_docs, no_docs):
     model = langid.trained(odd_docs)
     rows = langid.identified(odd_docs, model).collect()

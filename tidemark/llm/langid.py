@@ -5,9 +5,12 @@ does not know falls back to its character 4-grams (with marks at both ends), the
 and 1-grams: the longest size with a known gram decides. The sums over all words, per
 square root of the word count, give a softmax whose largest part is the score.
 
-The frequencies are counted by Spark over at most `max_rows` labelled texts (smallest hash
-of doc_id, a documented bound); the most frequent words and grams, bounded by VOCABULARY,
-make the model that is broadcast (a few MB). Texts are scored where they lie, whole,
+The frequencies are counted by Spark over at most `max_rows` labelled texts: of each language
+the same number (smallest hash of doc_id), or all where it has fewer, so a rare language is
+learned as well; of each the most frequent words and grams, an equal part of VOCABULARY, make
+the model that is broadcast (a few MB). A word of more than WORD characters, as of a text
+without white space, has no entry of its own, but all its grams are learned, and it is scored
+by the longest known gram at each of its places. Texts are scored where they lie, whole,
 without a shuffle; a worker keeps the scores of words that it has seen.
 
 Cases: null texts and texts without a letter give `und` with score 0; a null lang is not
@@ -19,11 +22,12 @@ no rows give no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
@@ -31,6 +35,8 @@ from tidemark.llm.common import staged
 #: Kept entries by kind: 0 words, else grams of that many characters.
 VOCABULARY = {0: 30_000, 4: 15_000, 3: 8_000, 2: 2_000, 1: 500}
 CACHE = 400_000
+#: Longer words are no entries of their own, only their grams are; longer tokens are not cached.
+WORD, TOKEN = 40, 200
 _CORE = re.compile(r"[^\W\d_](?:.*[^\W\d_])?", re.S)
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -41,9 +47,9 @@ def core(token: str) -> str:
     return m.group().lower() if m else ""
 
 
-def grams(word: str, size: int) -> list[str]:
+def grams(word: str, size: int):
     marked = f"^{word}$" if size > 1 else word
-    return [marked[i : i + size] for i in range(len(marked) - size + 1)]
+    return (marked[i : i + size] for i in range(len(marked) - size + 1))
 
 
 @dataclass
@@ -61,12 +67,24 @@ class Model:
         known = self.scores[0].get(word)
         if known is not None:
             return known
+        if len(word) > WORD:
+            found = Counter(self._longest(f"^{word}$"))
+            return np.average([self.scores[len(g)][g] for g in found], axis=0, weights=list(found.values())) if found else none
         for size in (4, 3, 2, 1):
-            found = [s for g in grams(word[:200], size) if (s := self.scores[size].get(g)) is not None]
+            found = [s for g in grams(word, size) if (s := self.scores[size].get(g)) is not None]
             if found:
                 return np.mean(found, axis=0)
         return none
 
+    def _longest(self, marked: str):
+        """At each place the longest known gram."""
+        for i in range(len(marked)):
+            for size in (4, 3, 2, 1):
+                g = marked[i : i + size]
+                if len(g) == size and g in self.scores[size]:
+                    yield g
+                    break
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not _LETTER.search(text):
             return "und", 0.0
@@ -74,12 +92,16 @@ class Model:
         if self._rows is None or len(self._row) > CACHE:
             self._row, self._rows = {}, np.zeros((1024, len(self.languages)))
         row = self._row
-        for t in set(tokens).difference(row):
+        new = set(tokens).difference(row)
+        large = [t for t in new if len(t) > TOKEN]
+        for t in [*new.difference(large), *large]:
             if len(row) == len(self._rows):
                 self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
             self._rows[len(row)] = self.word_scores(t)
             row[t] = len(row)
         total = self._rows[np.fromiter(map(row.__getitem__, tokens), np.int64, len(tokens))].sum(0)
+        for t in large:  # the last rows
+            del row[t]
         part = np.exp((total - total.max()) / np.sqrt(len(tokens)))
         part /= part.sum()
         best = int(total.argmax())
@@ -91,21 +113,38 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 4 == 2, F.lit(False))
 
 
+def share(counts: list[int], total: int) -> int:
+    """The largest number that each may take at most so that all together take no more than total; 1 at least."""
+    left, n = total, len(counts)
+    for k, c in enumerate(sorted(counts)):
+        if c * (n - k) > left:
+            return max(1, left // (n - k))
+        left -= c
+    return max([1, *counts])
+
+
 def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 8_000) -> Model:
-    """Word and gram frequencies of at most max_rows labelled, not held-out texts."""
+    """Word and gram frequencies of at most max_rows labelled, not held-out texts (one of each language at least)."""
     ids = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    chosen = ids.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")).orderBy(F.xxhash64("id"), "id", "lang").limit(max_rows)
+    ids = ids.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"))
+    rows_of = [r["count"] for r in ids.groupBy("lang").count().collect()]  # one row a language
+    of_lang = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    chosen = ids.withColumn("place", F.row_number().over(of_lang)).where(F.col("place") <= share(rows_of, max_rows)).select("id", "lang")
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("lang", "text")  # at most max_rows pairs
 
     def count(batches):
         for b in batches:
             words: dict[tuple[str, str], int] = {}
+            tally: dict[tuple[int, str, str], int] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for w in map(core, text.split()):
-                    if w and len(w) <= 40:
+                    if w and len(w) <= WORD:
                         words[lang, w] = words.get((lang, w), 0) + 1
-            tally: dict[tuple[int, str, str], int] = {}
+                    elif w:
+                        for size in (1, 2, 3, 4):
+                            for g in grams(w, size):
+                                tally[size, g, lang] = tally.get((size, g, lang), 0) + 1
             for (lang, w), n in words.items():
                 tally[0, w, lang] = n
                 for size in (1, 2, 3, 4):
@@ -114,14 +153,15 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             kind, entry, lang = zip(*tally) if tally else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(entry, pa.string()), pa.array(lang, pa.string()), pa.array(list(tally.values()), pa.int64())], ["kind", "entry", "lang", "n"])
 
-    counted = rows.mapInArrow(count, "kind int, entry string, lang string, n long").groupBy("kind", "entry").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("total"))
-    counted = staged(counted.where("total > 1"), "counted")  # counted once for all kinds
+    counted = rows.mapInArrow(count, "kind int, entry string, lang string, n long").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n"))
+    counted = staged(counted, "counted")  # counted once for all kinds
     top = None
     for kind, size in VOCABULARY.items():
-        part = counted.where(F.col("kind") == kind).orderBy(F.desc("total"), "entry").limit(size)
+        of_lang = Window.partitionBy("lang").orderBy(F.desc("n"), "entry")
+        part = counted.where(F.col("kind") == kind).withColumn("place", F.row_number().over(of_lang)).where(F.col("place") <= max(1, size // max(1, len(rows_of))))
         top = part if top is None else top.union(part)
     # at most sum(VOCABULARY) entries, as columns: rows of Python objects would take many times the memory
-    found = top.select("kind", "entry", F.explode("by").alias("x")).select("kind", "entry", "x.lang", "x.n").toArrow()
+    found = counted.join(top.select("kind", "entry").distinct(), ["kind", "entry"], "left_semi").select("kind", "entry", "lang", "n").toArrow()
     langs = found["lang"].combine_chunks().dictionary_encode()
     languages = sorted(langs.dictionary.to_pylist())
     at = np.array([languages.index(x) for x in langs.dictionary.to_pylist()], np.int64)[langs.indices.to_numpy()] if len(languages) else np.zeros(0, np.int64)
@@ -133,7 +173,9 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         names = entries.dictionary.to_pylist()
         counts = np.zeros((len(names), len(languages)))
         np.add.at(counts, (entries.indices.to_numpy(), at[own]), n[own])
-        logs = np.log((counts + 0.5) / (np.maximum(1, counts.sum(0)) + 0.5 * max(1, len(names)))).astype(np.float32)
+        every = np.maximum(1, counts.sum(0))
+        least = 0.5 / every.max(initial=1)  # the same in all: a language of few texts must not rate what it lacks higher
+        logs = np.log((counts / every + least) / (1 + least * max(1, len(names)))).astype(np.float32)
         scores[kind] = dict(zip(names, logs))
     return Model(languages, scores)
 
