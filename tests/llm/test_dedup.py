@@ -214,6 +214,15 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminated(docs, bench, broadcast_rows=0).count() == len(got)
 
 
+def test_decontamination_of_short_documents_and_null_ids(spark):
+    w = [f"q{i}" for i in range(60)]
+    rows = [(1, " ".join(w[1:])), (2, " ".join(w[:-9])), (3, " ".join(w[6:-5])), (4, " ".join(w[:-12])), (5, " ".join(w[8:])), (None, "so " + " ".join(w)), (None, "a clean text"), (6, "another")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    got = {r.doc_id: (r.start_word, r.n_words, r.shared, r.similarity) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {1: (0, 59, 55, 55 / 56), 2: (0, 51, 47, 47 / 56), 3: (0, 49, 45, 45 / 56), 5: (0, 52, 48, 48 / 56), None: (1, 60, 56, 1.0)}
+    assert {(r.doc_id, r.text) for r in decontaminate.clean(docs, items).collect()} == {rows[3], rows[6], rows[7]}
+
+
 def test_decontamination_empty_tables(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "some words of an item to look for")], "item_id long, text string")
     assert decontaminate.contaminated(no_docs, bench).count() == 0

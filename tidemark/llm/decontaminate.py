@@ -9,7 +9,9 @@ c = ceil(2 n t / (1 + t)) of them in common. Hence
 1. Seeds: any n - c + 1 shingles of an item contain one that a matching window has; those
    that fewest items share are taken. Only around a seed that occurs in a document are
    windows laid, at its place in the item and up to n - c words before and after: every
-   word by which a passage is longer or shorter costs a shingle.
+   word by which a passage is longer or shorter costs a shingle. A document of fewer words
+   than the item is one window, as a whole; it may share as few as n t shingles, so for it
+   n - ceil(n t) + 1 of them are seeds, and its own number counts in the similarity.
 2. Equal windows are one. Each has a 64-bit SimHash of its weighted shingles; 24 blocks of
    bits index it and the items of the same size. Fingerprints within 23 bits agree in at
    least one block, so none of those is missed; at similarity 0.8 about 10 bits differ, and
@@ -73,16 +75,16 @@ def prepared_items(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     return base.select("*", F.expr(_simhash("s")).alias("item_f")).distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, item_id, start_word (from 0), n_words, shared, similarity: one row for each document and item that it holds."""
+def _matches(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+    """doc_id, r (hash of the text), item_id, start_word, n_words, shared, similarity: one row for each window that is similar enough."""
     t = percent / 100
     item = staged(prepared_items(items, item_id, item_text), "items")
     need = F.ceil(F.lit(2 * t / (1 + t)) * F.size("s") - 1e-9).cast("int")
-    placed = item.select("item_id", "words", "width", (F.size("s") - need).alias("slack"), F.posexplode("s").alias("at", "shingle"))
+    placed = item.select("item_id", "words", "width", (F.size("s") - need).alias("slack"), (F.size("s") - F.ceil(F.lit(t) * F.size("s") - 1e-9).cast("int")).alias("shorter"), F.posexplode("s").alias("at", "shingle"))
     spread = placed.groupBy("width", "shingle").agg(F.countDistinct("item_id").alias("shared_by"))
-    one = placed.groupBy("item_id", "words", "width", "slack", "shingle").agg(F.count("*").alias("weight"), F.collect_set("at").alias("ats")).join(spread, ["width", "shingle"])
+    one = placed.groupBy("item_id", "words", "width", "slack", "shorter", "shingle").agg(F.count("*").alias("weight"), F.collect_set("at").alias("ats")).join(spread, ["width", "shingle"])
     ahead = "coalesce(sum(weight) OVER (PARTITION BY item_id, words ORDER BY shared_by, shingle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    seeds = one.select("*", F.expr(ahead).alias("ahead")).where("ahead <= slack").select("width", "shingle", "words", "slack", F.explode("ats").alias("at")).distinct()
+    seeds = one.select("*", F.expr(ahead).alias("ahead")).where("ahead <= shorter").select("width", "shingle", "words", "slack", "shorter", (F.col("ahead") <= F.col("slack")).alias("near"), F.explode("ats").alias("at")).distinct()
     seeds = staged(seeds, "seeds")
     sizes = {r["width"]: r["n"] for r in seeds.groupBy("width").agg(F.count("*").alias("n")).collect()}  # at most SHINGLE rows
 
@@ -94,18 +96,20 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: s
         placed_words = hashed.where(f"size(h) >= {width}").select("doc_id", "r", "h", F.expr(f"posexplode(arrays_zip({runs}))").alias("at_word", "w"))
         run = [F.col("w").getField("h"), *(F.col("w").getField(str(k)) for k in range(1, width))]
         placed_words = placed_words.where(run[-1].isNotNull())
-        of_width = seeds.where(F.col("width") == width).select("shingle", "words", "slack", "at")
+        of_width = seeds.where(F.col("width") == width).select("shingle", "words", "slack", "shorter", "near", "at")
         of_width = F.broadcast(of_width) if n <= broadcast_rows else of_width
         hits = placed_words.withColumn("shingle", F.xxhash64(*run)).join(of_width, "shingle")
         # the stretch that holds all windows around this seed
         low = "greatest(0, at_word - at - slack)"
-        stretch = hits.select("doc_id", "r", "words", F.expr(low).alias("low"), F.expr(f"slice(h, {low} + 1, at_word - at + slack + words - {low})").alias("part"))
+        stretch = hits.where("near").select("doc_id", "r", "words", F.expr(low).alias("low"), F.expr(f"slice(h, {low} + 1, at_word - at + slack + words - {low})").alias("part"))
         stretch = stretch.where("size(part) >= words").distinct()
         win = stretch.select("doc_id", "r", "words", "low", "part", F.expr("explode(sequence(0, size(part) - words))").alias("k"))
         win = win.select("doc_id", "r", "words", (F.col("low") + F.col("k")).alias("start_word"), F.expr("slice(part, k + 1, words)").alias("h")).distinct()
-        windows = win if windows is None else windows.union(win)
+        # a document with fewer words than the item is a window as a whole
+        short = hits.where("size(h) < words AND size(h) >= words - shorter").select("doc_id", "r", "words", F.lit(0).alias("start_word"), "h").distinct()
+        windows = win.union(short) if windows is None else windows.union(win).union(short)
     if windows is None:
-        return hashed.where("false").select("doc_id", F.lit(None).cast(item.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0).alias("shared"), F.lit(0.0).alias("similarity"))
+        return hashed.where("false").select("doc_id", "r", F.lit(None).cast(item.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0).alias("shared"), F.lit(0.0).alias("similarity"))
     windows = staged(windows, "windows")
 
     contents = windows.select("h", "words").distinct()
@@ -115,15 +119,24 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: s
     right = item.select("item_id", "words", F.col("s").alias("item_s"), "item_f", F.expr(f"inline({_BLOCKS.replace('(f,', '(item_f,')})"))
     right = F.broadcast(right) if sum(sizes.values()) <= broadcast_rows else right
     near = left.join(right, ["words", "k", "v"]).where(f"bit_count(f ^ item_f) <= {RADIUS} AND k = {_FIRST_EQUAL}")
-    sure = near.select("h", "words", "item_id", F.size("s").alias("n"), F.expr(_SHARED).alias("shared")).where(f"100 * shared >= {percent} * (2 * n - shared)")
-    sure = staged(sure.select("h", "words", "item_id", "shared", (F.col("shared") / (2 * F.col("n") - F.col("shared"))).alias("similarity")), "sure")
+    sure = near.select("h", "words", "item_id", (F.size("s") + F.size("item_s")).alias("both"), F.expr(_SHARED).alias("shared")).where(f"100 * shared >= {percent} * (both - shared)")
+    sure = staged(sure.select("h", "words", "item_id", "shared", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity")), "sure")
     found = windows.join(sure, ["h", "words"])
-    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("before"), "words", "shared")).alias("best")
+    return found.select("doc_id", "r", "item_id", "start_word", F.size("h").alias("n_words"), "shared", "similarity")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, *args, **options) -> DataFrame:
+    """doc_id, item_id, start_word (from 0), n_words, shared, similarity: one row for each document and item that it holds.
+
+    Arguments as of _matches.
+    """
+    found = _matches(docs, items, *args, **options)
+    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("before"), "n_words", "shared")).alias("best")
     out = found.groupBy("doc_id", "item_id").agg(best)
-    return out.select("doc_id", "item_id", (-F.col("best.before")).alias("start_word"), F.col("best.words").alias("n_words"), F.col("best.shared").alias("shared"), F.col("best.similarity").alias("similarity"))
+    return out.select("doc_id", "item_id", (-F.col("best.before")).alias("start_word"), F.col("best.n_words").alias("n_words"), F.col("best.shared").alias("shared"), F.col("best.similarity").alias("similarity"))
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    bad = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without those that hold a benchmark item; a null doc_id is no excuse."""
+    bad = _matches(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_bad"), F.col("r").alias("_bad_text")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["_bad_text"]), "left_anti")
