@@ -139,7 +139,55 @@ def test_language_without_white_space_and_rare_language(spark):
     assert model.languages == ["en", "ja", "th", "zh"]
     assert [model.predict(run(x, 500))[0] for x in ("ja", "zh", "th")] == ["ja", "zh", "th"] and model.predict(en())[0] == "en"
     assert model.predict(run("ja", 250) + run("zh", 3000))[0] == "zh" and model.predict(run("zh", 250) + run("ja", 3000))[0] == "ja"
-    assert len(model._row) < 20  # long tokens are not kept
+    assert all(len(t) <= langid.TOKEN for t in model._row)  # long tokens are not kept
+
+
+def plain_scores(model, token):
+    word, none = langid.core(token), np.zeros(len(model.languages))
+    if not word or word in model.scores[0]:
+        return model.scores[0].get(word, none)
+    by = {size: [(i, g) for i, g in enumerate(langid.grams(word, size), 1 if size == 1 else 0) if g in model.scores[size]] for size in (4, 3, 2, 1)}
+    if len(word) > langid.WORD:
+        found = [model.scores[size][g] for i in range(len(word) + 2) for size, g in [next(((s, g) for s in by for j, g in by[s] if i == j), (0, ""))] if size]
+    else:
+        found = next(([model.scores[s][g] for _, g in by[s]] for s in by if by[s]), [])
+    return np.mean(found, axis=0) if found else none
+
+
+@pytest.mark.parametrize("together", [50, 64, 1 << 20])
+def test_tokens_scored_together_equal_one_by_one(monkeypatch, together):
+    monkeypatch.setattr(langid, "SLICE", together)
+    rng = np.random.default_rng(8)
+    word = lambda a, b: "".join(rng.choice(list("abcdeé"), rng.integers(a, b)))
+    row = lambda: rng.normal(size=3)
+    scores = {0: {word(2, 5): row() for _ in range(30)}} | {k: {g: row() for _ in range(40) for g in langid.grams(word(4, 9), k)} for k in (2, 3, 4)} | {1: {"a": row(), "b": row()}}
+    model = langid.Model(["x", "y", "z"], scores)
+    tokens = [word(1, 9) for _ in range(300)] + [word(41, 120) for _ in range(20)] + ["12", "(abc)", "zzz", "z" * 60, "a"]
+    assert np.allclose(model.token_scores(tokens), [plain_scores(model, t) for t in tokens])
+
+
+def test_language_equals_brute_force(spark, sf_dir):
+    """The whole query: model by plain counting, texts by plain sums; ends of long words and equal scores included."""
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.trained(docs)
+    tally = {k: Counter() for k in langid.VOCABULARY}
+    for r in docs.where(~langid.held_out()).where("lang IS NOT NULL AND text IS NOT NULL").collect():
+        for w in filter(None, map(langid.core, r.text.split())):
+            for k in tally:
+                for g in langid.grams(w, k) if k else [w] * (len(w) <= langid.WORD):
+                    tally[k][r.lang, g] += 1
+    for k, size in langid.VOCABULARY.items():
+        top = {g for x in model.languages for _, g in sorted((-n, g) for (lang, g), n in tally[k].items() if lang == x)[: size // len(model.languages)]}
+        assert set(model.scores[k]) == top
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.identified(docs, model).collect():
+        tokens = (texts[r.doc_id] or "").split()
+        total = sum((plain_scores(model, t) for t in tokens), np.zeros(len(model.languages)))
+        assert r.lang_pred == "und" or np.isclose(total.max(), total[model.languages.index(r.lang_pred)])
+    same = langid.Model(["b", "c"], {0: {"one": np.zeros(2)}, 1: {}, 2: {}, 3: {}, 4: {}})
+    assert same.predict("one")[0] == "b"
 
 
 def test_shares():
