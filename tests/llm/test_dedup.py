@@ -57,6 +57,24 @@ def test_near_duplicates_in_a_family_whose_hub_reaches_only_some(spark):
     assert got == want and len({c for _, c in want.values()}) == 12
 
 
+def test_near_duplicates_in_loose_clusters_equal_brute_force(spark):
+    """Versions that drift from each other, so that most pairs of a cluster lie below the threshold and hubs reach few."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for c in range(6):
+        w = [f"c{c}w{k}" for k in range(150)]
+        for v in range(40):
+            if v % 8 == 0:
+                w = [f"c{c}w{k}" for k in range(150)]
+            for k in rng.choice(150, rng.integers(1, 9), replace=False):
+                w[k] = f"new{c}_{v}_{k}"
+            rows.append((int(rng.permutation(10_000)[0]) * 1000 + len(rows), " ".join(w)))
+    want = expected_groups(rows, 2, 80)
+    assert 20 < len({c for _, c in want.values()}) < 200
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == want
+
+
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
     rows = minhash.near_duplicates(odd_docs, 2).collect()
     assert len(rows) == odd_docs.count()
@@ -94,6 +112,17 @@ def test_connected_components(spark):
     assert connected_components(links.where("false")).count() == 0
 
 
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    from tidemark.llm import common
+
+    written = []
+    monkeypatch.setattr(common, "staged", lambda df, name, instead_of=(), staged=common.staged: written.append(name) or staged(df, name, instead_of))
+    chain = spark.range(2_000).selectExpr("id AS a", "id + 1 AS b")
+    got = connected_components(chain).groupBy("component").count().collect()
+    assert [(r.component, r["count"]) for r in got] == [(0, 2_001)]
+    assert written.count("pairs") <= 18
+
+
 def expected_lines(rows):
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda x: x[0]):

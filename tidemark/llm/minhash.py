@@ -13,12 +13,21 @@ in common meet in a bucket with 1e-11, which holds for billions of texts.
    pairs). Registers give an estimate of the similarity, corrected for registers that
    agree by chance; pairs at `threshold - margin` (over five standard deviations) or more
    are confirmed on full sets, and confirmed pairs give components.
-3. Pairs of hub and member estimated at LOOSE or more give families, in which texts may be
-   linked past their hub. In a family that is not one component yet, the members outside
-   its largest component are compared with all of it on full sets, in blocks of at most
-   about BLOCK by BLOCK texts, by counting common shingles as a matrix product; a block
-   returns at most one link for each text and component. Work there is the number of
-   such members times the family, inside tasks of bounded size; rows stay few.
+3. The members of a bucket that are in another component than its hub are handed to a next
+   hub, of their own number and chosen by the bucket's key, ROUNDS times.
+4. What may still be linked past the hubs is put in families and compared on full sets. Two
+   linked texts of a bucket are in one family: if one is linked with a hub, the other is
+   at 1 - 2 * (1 - threshold) to it at least, since 1 - similarity is a metric, and pairs
+   of hub and member estimated that high (less the margin) are a family; if neither is
+   linked with any hub, both are left after the last round, and what a bucket has left is
+   a family whatever was estimated. In a family that is not one component yet, the members
+   outside its largest component are compared with all of it in blocks of bounded size, by
+   counting common shingles as a matrix product; a block returns at most one link for
+   each text and component. Work there is the number of such members times the family,
+   inside tasks; rows stay few.
+
+So a link decides unless its texts share no bucket (8e-6 at 0.8) or registers put the pair
+more than `margin` too low (five standard deviations).
 
 Cases: null or blank texts have n_shingles 0 and link with nothing; rows with a null
 doc_id take part in no link and have a null component_id and kept = true; rows that
@@ -38,7 +47,8 @@ from tidemark.llm.shingles import set_digest, shingle_set
 
 REGISTERS, ROWS, MANTISSA = 512, 8, 4
 BANDS = REGISTERS // ROWS
-BLOCK, LOOSE = 512, 0.4
+#: Hub rounds; texts and shingles in a block.
+ROUNDS, BLOCK, BLOCK_SHINGLES = 3, 512, 500_000
 _REST = 64 - 9  # bits of a hash below the bucket number
 _ORDER = np.stack([np.random.default_rng(1000 + i).permutation(REGISTERS) for i in range(REGISTERS)]).astype(np.int16)
 
@@ -135,43 +145,79 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: see the module for method and cases."""
     least = percent / 100 - margin
+    loose = max(0.0, 2 * percent / 100 - 1 - margin)
     sigs = staged(signatures(docs, shingle, id_col, text_col), "signatures")
     reps = sigs.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     reps = staged(reps.where("rep IS NOT NULL"), "representatives")
-    keys = reps.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
+
+    def keys_of(some: DataFrame) -> DataFrame:
+        return some.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key"))
+
+    buckets = keys_of(reps).groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     buckets = staged(buckets.select("key", "hub"), "buckets")
-    stars = staged(keys.join(buckets, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    stars = staged(keys_of(reps).join(buckets, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     some = staged(stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "some")
     of_some = staged(reps.join(some, "rep", "left_semi").select("rep", "n", "bands"), "of_some")
 
-    def with_registers(pairs: DataFrame) -> DataFrame:
+    def estimates(pairs: DataFrame) -> DataFrame:
         for x in "ab":
             pairs = pairs.join(of_some.select(F.col("rep").alias(x), F.col("n").alias("n_" + x), F.col("bands").alias("bands_" + x)), x)
-        return pairs.select("a", "b", "n_a", "n_b", "bands_a", "bands_b")
+        return _estimate(pairs.select("a", "b", "n_a", "n_b", "bands_a", "bands_b"))
 
-    stars = staged(_estimate(with_registers(stars)).where(F.col("estimate") >= min(LOOSE, least)), "stars")
-    # the only texts that are looked at again, fetched once
-    some = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    stars = staged(estimates(stars), "stars", (stars,))
+    # the only texts that are looked at again, fetched once: those that share a bucket with another
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts = staged(texts.join(staged(some, "some"), "id", "left_semi"), "texts")
-    links = staged(_confirm(stars.where(F.col("estimate") >= least).select("a", "b"), texts, shingle, percent), "links")
-    component = connected_components(links)
-    placed = reps.select("rep").distinct().join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-    # texts that may be linked past their hub
-    family = connected_components(stars).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    member = staged(family.join(placed, "rep"), "members")
-    parts = member.groupBy("family", "component").agg(F.count("*").alias("size"))
-    main = parts.groupBy("family").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("n_all"))
-    main = main.select("family", F.col("main.component").alias("main"), "n_all", (F.col("n_all") - F.col("main.size")).alias("n_outside"))
-    open_ones = staged(main.where("n_outside > 0 AND n_all > 2"), "open")
-    if open_ones.take(1):
-        more = staged(_within_families(member, open_ones, texts, shingle, percent), "more")
-        component = connected_components(links.union(more))
-        placed = reps.select("rep").distinct().join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    of_set = staged(reps.select("digest", "rep").join(placed.select("rep", "component"), "rep").select("digest", "component"), "of_set")
-    out = sigs.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
+    texts = staged(texts.join(some.withColumnRenamed("rep", "id"), "id", "left_semi"), "texts")
+    links = _confirm(stars.where(F.col("estimate") >= least).select("a", "b"), texts, shingle, percent)
+    placed = staged(connected_components(links).withColumnsRenamed({"node": "rep"}), "placed")
+
+    def apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b and more) whose texts are in two components."""
+        for x in "ab":
+            pairs = pairs.join(placed.select(F.col("rep").alias(x), F.col("component").alias("c" + x)), x, "left")
+        return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").drop("ca", "cb")
+
+    def joined_up(placed: DataFrame, links: DataFrame) -> DataFrame:
+        """placed after more links: only components that they join change."""
+        ends = links
+        for x in "ab":
+            ends = ends.join(placed.select(F.col("rep").alias(x), F.col("component").alias("c" + x)), x, "left")
+        ends = staged(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"), F.array("a", "b").alias("both")), "ends")
+        more = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("lower"))
+        every = placed.union(ends.select(F.explode("both").alias("rep")).distinct().join(placed, "rep", "left_anti").select("rep", F.col("rep").alias("component")))
+        return staged(every.join(more, "component", "left").select("rep", F.coalesce("lower", "component").alias("component")), "placed")
+
+    # members that are apart from their hub go to a next one, by bucket
+    edges = stars.where(F.col("estimate") >= loose).select("a", "b")
+    failed = staged(apart(stars.select("a", "b"), placed), "failed")
+    if failed.take(1):
+        ids = staged(failed.select(F.col("b").alias("rep")).distinct(), "ids")
+        left = keys_of(of_some.join(ids, "rep", "left_semi")).join(buckets, "key").join(failed.select(F.col("a").alias("hub"), F.col("b").alias("rep")), ["hub", "rep"], "left_semi")
+        left = staged(left.select("key", "rep"), "left")
+        for turn in range(1, ROUNDS):
+            mask = F.xxhash64("key", F.lit(turn))
+            # exclusive or with a number of the bucket's own: another order in each bucket, turned back by itself
+            hubs = left.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(mask)).alias("m"), F.count("*").alias("size")).where("size > 1").select("key", F.col("m").bitwiseXOR(mask).alias("hub"))
+            tried = staged(left.join(hubs, "key").where("rep <> hub").select("key", F.col("hub").alias("a"), F.col("rep").alias("b")), "tried", (left,))
+            pairs = staged(estimates(apart(tried.select("a", "b").distinct(), placed)), "pairs")
+            edges = edges.union(pairs.where(F.col("estimate") >= loose).select("a", "b"))
+            found = staged(_confirm(pairs.where(F.col("estimate") >= least).select("a", "b"), texts, shingle, percent), "found")
+            placed = joined_up(placed, found)
+            left = staged(apart(tried, placed).select("key", F.col("b").alias("rep")), "left", (tried,))
+        rest = left.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1")
+        edges = edges.union(left.join(rest, "key").where("rep <> a").select("a", F.col("rep").alias("b")))
+        family = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+        member = family.join(placed, "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("component"))
+        member = staged(member.join(of_some.select("rep", "n"), "rep"), "members")
+        parts = member.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+        main = parts.groupBy("family").agg(F.max(F.struct("size", "component", "shingles")).alias("main"), F.sum("size").alias("n_all"), F.sum("shingles").alias("shingles"))
+        blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+        outside, outside_shingles = F.col("n_all") - F.col("main.size"), F.col("shingles") - F.col("main.shingles")
+        open_ones = main.where((outside > 0) & (F.col("n_all") > 2)).select("family", F.col("main.component").alias("main"), blocks(F.col("n_all"), F.col("shingles")).alias("na"), blocks(outside, outside_shingles).alias("no"))
+        more = _within_families(member, staged(open_ones, "open"), texts, shingle, percent)
+        placed = joined_up(placed, staged(more, "more"))
+    of_set = reps.select("digest", "rep").join(placed, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    out = sigs.select("doc_id", "n_shingles", "digest").join(staged(of_set, "of_set"), "digest", "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
@@ -182,8 +228,6 @@ def _within_families(member: DataFrame, families: DataFrame, texts: DataFrame, s
     All members are dealt to blocks, and those outside the main component again; a task
     compares one block of either kind.
     """
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    families = families.select("family", "main", blocks("n_all").alias("na"), blocks("n_outside").alias("no"))
     own = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = staged(member.join(families, "family").join(texts.withColumnRenamed("id", "rep"), "rep"), "parts")
