@@ -13,13 +13,14 @@ in common meet in a bucket with 1e-11, which holds for billions of texts.
    pairs). Registers give an estimate of the similarity, corrected for registers that
    agree by chance; pairs at `threshold - margin` (over five standard deviations) or more
    are confirmed on full sets, and confirmed pairs give components.
-3. The members of a bucket that are in another component than its hub are handed to a next
-   hub, of their own number and chosen by the bucket's key, ROUNDS times.
+3. The members of a bucket that are not linked with its hub itself are handed to a next hub,
+   of their own number and chosen by the bucket's key, ROUNDS times, for as long as they are
+   of several components.
 4. What may still be linked past the hubs is put in families and compared on full sets. Two
    linked texts of a bucket are in one family: if one is linked with a hub, the other is
    at 1 - 2 * (1 - threshold) to it at least, since 1 - similarity is a metric, and pairs
    of hub and member estimated that high (less the margin) are a family; if neither is
-   linked with any hub, both are left after the last round, and what a bucket has left is
+   linked with a hub, both are left after the last round, and what a bucket has left is
    a family whatever was estimated. In a family that is not one component yet, the members
    outside its largest component are compared with all of it in blocks of bounded size, by
    counting common shingles as a matrix product; a block returns at most one link for
@@ -168,7 +169,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # the only texts that are looked at again, fetched once: those that share a bucket with another
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = staged(texts.join(some.withColumnRenamed("rep", "id"), "id", "left_semi"), "texts")
-    links = _confirm(stars.where(F.col("estimate") >= least).select("a", "b"), texts, shingle, percent)
+    links = staged(_confirm(stars.where(F.col("estimate") >= least).select("a", "b"), texts, shingle, percent), "links")
     placed = staged(connected_components(links).withColumnsRenamed({"node": "rep"}), "placed")
 
     def apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
@@ -187,23 +188,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         every = placed.union(ends.select(F.explode("both").alias("rep")).distinct().join(placed, "rep", "left_anti").select("rep", F.col("rep").alias("component")))
         return staged(every.join(more, "component", "left").select("rep", F.coalesce("lower", "component").alias("component")), "placed")
 
-    # members that are apart from their hub go to a next one, by bucket
+    def several(left: DataFrame, placed: DataFrame) -> DataFrame:
+        """Members (key, rep) of the buckets whose members are of several components."""
+        left = left.join(placed, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        open_keys = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        return left.join(open_keys, "key", "left_semi").select("key", "rep")
+
+    # members that are not linked with their hub go to a next one, by bucket
     edges = stars.where(F.col("estimate") >= loose).select("a", "b")
-    failed = staged(apart(stars.select("a", "b"), placed), "failed")
+    failed = staged(stars.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("hub"), F.col("b").alias("rep")), "failed")
     if failed.take(1):
-        ids = staged(failed.select(F.col("b").alias("rep")).distinct(), "ids")
-        left = keys_of(of_some.join(ids, "rep", "left_semi")).join(buckets, "key").join(failed.select(F.col("a").alias("hub"), F.col("b").alias("rep")), ["hub", "rep"], "left_semi")
-        left = staged(left.select("key", "rep"), "left")
+        ids = staged(failed.select("rep").distinct(), "ids")
+        left = keys_of(of_some.join(ids, "rep", "left_semi")).join(buckets, "key").join(failed, ["hub", "rep"], "left_semi").select("key", "rep")
+        left = staged(several(staged(left, "left"), placed), "left")
         for turn in range(1, ROUNDS):
             mask = F.xxhash64("key", F.lit(turn))
             # exclusive or with a number of the bucket's own: another order in each bucket, turned back by itself
-            hubs = left.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(mask)).alias("m"), F.count("*").alias("size")).where("size > 1").select("key", F.col("m").bitwiseXOR(mask).alias("hub"))
+            hubs = left.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(mask)).alias("m")).select("key", F.col("m").bitwiseXOR(mask).alias("hub"))
             tried = staged(left.join(hubs, "key").where("rep <> hub").select("key", F.col("hub").alias("a"), F.col("rep").alias("b")), "tried", (left,))
-            pairs = staged(estimates(apart(tried.select("a", "b").distinct(), placed)), "pairs")
+            pairs = staged(estimates(tried.select("a", "b").distinct()), "pairs")
             edges = edges.union(pairs.where(F.col("estimate") >= loose).select("a", "b"))
-            found = staged(_confirm(pairs.where(F.col("estimate") >= least).select("a", "b"), texts, shingle, percent), "found")
+            found = staged(_confirm(apart(pairs.where(F.col("estimate") >= least).select("a", "b"), placed), texts, shingle, percent), "found")
             placed = joined_up(placed, found)
-            left = staged(apart(tried, placed).select("key", F.col("b").alias("rep")), "left", (tried,))
+            left = tried.join(found, ["a", "b"], "left_anti").select("key", F.col("b").alias("rep"))
+            left = staged(several(staged(left, "left", (tried,)), placed), "left")
         rest = left.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1")
         edges = edges.union(left.join(rest, "key").where("rep <> a").select("a", F.col("rep").alias("b")))
         family = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
