@@ -9,9 +9,9 @@ from tidemark.sources.views import DAILY
 
 
 def _register(names: list[str]) -> None:
-    @query(f"al_{names[0]}_to_{names[-1][5:]}", f"WITH {DAILY}, {alphas.as_sql(names, 'daily')}")
+    @query(f"al_{names[0]}_to_{names[-1][5:]}", f"WITH {DAILY}, {alphas.as_sql(names, 'daily', ties=True)}")
     def _(spark, d):
-        return alphas.computed(views.daily(spark, d), names)
+        return alphas.computed(views.daily(spark, d), names, ties=True)
 
 
 _names = list(alphas.FORMULAS)
