@@ -240,7 +240,7 @@ def test_decontamination_equals_brute_force(spark):
     assert got == leaks(rows, items) and {(1, 1), (8, 1), (5, 2), (10, 5)} <= got
     kept = {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
     assert kept == {i for i, _ in rows} - {d for d, _ in got}
-    assert decontaminate.contaminated(docs, bench, broadcast_rows=0).count() == len(got)
+    assert decontaminate.contaminated(docs, bench, broadcast_bytes=0).count() == len(got)
 
 
 def test_decontamination_of_short_documents_and_null_ids(spark):
@@ -252,6 +252,41 @@ def test_decontamination_of_short_documents_and_null_ids(spark):
     assert {(r.doc_id, r.text) for r in decontaminate.clean(docs, items).collect()} == {rows[3], rows[6], rows[7]}
 
 
+def test_index_meets_every_print_within_the_radius_and_few_others(spark):
+    rng = np.random.default_rng(12)
+    f = rng.integers(-(2**63), 2**63 - 1, 400)
+    flips = [sum(1 << int(b) for b in rng.choice(64, k % (decontaminate.RADIUS + 1), replace=False)) for k in range(400)]
+    rows = [(int(x), int(x ^ np.uint64(y).astype(np.int64))) for x, y in zip(f, flips)] + [(int(x), int(y)) for x, y in zip(f, rng.permutation(f))]
+    df = spark.createDataFrame(rows, "f long, item_f long").selectExpr("*", f"{decontaminate._FIRST_MET} IS NOT NULL AS met", f"bit_count(f ^ item_f) <= {decontaminate.RADIUS} AS near")
+    assert df.where("near AND NOT met").count() == 0 and df.where("near").count() >= 400
+
+
+def test_decontamination_with_equal_windows_and_repeated_items(spark):
+    """Ties go to the first window; one id with two texts, equal texts under two ids, and a null item id are carried along."""
+    w = " ".join(f"q{i}" for i in range(30))
+    v = " ".join(f"z{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"{w} between {w}"), (2, v), (2, v), (None, w)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, w), (1, v), (2, w), (None, v), (1, w)], "item_id long, text string")
+    got = sorted(((r.doc_id or 0, r.item_id or 0, r.start_word, r.similarity) for r in decontaminate.contaminated(docs, items).collect()))
+    assert got == [(0, 1, 0, 1.0), (0, 2, 0, 1.0), (1, 1, 0, 1.0), (1, 2, 0, 1.0), (2, 0, 0, 1.0), (2, 1, 0, 1.0)]
+    assert decontaminate.clean(docs, items).count() == 0
+
+
+def test_decontamination_recall_near_the_threshold(spark):
+    """400 passages with random edits against brute force."""
+    rng = np.random.default_rng(13)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(int(rng.integers(20, 70))))) for i in range(40)]
+    rows = []
+    for d in range(400):
+        w = items[d % 40][1].split()
+        for k in rng.choice(len(w), int(rng.integers(0, 3)), replace=False):
+            w[k] = f"d{d}"
+        rows.append((d, " ".join([f"x{d}"] * int(rng.integers(0, 9)) + w + [f"y{d}"] * int(rng.integers(0, 9)))))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = leaks(rows, items)
+    assert len(want) > 200 and got == want
+
+
 def test_decontamination_empty_tables(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "some words of an item to look for")], "item_id long, text string")
     assert decontaminate.contaminated(no_docs, bench).count() == 0

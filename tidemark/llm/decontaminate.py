@@ -12,13 +12,16 @@ c = ceil(2 n t / (1 + t)) of them in common. Hence
    word by which a passage is longer or shorter costs a shingle. A document of fewer words
    than the item is one window, as a whole; it may share as few as n t shingles, so for it
    n - ceil(n t) + 1 of them are seeds, and its own number counts in the similarity.
-2. Equal windows are one. Each has a 64-bit SimHash of its weighted shingles; 24 blocks of
-   bits index it and the items of the same size. Fingerprints within 23 bits agree in at
-   least one block, so none of those is missed; at similarity 0.8 about 10 bits differ, and
-   more than 23 with a probability near 1e-6.
+2. A window meets the items of its size that have one of its seeds, through an index of
+   SimHash blocks: equal windows are one, each has a 64-bit SimHash of its weighted
+   shingles, and an item is listed under every value within RADIUS // BLOCKS = 2 bits of
+   each of its BLOCKS = 8 blocks. Fingerprints within RADIUS = 23 bits agree so far in at
+   least one block, hence none of those is missed; at similarity 0.8 about 10 bits differ
+   (standard deviation 3), and more than 23 with a probability near 1e-6.
 3. Pairs within the radius are verified on their shingles.
 
-A seed table within `broadcast_rows` is broadcast; a larger one is joined by shuffle.
+The seed table and the index are broadcast where their rows take no more than
+`broadcast_bytes`; beyond it they are joined by shuffle.
 
 Cases: null and blank texts and items match nothing; a null doc_id or item_id is carried
 along; repeated documents and items give one row each pair of ids (most similar window,
@@ -32,9 +35,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 
-SHINGLE, RADIUS = 5, 23
-#: First bit and width of each of the RADIUS + 1 blocks.
-BLOCKS = [(k * 64 // (RADIUS + 1), (k + 1) * 64 // (RADIUS + 1) - k * 64 // (RADIUS + 1)) for k in range(RADIUS + 1)]
+SHINGLE, RADIUS, BLOCKS = 5, 23, 8
+_BITS = 64 // BLOCKS
+#: Of a row of the seed table and of the index: numbers and their places in a hash table.
+ROW_BYTES = 64
 
 
 def word_hash_array(text: str) -> str:
@@ -54,12 +58,16 @@ def _simhash(s: str) -> str:
 
 
 def _block(f: str, k: int) -> str:
-    start, width = BLOCKS[k]
-    return f"(shiftright({f}, {start}) & {(1 << width) - 1}L)"
+    return f"(shiftright({f}, {k * _BITS}) & {(1 << _BITS) - 1}L)"
 
 
-_BLOCKS = "array(" + ", ".join("struct({k} AS k, {v} AS v)".format(k=k, v=_block("f", k)) for k in range(RADIUS + 1)) + ")"
-_FIRST_EQUAL = "CASE " + " ".join(f"WHEN {_block('(f ^ item_f)', k)} = 0 THEN {k}" for k in range(RADIUS + 1)) + " END"
+def _blocks(f: str) -> str:
+    return "array(" + ", ".join(f"struct({k} AS k, {_block(f, k)} AS v)" for k in range(BLOCKS)) + ")"
+
+
+#: The numbers with as many bits as one block of fingerprints within the radius may differ in.
+_MASKS = "array(" + ", ".join(f"{m}L" for m in range(1 << _BITS) if m.bit_count() <= RADIUS // BLOCKS) + ")"
+_FIRST_MET = "CASE " + " ".join(f"WHEN bit_count({_block('(f ^ item_f)', k)}) <= {RADIUS // BLOCKS} THEN {k}" for k in range(BLOCKS)) + " END"
 #: The weight that two arrays of shingles share; repeats count as often as both have them.
 _SHARED = (
     "CASE WHEN size(array_distinct(s)) = size(s) OR size(array_distinct(item_s)) = size(item_s) THEN size(array_intersect(s, item_s)) "
@@ -68,25 +76,27 @@ _SHARED = (
 
 
 def prepared_items(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """item_id, words (how many), width (of a shingle), s (shingles), item_f (SimHash)."""
+    """item (a number of its own), item_id, words (how many), width (of a shingle), s (shingles), item_f (SimHash)."""
     base = items.select(F.col(f"`{item_id}`").alias("item_id"), F.expr(word_hash_array(f"cast(`{item_text}` AS string)")).alias("h")).where("size(h) > 0")
     width = f"CASE {' '.join(f'WHEN size(h) = {k} THEN {_shingles("h", k)}' for k in range(1, SHINGLE))} ELSE {_shingles('h', SHINGLE)} END"
     base = base.select("item_id", F.expr("size(h)").alias("words"), F.expr(f"least(size(h), {SHINGLE})").alias("width"), F.expr(width).alias("s"))
-    return base.select("*", F.expr(_simhash("s")).alias("item_f")).distinct()
+    return base.distinct().select(F.expr("xxhash64(item_id, s)").alias("item"), "*", F.expr(_simhash("s")).alias("item_f"))
 
 
-def _matches(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+def _matches(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, r (hash of the text), item_id, start_word, n_words, shared, similarity: one row for each window that is similar enough."""
     t = percent / 100
     item = staged(prepared_items(items, item_id, item_text), "items")
     need = F.ceil(F.lit(2 * t / (1 + t)) * F.size("s") - 1e-9).cast("int")
-    placed = item.select("item_id", "words", "width", (F.size("s") - need).alias("slack"), (F.size("s") - F.ceil(F.lit(t) * F.size("s") - 1e-9).cast("int")).alias("shorter"), F.posexplode("s").alias("at", "shingle"))
-    spread = placed.groupBy("width", "shingle").agg(F.countDistinct("item_id").alias("shared_by"))
-    one = placed.groupBy("item_id", "words", "width", "slack", "shorter", "shingle").agg(F.count("*").alias("weight"), F.collect_set("at").alias("ats")).join(spread, ["width", "shingle"])
-    ahead = "coalesce(sum(weight) OVER (PARTITION BY item_id, words ORDER BY shared_by, shingle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    seeds = one.select("*", F.expr(ahead).alias("ahead")).where("ahead <= shorter").select("width", "shingle", "words", "slack", "shorter", (F.col("ahead") <= F.col("slack")).alias("near"), F.explode("ats").alias("at")).distinct()
+    placed = item.select("item", "words", "width", (F.size("s") - need).alias("slack"), (F.size("s") - F.ceil(F.lit(t) * F.size("s") - 1e-9).cast("int")).alias("shorter"), F.posexplode("s").alias("at", "shingle"))
+    spread = placed.groupBy("width", "shingle").agg(F.countDistinct("item").alias("shared_by"))
+    one = placed.groupBy("item", "words", "width", "slack", "shorter", "shingle").agg(F.count("*").alias("weight"), F.collect_set("at").alias("ats")).join(spread, ["width", "shingle"])
+    ahead = "coalesce(sum(weight) OVER (PARTITION BY item ORDER BY shared_by, shingle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    first = staged(one.select("*", F.expr(ahead).alias("ahead")).where("ahead <= shorter"), "first")
+    seeds = first.select("width", "shingle", "words", "slack", "shorter", (F.col("ahead") <= F.col("slack")).alias("near"), F.explode("ats").alias("at")).distinct()
     seeds = staged(seeds, "seeds")
     sizes = {r["width"]: r["n"] for r in seeds.groupBy("width").agg(F.count("*").alias("n")).collect()}  # at most SHINGLE rows
+    small = lambda df, n: F.broadcast(df) if n * ROW_BYTES <= broadcast_bytes else df
 
     text = f"cast(`{text_col}` AS string)"
     hashed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.expr(f"xxhash64({text})").alias("r"), F.expr(word_hash_array(text)).alias("h"))
@@ -97,31 +107,32 @@ def _matches(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: str =
         run = [F.col("w").getField("h"), *(F.col("w").getField(str(k)) for k in range(1, width))]
         placed_words = placed_words.where(run[-1].isNotNull())
         of_width = seeds.where(F.col("width") == width).select("shingle", "words", "slack", "shorter", "near", "at")
-        of_width = F.broadcast(of_width) if n <= broadcast_rows else of_width
-        hits = placed_words.withColumn("shingle", F.xxhash64(*run)).join(of_width, "shingle")
+        hits = placed_words.withColumn("shingle", F.xxhash64(*run)).join(small(of_width, n), "shingle")
         # the stretch that holds all windows around this seed
         low = "greatest(0, at_word - at - slack)"
-        stretch = hits.where("near").select("doc_id", "r", "words", F.expr(low).alias("low"), F.expr(f"slice(h, {low} + 1, at_word - at + slack + words - {low})").alias("part"))
+        stretch = hits.where("near").select("doc_id", "r", "words", "shingle", F.expr(low).alias("low"), F.expr(f"slice(h, {low} + 1, at_word - at + slack + words - {low})").alias("part"))
         stretch = stretch.where("size(part) >= words").distinct()
-        win = stretch.select("doc_id", "r", "words", "low", "part", F.expr("explode(sequence(0, size(part) - words))").alias("k"))
-        win = win.select("doc_id", "r", "words", (F.col("low") + F.col("k")).alias("start_word"), F.expr("slice(part, k + 1, words)").alias("h")).distinct()
+        win = stretch.select("doc_id", "r", "words", "shingle", "low", "part", F.expr("explode(sequence(0, size(part) - words))").alias("k"))
+        win = win.select("doc_id", "r", "words", "shingle", (F.col("low") + F.col("k")).alias("start_word"), F.expr("slice(part, k + 1, words)").alias("h")).distinct()
         # a document with fewer words than the item is a window as a whole
-        short = hits.where("size(h) < words AND size(h) >= words - shorter").select("doc_id", "r", "words", F.lit(0).alias("start_word"), "h").distinct()
+        short = hits.where("size(h) < words AND size(h) >= words - shorter").select("doc_id", "r", "words", "shingle", F.lit(0).alias("start_word"), "h").distinct()
         windows = win.union(short) if windows is None else windows.union(win).union(short)
     if windows is None:
         return hashed.where("false").select("doc_id", "r", F.lit(None).cast(item.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0).alias("shared"), F.lit(0.0).alias("similarity"))
     windows = staged(windows, "windows")
 
-    contents = windows.select("h", "words").distinct()
     pick = f"CASE {' '.join(f'WHEN words = {k} THEN {_shingles("h", k)}' for k in range(1, SHINGLE))} ELSE {_shingles('h', SHINGLE)} END"
-    prints = staged(contents.select("h", "words", F.expr(pick).alias("s")).select("*", F.expr(_simhash("s")).alias("f")), "prints")
-    left = prints.select("*", F.expr(f"inline({_BLOCKS})"))
-    right = item.select("item_id", "words", F.col("s").alias("item_s"), "item_f", F.expr(f"inline({_BLOCKS.replace('(f,', '(item_f,')})"))
-    right = F.broadcast(right) if sum(sizes.values()) <= broadcast_rows else right
-    near = left.join(right, ["words", "k", "v"]).where(f"bit_count(f ^ item_f) <= {RADIUS} AND k = {_FIRST_EQUAL}")
+    prints = windows.select("h", "words").distinct().select("h", "words", F.expr(pick).alias("s")).select("*", F.expr(_simhash("s")).alias("f"))
+    holders = first.select("shingle", "words", "item").distinct()
+    held = windows.select("h", "words", "shingle").distinct().join(holders, ["shingle", "words"]).select("h", "words", "item").distinct()
+    left = prints.join(held, ["h", "words"]).select("*", F.expr(f"inline({_blocks('f')})"))
+    index = item.select("item", "item_f", F.expr(f"inline({_blocks('item_f')})")).select("item", "item_f", "k", F.expr(f"explode(transform({_MASKS}, m -> m ^ v))").alias("v"))
+    index = staged(index, "index")
+    near = left.join(small(index, index.count()), ["item", "k", "v"]).where(f"bit_count(f ^ item_f) <= {RADIUS} AND k = {_FIRST_MET}")
+    near = near.join(item.select("item", "item_id", F.col("s").alias("item_s")), "item")
     sure = near.select("h", "words", "item_id", (F.size("s") + F.size("item_s")).alias("both"), F.expr(_SHARED).alias("shared")).where(f"100 * shared >= {percent} * (both - shared)")
     sure = staged(sure.select("h", "words", "item_id", "shared", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity")), "sure")
-    found = windows.join(sure, ["h", "words"])
+    found = windows.select("doc_id", "r", "words", "start_word", "h").distinct().join(sure, ["h", "words"])
     return found.select("doc_id", "r", "item_id", "start_word", F.size("h").alias("n_words"), "shared", "similarity")
 
 
