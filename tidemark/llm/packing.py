@@ -3,11 +3,15 @@
 Documents become token ids with an end id; one longer than `capacity` is cut into pieces
 of `capacity`, the last shorter. Pieces are dealt to groups of about GROUP by a hash. A
 group packs best-fit decreasing and compares its bins with the best lower bound that
-dual-feasible functions give for its lengths. Bins of a group that meets its bound are
-final, but for those that are not full; of a group with a gap also the emptiest bins are
-opened. The documents of open bins are exchanged: they go to an eighth as many groups,
-which pack again, and so on up to one group, which sees only what was left open. A group
-opens at most OPEN bins, so the last is small whatever the corpus is.
+dual-feasible functions give for its lengths, in every round, the last too. Bins of a group
+that meets its bound are final, but for one that is less than half full. A group with a gap
+opens its emptiest bins, so many that their room is twice what its gap needs. The documents
+of open bins are exchanged: dealt anew to as many groups as they need, and packed again.
+If an exchange does not lower the bins of what was opened by LEAST_GAIN of the gap, it was
+the last of its kind: where it made more bins the packing before it stands, and from then
+on only bins that are less than half full (one a group at most) are opened, so the rest soon
+fits one group. All groups are of bounded size and no number is capped; each row says how
+many bins its group made and how many it needs at least.
 
 Cases: a null or empty text is the end id alone; repeated rows are packed each; equal
 lengths are placed by row number, so a rerun gives the same bins; no rows give no rows;
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import staged
 from tidemark.llm.tokens import word_ids
 
-GROUP, FAN_IN, OPEN = 20_000, 8, 64
+#: Pieces in a group; the share of the gap that an exchange must win for another to follow.
+GROUP, LEAST_GAIN = 20_000, 0.01
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -99,54 +104,69 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, n
 
 
-def pack_group(uid: np.ndarray, lengths: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """uid, length, bin, offset, and whether it stays; in the last round all stay."""
+def pack_group(uid: np.ndarray, lengths: np.ndarray, capacity: int, exchange: bool) -> dict[str, np.ndarray]:
+    """The group's rows by bin: uid, length, bin, offset, whether it stays; and bins, bound of the group."""
     order = np.lexsort((uid, -lengths))
     uid, lengths = uid[order], lengths[order]
     bins, n = best_fit_decreasing(lengths, capacity)
-    stays = np.ones(len(uid), bool)
-    if not last:
-        room = capacity - np.bincount(bins, lengths, n).astype(np.int64)
-        gap = n - lower_bound(np.bincount(lengths, minlength=capacity + 1))
-        # a certified group opens what is less than half full; one with a gap also its emptiest bins
-        opened = np.argsort(-room, kind="stable")[:OPEN]
-        opened = opened[room[opened] > (0 if gap else capacity // 2)]
-        stays = ~np.isin(bins, opened)
+    bound = lower_bound(np.bincount(lengths, minlength=capacity + 1))
+    room = capacity - np.bincount(bins, lengths, n).astype(np.int64)
+    emptiest = np.argsort(-room, kind="stable")
+    emptiest = emptiest[room[emptiest] > 0]
+    some = np.searchsorted(np.cumsum(room[emptiest]), 2 * (n - bound) * capacity) + 1 if exchange and n > bound else 0
+    opened = np.union1d(emptiest[:some], np.flatnonzero(2 * room > capacity))
     by_bin = np.argsort(bins, kind="stable")
-    uid, lengths, bins, stays = uid[by_bin], lengths[by_bin], bins[by_bin], stays[by_bin]
+    uid, lengths, bins = uid[by_bin], lengths[by_bin], bins[by_bin]
     before = np.cumsum(lengths) - lengths
     first = np.searchsorted(bins, bins)  # the first item of the same bin
-    return uid, lengths, bins, before - before[first], stays
+    return {"uid": uid, "length": lengths, "bin": bins, "offset": before - before[first], "stays": ~np.isin(bins, opened), "bins": np.full(len(uid), n), "bound": np.full(len(uid), bound)}
 
 
-def _packer(turn: int, capacity: int, last: bool):
+def _packer(turn: int, capacity: int, exchange: bool, last: bool):
     def run(key, t):
-        u, size, bins, offset, stays = pack_group(t.column("uid").to_numpy(), t.column("length").to_numpy(), capacity, last)
-        sequence = (turn << 56) + (int(key[0].as_py()) << 32) + bins
-        return pa.table({"uid": u, "length": size, "sequence_id": sequence, "offset": offset, "stays": stays})
+        found = pack_group(t.column("uid").to_numpy(), t.column("length").to_numpy(), capacity, exchange)
+        found["sequence_id"] = (turn << 56) + (int(key[0].as_py()) << 32) + found.pop("bin")
+        if last:
+            found["stays"][:] = True
+        return pa.table(found).select(["uid", "length", "sequence_id", "offset", "stays", "bins", "bound"])
 
     return run
 
 
 def packed(lengths: DataFrame, capacity: int = 4096, uid: str = "uid", length: str = "length") -> DataFrame:
-    """uid, sequence_id, offset for rows of distinct uid (long) and length 1..capacity."""
+    """uid, sequence_id, offset, group_bins, group_bound for rows of distinct uid (long) and length 1..capacity."""
     rest = staged(lengths.select(F.col(uid).cast("long").alias("uid"), F.col(length).cast("long").alias("length")), "lengths")
-    groups = max(1, ceil(rest.count() / GROUP))
-    done, turn = None, 0
+    n, done, turn, groups, exchange, opened, before = rest.count(), None, 0, 1 << 40, True, None, None
+    final = ["uid", "sequence_id", "offset", F.col("bins").alias("group_bins"), F.col("bound").alias("group_bound")]
     while True:
-        last = groups == 1
+        groups = max(1, min(ceil(n / GROUP), groups if exchange else ceil(groups / 2)))
         dealt = rest.withColumn("g", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(groups)).cast("int"))
-        tried = staged(dealt.groupBy("g").applyInArrow(_packer(turn, capacity, last), "uid long, length long, sequence_id long, offset long, stays boolean"), "packed")
-        kept = tried.where("stays").select("uid", "sequence_id", "offset")
-        done = kept if done is None else done.union(kept)
-        if last:
+        tried = dealt.groupBy("g").applyInArrow(_packer(turn, capacity, exchange, groups == 1), "uid long, length long, sequence_id long, offset long, stays boolean, bins long, bound long")
+        tried = staged(tried, "packed")
+        # each bin has one row with offset 0
+        heads = tried.where("offset = 0").groupBy("bins", "bound", F.expr("shiftright(sequence_id, 32)").alias("g")).agg(F.count_if(~F.col("stays")).alias("opened"))
+        total = heads.agg(F.sum("bins").alias("bins"), F.sum(F.col("bins") - F.col("bound")).alias("gap"), F.sum("opened").alias("opened")).first()
+        if opened is not None and (total["bins"] or 0) > opened:
+            # the exchange made it worse: the packing before it stands, but for the bins less than half full
+            half = before.groupBy("sequence_id").agg(F.sum("length").alias("filled")).where(2 * F.col("filled") < capacity).select("sequence_id")
+            done = done.union(before.join(half, "sequence_id", "left_anti").select(*final))
+            rest, exchange, opened = staged(before.join(half, "sequence_id", "left_semi").select("uid", "length"), "rest"), False, None
+        else:
+            kept = tried.where("stays").select(*final)
+            done = kept if done is None else done.union(kept)
+            if groups == 1:
+                return done
+            gained = opened is None or opened - total["bins"] >= max(1, LEAST_GAIN * total["gap"])
+            before = tried.where("NOT stays")
+            rest, opened = before.select("uid", "length"), total["opened"] if exchange else None
+            exchange = exchange and gained
+        n, turn = rest.count(), turn + 1
+        if not n:
             return done
-        rest = tried.where("NOT stays").select("uid", "length")
-        groups, turn = ceil(groups / FAN_IN), turn + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; group_bins and group_bound of the group that packed it last."""
     cut = staged(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
     cut = staged(cut.withColumn("uid", F.monotonically_increasing_id()), "numbered")
     return cut.join(packed(cut, capacity), "uid").drop("uid")
