@@ -40,6 +40,17 @@ def test_top_k_odd_rows(spark):
     assert topk.top_k(v.where("false"), v).count() == 0 and topk.top_k(v, v.where("false")).count() == 0
 
 
+def test_top_k_with_one_id_on_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 30)
+    rng = np.random.default_rng(5)
+    rows = [(7 if i % 2 else i, rng.normal(size=4).round(3).tolist()) for i in range(200)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id = 0"), 60).collect())
+    m = np.floor(1024 * np.array([x for _, x in rows]))
+    want = sorted(((-int(s), i) for (i, _), s in zip(rows, m @ m[0]) if i != 0))[:60]
+    assert [(s, i) for _, i, s in got] == [(-s, i) for s, i in want]
+
+
 def test_pruning_computes_few_products():
     rng = np.random.default_rng(4)
     c = np.floor(rng.normal(size=(4000, 32)) * np.exp(rng.normal(size=(4000, 1))) * np.linspace(1, 0.05, 32) * 1024)
@@ -60,12 +71,12 @@ def test_products_beyond_doubles_are_exact():
 
 def test_warc_round_trip(spark, sf_dir):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
-    rows += [(9001, None, None), (9002, "a\nb", "x" * 300_000 + "WARC/1.1\r\n\r\n"), (9003, "u", "é" * 100_000), (9004, "u", "é" * 100_000), (9005, "u", "short"), (9006, "u", "short"), (9007, "u", "y" * 100), (9008, "u", "y" * 100), (9008, "u", "y" * 100)]
+    rows += [(9001, None, None), (9002, "a\nb", "x" * 300_000 + "WARC/1.1\r\n\r\n"), (9003, "u", "é" * 100_000), (9004, "u", "é" * 100_000), (9005, "u", "short"), (9006, "u", "short"), (9007, "u", "y" * 100), (9008, "u", "y" * 100), (9008, "u", "y" * 100), (9007, "u", "y" * 100), (None, "u", "y" * 100), (None, "u", None), (None, "u", "z" * 200), (None, "u", "z" * 200)]
     pages = spark.createDataFrame([(*r, 1, "d") for r in rows], "page_id long, url string, html string, uid int, digest string").repartition(4)
     path = new_path(spark, "warc")
     archive = warc.write_archives(pages, path)
     first, want = {}, set()
-    for i, _, h in sorted(rows, key=lambda r: r[0]):
+    for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         body = (h or "").encode()
         f = first.setdefault(body, i) if len(body) >= 100 else i
         want.add((i, len(body), hashlib.sha256(body).hexdigest(), "response" if f == i else "revisit", None if f == i else f))
@@ -75,6 +86,52 @@ def test_warc_round_trip(spark, sf_dir):
     assert chunks.selectExpr("max(octet_length(data))").first()[0] <= warc.CHUNK
     body = b"".join(bytes(r.data) for r in chunks.where("page_id = 9002").orderBy("chunk_no").collect())
     assert body.decode() == "x" * 300_000 + "WARC/1.1\r\n\r\n"
+    check_files(path, archive, rows, want)
+
+
+def check_files(path, archive, rows, want):
+    """Reads the files by the format's own rules: a gzip member a record, headers, Content-Length; no part of the library."""
+    import glob
+    import zlib
+    from collections import Counter
+
+    records = []
+    for name in glob.glob(path.removeprefix("file:") + "/*.warc.gz"):
+        left = open(name, "rb").read()
+        while left:
+            z = zlib.decompressobj(31)
+            raw = z.decompress(left) + z.flush()
+            left = z.unused_data
+            head, _, rest = raw.partition(b"\r\n\r\n")
+            first, *lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines)
+            block = rest[: int(fields["Content-Length"])]
+            assert first == "WARC/1.1" and rest == block + b"\r\n\r\n" and len(block) <= warc.CHUNK + 100
+            records.append((fields, block))
+    by_id = {f["WARC-Record-ID"]: (f, b) for f, b in records}
+    assert len(by_id) == len(records) and sum(f["WARC-Type"] == "warcinfo" for f, _ in records) == 1
+    pages, bodies = Counter(), {}
+    for f, b in records:
+        if f["WARC-Type"] == "warcinfo":
+            continue
+        assert by_id[f["WARC-Warcinfo-ID"]][0]["WARC-Type"] == "warcinfo"
+        origin = f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"])
+        assert by_id[origin][0]["WARC-Type"] in ("response", "revisit")
+        bodies.setdefault(origin, {})[int(f.get("WARC-Segment-Number", 1))] = b
+    for origin, parts in bodies.items():
+        f = by_id[origin][0]
+        assert sorted(parts) == list(range(1, len(parts) + 1))
+        payload = b"".join(parts[k] for k in sorted(parts)).partition(b"\r\n\r\n")[2]
+        stated = f["WARC-Payload-Digest"].removeprefix("sha256:")
+        if f["WARC-Type"] == "revisit":
+            target = by_id[f["WARC-Refers-To"]][0]
+            assert payload == b"" and target["WARC-Type"] == "response" and target["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+        else:
+            assert hashlib.sha256(payload).hexdigest() == stated and len(payload) == int(f["WARC-Payload-Length"])
+        page = f["WARC-Record-ID"].split(":")[3]
+        refers = f["WARC-Refers-To"].split(":")[3] if "WARC-Refers-To" in f else None
+        pages[int(page) if page else None, int(f["WARC-Payload-Length"]), stated, f["WARC-Type"], int(refers) if refers else None] += 1
+    assert set(pages) == want and sum(pages.values()) == len(rows)
 
 
 def test_warc_without_pages(spark):
