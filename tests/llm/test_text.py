@@ -86,19 +86,97 @@ def test_packing_is_whole_gapless_and_near_its_bound(spark, odd_docs, no_docs, m
     placed = spark.createDataFrame([(r.sequence_id, r.length) for r in rows], "sequence_id long, length long")
     used, bound = packing.certificate(placed, 64)
     assert bound <= used <= bound + 3
+    assert all(0 < r.group_bound <= r.group_bins for r in rows)
     assert packing.pack_documents(no_docs, WORD).count() == 0
 
 
+@pytest.mark.parametrize("capacity", [64, 4096])
+def test_pieces_equal_the_library(spark, odd_docs, capacity):
+    """Ids, crc32, start and length of each piece, cut from the library's ids."""
+    import zlib
+    from collections import Counter
+    from math import ceil
+
+    w, want = Tokenizer.from_file(WORD), []
+    for r in odd_docs.collect():
+        ids = np.array([*w.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        for k in range(ceil(len(ids) / capacity)):
+            part = ids[k * capacity : (k + 1) * capacity]
+            want.append((r.doc_id, k, k * capacity, len(part), zlib.crc32(part.tobytes())))
+    rows = packing.pack_documents(odd_docs, WORD, capacity).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == Counter(want)
+    with_ids = packing.pieces(odd_docs, WORD, capacity, with_ids=True).collect()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in with_ids)
+
+
+@pytest.mark.parametrize("kind", ["wide", "thirds", "heavy"])
+def test_groups_come_near_one_pass_and_are_certified(spark, monkeypatch, kind):
+    monkeypatch.setattr(packing, "GROUP", 500)
+    rng = np.random.default_rng(15)
+    sizes = {"wide": rng.integers(1, 4097, 4000), "thirds": rng.normal(1700, 150, 4000), "heavy": np.exp(rng.normal(5, 1.5, 4000))}[kind]
+    sizes = np.clip(sizes, 1, 4096).astype(np.int64)
+    df = spark.createDataFrame(list(enumerate(sizes.tolist())), "uid long, length long")
+    got = packing.packed(df).join(df, "uid").collect()
+    assert len({r.uid for r in got}) == len(got) == len(sizes)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by.values():
+        spans.sort()
+        assert [o for o, _ in spans] == np.cumsum([0] + [x for _, x in spans])[:-1].tolist() and sum(x for _, x in spans) <= 4096
+    one_pass = packing.best_fit_decreasing(np.sort(sizes)[::-1], 4096)[1]
+    bound = packing.lower_bound(np.bincount(sizes, minlength=4097))
+    assert bound <= len(by) <= one_pass + 8
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Site head</header><div id="cookie-notice">We use cookies</div><div class="post-content"><h1>My title</h1>
 <p>Hello <b>wor</b>ld &amp; all of you reading this article today.</p><div class="ad">buy now</div><form><label>Mail</label><input name=q></form><p>Second para with words
  enough.<br>line two</p></div><div class="comments"><p>nice one mate</p></div><aside>side words</aside><footer>foot</footer><script>var x="</p>";</script></body></html>"""
 
 
+WEIGHTS = html.Weights({"p": -0.01, "/p": -0.01, "div": -2.0, "/div": -2.0})
+
+
 def test_main_text():
-    weights = {"p": -0.01, "/p": -0.01, "div": -2.0, "/div": -2.0}
-    assert html.main_text(PAGE, weights) == "My title Hello world & all of you reading this article today. Second para with words enough. line two"
-    for bad in (None, "", "<p>", "<a href='x", "<!-- open", "&amp;", "<<<>>>", "</div></p>"):
-        assert isinstance(html.main_text(bad, weights), str)
+    assert html.main_text(PAGE, WEIGHTS) == "My title Hello world & all of you reading this article today. Second para with words enough. line two"
+    for bad in (None, "", "<p>", "<a href='x", "<!-- open", "&amp;", "<<<>>>", "</div></p>", "<p hidden", "<div style='display:none'>"):
+        assert isinstance(html.main_text(bad, WEIGHTS), str)
+
+
+def prose(start, n=40):
+    return " ".join(f"word{start + k}" for k in range(n))
+
+
+LAYOUTS = {
+    "comments in main": ("<body><main><h1>{a}</h1><p>{b}</p><div class='article-comments'><p>{x}</p></div></main></body>", "ab"),
+    "comments as articles": ("<body><div class='post'><h1>{a}</h1><p>{b}</p></div><div id='comments'><ol class='comment-list'><li class='comment'><article class='comment-body'><p>{x}</p></article></li></ol></div></body>", "ab"),
+    "topic names": ("<body><article><section class='social-science'><p>{a}</p></section><section id='login-history'><p>{b}</p></section></article></body>", "ab"),
+    "one form": ("<body><form id='aspnetForm'><nav>{x}</nav><div id='content'><p>{a}</p><p>{b}</p></div><div class='footer'>{y}</div></form></body>", "ab"),
+    "not shown": ("<body><article><p>{a}</p><p hidden>{x}</p><div style='display: none'><div>{y}</div></div><p>{b}</p></article></body>", "ab"),
+    "table layout": ("<body><table><tr><td class='menu'>{x}</td><td><h1>{a}</h1><p>{b}</p></td><td class='right-sidebar'>{y}</td></tr></table></body>", "ab"),
+    "furniture that is not closed": ("<body><div class='wrap'><ul class='nav'><li>{x}<li>{y}</ul><p>{a}<p>{b}<footer>{x}", "ab"),
+    "sidebar that holds main": ("<body><div class='sidebar-right'><main><p>{a}</p><p>{b}</p></main><aside>{x}</aside></div></body>", "ab"),
+    "sign up in the text": ("<body><article><p>{a}</p><div class='newsletter-signup'><form><label>{x}</label></form></div><p>{b}</p><div class='share-buttons'>{y}</div></article></body>", "ab"),
+    "article header": ("<body><header>{x}</header><article><header><h1>{a}</h1></header><p>{b}</p></article></body>", "ab"),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_main_text_of_layouts(name):
+    layout, want = LAYOUTS[name]
+    parts = {"a": prose(0), "b": prose(100), "x": prose(1000, 12), "y": prose(2000, 12)}
+    assert html.main_text(layout.format(**parts), WEIGHTS) == " ".join(parts[k] for k in want)
+
+
+def test_names_are_learned_from_labelled_pages(spark):
+    """Names that mean nothing by themselves are furniture where marked pages have them outside; what is inside stays, also under a telling name."""
+    rows = [(i, f"u{i}", f"<body><div class='zq wrap'><p>{prose(i * 50, 30)}</p></div><article class='t'><p>{prose(9000 + i * 50)}</p></article></body>") for i in range(30)]
+    rows.append((99, "v", f"<body><div class='zq'><p>{prose(0, 90)}</p></div><div class='t'><p>{prose(5000, 60)}</p></div></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    weights = html.tag_weights(pages)
+    assert weights.furniture == {"zq", "wrap"}
+    got = {r.page_id: r.text for r in html.extracted(pages, weights).collect()}
+    assert got[99] == prose(5000, 60) and all(got[i] == prose(9000 + i * 50) for i in range(30))
 
 
 def test_extraction_keeps_articles(spark, sf_dir):
@@ -118,7 +196,7 @@ def test_extraction_odd_rows(spark):
     weights = html.tag_weights(pages)
     rows = html.extracted(pages, weights).collect()
     assert len(rows) == 4 and {r.text for r in rows if r.page_id} == {""}
-    assert html.extracted(pages.where("false"), weights).count() == 0 and html.tag_weights(pages.where("false")) == {}
+    assert html.extracted(pages.where("false"), weights).count() == 0 and html.tag_weights(pages.where("false")).tags == {}
 
 
 def test_language_held_out_accuracy(spark):
