@@ -141,7 +141,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     block = F.lit(0)
     for e in edges:
         block = block + F.when(F.col("norm") < e, 1).otherwise(0)
-    rows = staged(rows.withColumn("b", block), "blocks")
+    rows = staged(rows.withColumn("b", block).withColumn("u", F.monotonically_increasing_id()), "blocks")  # a number of each row: ids may repeat
     sizes = rows.groupBy("b").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()  # a row a band
     cuts = {r["b"]: ceil(r["n"] / VECTOR_BLOCK) for r in sizes}
     asked = asked.withColumn("a", F.pmod(F.xxhash64("vec_id"), F.lit(n_asked)).cast("int"))
@@ -157,7 +157,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     reach = asked.withColumn("b", F.explode(F.array(*(F.lit(int(r["b"])) for r in sizes)))).join(F.broadcast(blocks), "b")  # a row a band
     reach = reach.where(F.col("norm") * F.col("longest") * (1 + 1e-9) + 1e-3 >= F.col("least")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     needed = staged(reach.select("a", "b", "c").distinct(), "needed")
-    dealt = rows.join(F.broadcast(blocks), "b").withColumn("c", F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("int"))
+    dealt = rows.join(F.broadcast(blocks), "b").withColumn("c", F.pmod(F.xxhash64("u"), F.col("cuts")).cast("int"))
     visited = dealt.join(needed, ["b", "c"]).select("vec_id", "v", "a", "b", "c")
     found = _visit(reach.select("vec_id", "v", "least", "a", "b", "c"), visited, k, dim, rotation)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
