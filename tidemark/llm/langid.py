@@ -245,9 +245,13 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Word and gram frequencies of at most max_rows labelled, not held-out texts (one of each language at least)."""
     ids = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     ids = ids.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    rows_of = [r["count"] for r in ids.groupBy("lang").count().collect()]  # one row a language
+    rows_of = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}  # one row a language
+    most = share(list(rows_of.values()), max_rows)
+    # hashes up to where a language has its share, and six standard deviations more, are all that is ranked
+    upto = [x for lang, n in rows_of.items() for x in (F.lit(lang), F.lit(int(-(2**63) + min(1.0, (most + 6 * most**0.5 + 10) / n) * (2**64 - 2048))))]
+    near = ids.where(F.xxhash64("id") <= F.element_at(F.create_map(*upto), F.col("lang"))) if upto else ids
     of_lang = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("place", F.row_number().over(of_lang)).where(F.col("place") <= share(rows_of, max_rows)).select("id", "lang")
+    chosen = near.withColumn("place", F.row_number().over(of_lang)).where(F.col("place") <= most).select("id", "lang")
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("lang", "text")  # at most max_rows pairs
 
