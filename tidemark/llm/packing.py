@@ -1,7 +1,7 @@
 """Best-fit packing with certified bin counts.
 
 Documents become token ids with an end id; one longer than `capacity` is cut into pieces
-of `capacity`, the last shorter. Pieces are dealt to groups of about GROUP by a hash. A
+of `capacity`, the last shorter. Pieces are dealt to groups of about GROUP, of like lengths. A
 group packs best-fit decreasing and compares its bins with the best lower bound that
 dual-feasible functions give for its lengths, in every round, the last too. Bins of a group
 that meets its bound are final, but for one that is less than half full. A group with a gap
@@ -133,6 +133,23 @@ def _packer(turn: int, capacity: int, exchange: bool, last: bool):
     return run
 
 
+def _dealt(rows: DataFrame, groups: int, turn: int) -> DataFrame:
+    """uid, length and g: each batch is dealt round in order of length, so that every group gets long and short pieces in the same shares.
+
+    rows is a staged table: a task that runs again reads the same batches and deals them the same way.
+    """
+
+    def run(batches):
+        for b in batches:
+            uid, size = b.column(0).to_numpy(), b.column(1).to_numpy()
+            g = np.empty(len(uid), np.int32)
+            start = zlib.crc32(f"{turn}:{uid[0] if len(uid) else 0}".encode())
+            g[np.lexsort((uid, size))] = (np.arange(len(uid)) + start) % groups
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(g)], ["uid", "length", "g"])
+
+    return rows.select("uid", "length").mapInArrow(run, "uid long, length long, g int")
+
+
 def packed(lengths: DataFrame, capacity: int = 4096, uid: str = "uid", length: str = "length") -> DataFrame:
     """uid, sequence_id, offset, group_bins, group_bound for rows of distinct uid (long) and length 1..capacity."""
     rest = staged(lengths.select(F.col(uid).cast("long").alias("uid"), F.col(length).cast("long").alias("length")), "lengths")
@@ -140,8 +157,7 @@ def packed(lengths: DataFrame, capacity: int = 4096, uid: str = "uid", length: s
     final = ["uid", "sequence_id", "offset", F.col("bins").alias("group_bins"), F.col("bound").alias("group_bound")]
     while True:
         groups = max(1, min(ceil(n / GROUP), groups if exchange else ceil(groups / 2)))
-        dealt = rest.withColumn("g", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(groups)).cast("int"))
-        tried = dealt.groupBy("g").applyInArrow(_packer(turn, capacity, exchange, groups == 1), "uid long, length long, sequence_id long, offset long, stays boolean, bins long, bound long")
+        tried = _dealt(rest, groups, turn).groupBy("g").applyInArrow(_packer(turn, capacity, exchange, groups == 1), "uid long, length long, sequence_id long, offset long, stays boolean, bins long, bound long")
         tried = staged(tried, "packed")
         # each bin has one row with offset 0
         heads = tried.where("offset = 0").groupBy("bins", "bound", F.expr("shiftright(sequence_id, 32)").alias("g")).agg(F.count_if(~F.col("stays")).alias("opened"))
@@ -158,7 +174,7 @@ def packed(lengths: DataFrame, capacity: int = 4096, uid: str = "uid", length: s
                 return done
             gained = opened is None or opened - total["bins"] >= max(1, LEAST_GAIN * total["gap"])
             before = tried.where("NOT stays")
-            rest, opened = before.select("uid", "length"), total["opened"] if exchange else None
+            rest, opened = staged(before.select("uid", "length"), "rest"), total["opened"] if exchange else None
             exchange = exchange and gained
         n, turn = rest.count(), turn + 1
         if not n:
