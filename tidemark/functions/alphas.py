@@ -251,7 +251,7 @@ FORMULAS: dict[str, Callable[[Levels], str]] = {
 }
 
 
-def _batches(p: Levels) -> list[list[tuple[str, str]]]:
+def batches(p: Levels) -> list[list[tuple[str, str]]]:
     """The steps in groups that need nothing of their own group: as long as any is ready those of symbols (or of no window), then those of days."""
     done: set[str] = set()
     left, out = list(p.steps), []
@@ -270,7 +270,7 @@ def computed(panel: DataFrame, names: list[str], ties: bool = False) -> DataFram
     p = Levels("spark", ties=ties)
     made = {n: FORMULAS[n](p) for n in names}
     rows = panel
-    for group in _batches(p):
+    for group in batches(p):
         rows = rows.selectExpr("*", *(f"{x} AS {name}" for name, x in group))
     return rows.selectExpr("symbol", "date", *(f"CAST({x} AS DOUBLE) + 0e0 AS {n}" for n, x in made.items()))
 
@@ -280,7 +280,7 @@ def as_sql(names: list[str], source: str, ties: bool = False) -> str:
     p = Levels("duckdb", ties=ties)
     made = {n: FORMULAS[n](p) for n in names}
     ctes, last = [], source
-    for k, group in enumerate(_batches(p)):
+    for k, group in enumerate(batches(p)):
         ctes.append(f"l{k} AS (SELECT *, {', '.join(f'{x} AS {name}' for name, x in group)} FROM {last})")
         last = f"l{k}"
     return ", ".join(ctes) + " SELECT symbol, date, " + ", ".join(f"CAST({x} AS DOUBLE) + 0e0 AS {n}" for n, x in made.items()) + f" FROM {last}"

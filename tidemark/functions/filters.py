@@ -1,4 +1,4 @@
-"""Sequential filters in numpy, and the grouped map that runs them over long histories in bounded blocks."""
+"""Rolling kernels in numpy, and the grouped map that runs them over long histories in bounded blocks."""
 
 from __future__ import annotations
 
@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 
 def overlapped(rows: DataFrame, keys: list[str], order: list[str], schema: str, f: Callable[[pd.DataFrame], pd.DataFrame], block: int = 100_000, warm: int = 2_000) -> DataFrame:
-    """f over each key's ordered rows in blocks of `block` rows, each with the `warm` rows before it as warm-up.
+    """f over each key's ordered rows in blocks of `block` rows, each with the `warm` rows before it.
 
-    A group never holds more than block + warm rows. Filters that forget (exponential
-    ones) differ from one pass over everything by what is left of a weight after `warm`
-    rows; a history of one block is exact. f gets and returns a frame of the same length.
+    A group never holds more than block + warm rows. For a kernel that looks at no more
+    than `warm` rows back the result is that of one pass over everything; filters with a
+    longer memory belong in `recursive`. f gets and returns a frame of the same length.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     n = rows.withColumn("_n", F.row_number().over(w) - 1)
@@ -30,173 +30,80 @@ def overlapped(rows: DataFrame, keys: list[str], order: list[str], schema: str,
     return dealt.groupBy(*keys, "_block").applyInPandas(run, schema)
 
 
-def ema(x: np.ndarray, span: int, seeded: bool = True) -> np.ndarray:
-    """Exponential mean; seeded by the mean of the first `span` values (null before), else weighted from the first value on as in adjust=True."""
-    x = np.asarray(x, float)
-    out = np.full(len(x), np.nan)
-    a = 2.0 / (span + 1)
-    if not seeded:
-        top = bottom = 0.0
-        for i, v in enumerate(x):
-            top, bottom = v + (1 - a) * top, 1 + (1 - a) * bottom
-            out[i] = top / bottom
-        return out
-    start = int(np.argmax(~np.isnan(x))) if len(x) and not np.isnan(x).all() else len(x)
-    if len(x) - start < span:
-        return out
-    out[start + span - 1] = now = x[start : start + span].mean()
-    for i in range(start + span, len(x)):
-        now += a * (x[i] - now)
-        out[i] = now
+def rolling(kernel: Callable[[np.ndarray], np.ndarray], x: np.ndarray, n: int, width: int) -> np.ndarray:
+    """kernel (rows of n values to rows of `width`) at every place of x; NaN before the n-th value and where the window has a NaN."""
+    out = np.full((len(x), width), np.nan)
+    if len(x) >= n:
+        windows = np.lib.stride_tricks.sliding_window_view(x, n)
+        for at in range(0, len(windows), 4096):
+            part = windows[at : at + 4096]
+            known = ~np.isnan(part).any(1)
+            out[n - 1 + at : n - 1 + at + len(part)][known] = kernel(part[known])
     return out
 
 
-def wilder(x: np.ndarray, n: int) -> np.ndarray:
-    """Mean seeded by the first n non-null values, then (n - 1) parts old and one part new."""
-    x = np.asarray(x, float)
-    out = np.full(len(x), np.nan)
-    start = int(np.argmax(~np.isnan(x))) if len(x) and not np.isnan(x).all() else len(x)
-    if len(x) - start < n:
-        return out
-    out[start + n - 1] = now = x[start : start + n].mean()
-    for i in range(start + n, len(x)):
-        now = (now * (n - 1) + x[i]) / n
-        out[i] = now
-    return out
-
-
-def true_range(high, low, close) -> np.ndarray:
-    before = np.concatenate([[np.nan], close[:-1]])
-    return np.where(np.isnan(before), np.nan, np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before))))
-
-
-def rsi(close, n: int = 14) -> np.ndarray:
-    d = np.diff(close, prepend=np.nan)
-    up, down = wilder(np.where(np.isnan(d), np.nan, np.maximum(d, 0)), n), wilder(np.where(np.isnan(d), np.nan, np.maximum(-d, 0)), n)
+def hursts(rows: np.ndarray, scales: tuple[int, ...] = (4, 8, 16, 32)) -> np.ndarray:
+    """Of each row the slope of log fluctuation on log scale after removing a line in each segment."""
+    y = np.cumsum(rows - rows.mean(1, keepdims=True), 1)
+    points = []
+    for s in scales:
+        k = y.shape[1] // s
+        if k >= 2:
+            seg = y[:, : k * s].reshape(-1, k, s)
+            t = np.arange(s) - (s - 1) / 2
+            line = (seg * t).sum(2, keepdims=True) / (t**2).sum() * t + seg.mean(2, keepdims=True)
+            points.append((np.log(s), np.sqrt(((seg - line) ** 2).mean((1, 2)))))
+    a, v = np.array([p for p, _ in points]), np.stack([p for _, p in points], 1)
     with np.errstate(all="ignore"):
-        return np.where(up + down > 0, 100 * up / (up + down), np.where(np.isnan(up), np.nan, 50.0))
+        b = np.where(v > 0, np.log(v), np.nan)
+        known = ~np.isnan(b)
+        n = known.sum(1)
+        am, bm = np.where(known, a, 0).sum(1) / n, np.nansum(b, 1) / n
+        da = np.where(known, a - am[:, None], 0)
+        out = np.nansum(da * (b - bm[:, None]), 1) / (da**2).sum(1)
+    return np.where(n >= 2, out, np.nan)[:, None]
+
+
+def spectra(rows: np.ndarray) -> np.ndarray:
+    """Of each Hann-windowed row: flatness, share of the lower half, entropy (0 to 1) and centroid (0 to 0.5) of the power spectrum."""
+    x = (rows - rows.mean(1, keepdims=True)) * np.hanning(rows.shape[1])
+    p = np.abs(np.fft.rfft(x, axis=1))[:, 1:] ** 2
+    freq = np.arange(1, p.shape[1] + 1) / rows.shape[1]
+    with np.errstate(all="ignore"):
+        q = p / p.sum(1, keepdims=True)
+        out = np.stack([np.exp(np.log(p + 1e-300).mean(1)) / p.mean(1), q[:, : q.shape[1] // 2].sum(1), -np.where(q > 0, q * np.log(q), 0).sum(1) / np.log(p.shape[1]), (freq * q).sum(1)], 1)
+    return np.where(p.sum(1, keepdims=True) > 0, out, np.nan)
 
 
-def directional(high, low, close, n: int = 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """+DI, -DI and ADX."""
-    up, down = np.diff(high, prepend=np.nan), -np.diff(low, prepend=np.nan)
-    plus = np.where(np.isnan(up), np.nan, np.where((up > down) & (up > 0), up, 0.0))
-    minus = np.where(np.isnan(up), np.nan, np.where((down > up) & (down > 0), down, 0.0))
-    tr = wilder(true_range(high, low, close), n)
-    with np.errstate(all="ignore"):
-        p, m = 100 * wilder(plus, n) / tr, 100 * wilder(minus, n) / tr
-        dx = np.where(p + m > 0, 100 * np.abs(p - m) / (p + m), np.where(np.isnan(p), np.nan, 0.0))
-    return p, m, wilder(dx, n)
-
-
-def kama(close, n: int = 10, fast: int = 2, slow: int = 30) -> np.ndarray:
-    out = np.full(len(close), np.nan)
-    if len(close) <= n:
-        return out
-    now = close[n - 1]
-    for i in range(n, len(close)):
-        path = np.abs(np.diff(close[i - n : i + 1])).sum()
-        ratio = abs(close[i] - close[i - n]) / path if path else 0.0
-        c = (ratio * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2
-        now += c * (close[i] - now)
-        out[i] = now
-    return out
+SHAPE_LENGTH, BAND = 20, 4
+_T = np.linspace(0, 1, SHAPE_LENGTH)
+_bell = lambda at, width: np.exp(-(((_T - at) / width) ** 2))
+#: Twelve templates: lines, turns and the classical reversal and continuation shapes.
+SHAPES: dict[str, np.ndarray] = {
+    "rise": _T, "fall": -_T, "dip": np.abs(_T - 0.5), "peak": -np.abs(_T - 0.5), "double_top": _bell(0.25, 0.12) + _bell(0.75, 0.12), "double_bottom": -_bell(0.25, 0.12) - _bell(0.75, 0.12),
+    "head_shoulder_top": 0.6 * _bell(0.2, 0.09) + _bell(0.5, 0.09) + 0.6 * _bell(0.8, 0.09), "head_shoulder_bottom": -0.6 * _bell(0.2, 0.09) - _bell(0.5, 0.09) - 0.6 * _bell(0.8, 0.09),
+    "flag_up": np.where(_T < 0.5, 2 * _T, 1 - 0.4 * (_T - 0.5)), "flag_down": np.where(_T < 0.5, -2 * _T, -1 + 0.4 * (_T - 0.5)), "hammer": np.where(_T < 0.8, -_T, -0.8 + 4 * (_T - 0.8)), "shooting_star": np.where(_T < 0.8, _T, 0.8 - 4 * (_T - 0.8)),
+}
 
 
-def parabolic(high, low, step: float = 0.02, most: float = 0.2) -> np.ndarray:
-    """Stop-and-reverse level of each row, from the second on."""
-    out = np.full(len(high), np.nan)
-    if len(high) < 2:
-        return out
-    long = high[1] - high[0] >= low[0] - low[1]
-    level, extreme, pace = (low[0], high[1], step) if long else (high[0], low[1], step)
-    for i in range(1, len(high)):
-        if long and low[i] <= level or not long and high[i] >= level:
-            long, level, pace = not long, extreme, step
-            extreme = high[i] if long else low[i]
-        out[i] = level
-        if long and high[i] > extreme or not long and low[i] < extreme:
-            extreme, pace = (high[i] if long else low[i]), min(pace + step, most)
-        level += pace * (extreme - level)
-        level = min(level, low[i], low[i - 1]) if long else max(level, high[i], high[i - 1])
-    return out
+def _z(rows: np.ndarray) -> np.ndarray:
+    sd = rows.std(1, keepdims=True)
+    return np.where(sd > 0, (rows - rows.mean(1, keepdims=True)) / np.where(sd > 0, sd, 1), 0.0)
 
 
-def zigzag(high, low, share: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """The last confirmed swing high and low known at each row: a swing is confirmed once price has turned by `share`."""
-    last_high, last_low = np.full(len(high), np.nan), np.full(len(high), np.nan)
-    top, bottom, direction = -np.inf, np.inf, 0
-    peak = trough = np.nan
-    for i in range(len(high)):
-        top, bottom = max(top, high[i]), min(bottom, low[i])
-        if direction >= 0 and low[i] <= top * (1 - share):
-            peak, direction, bottom = top, -1, low[i]
-            top = high[i]
-        elif direction <= 0 and high[i] >= bottom * (1 + share):
-            trough, direction, top = bottom, 1, high[i]
-            bottom = low[i]
-        last_high[i], last_low[i] = peak, trough
-    return last_high, last_low
-
-
-def hurst(x: np.ndarray, scales: tuple[int, ...] = (4, 8, 16, 32)) -> float:
-    """Slope of log fluctuation on log scale after removing a line in each segment."""
-    y = np.cumsum(x - x.mean())
-    points = []
-    for s in scales:
-        k = len(y) // s
-        if k >= 2:
-            seg = y[: k * s].reshape(k, s)
-            t = np.arange(s) - (s - 1) / 2
-            line = (seg * t).sum(1, keepdims=True) / (t**2).sum() * t + seg.mean(1, keepdims=True)
-            v = np.sqrt(((seg - line) ** 2).mean())
-            if v > 0:
-                points.append((np.log(s), np.log(v)))
-    if len(points) < 2:
-        return np.nan
-    a, b = np.array(points).T
-    return float(np.polyfit(a, b, 1)[0])
-
-
-def spectrum(x: np.ndarray) -> tuple[float, float, float, float]:
-    """Flatness, share of the lower half, entropy (0 to 1) and centroid (0 to 0.5) of the power spectrum of a Hann-windowed row."""
-    x = (x - x.mean()) * np.hanning(len(x))
-    p = np.abs(np.fft.rfft(x))[1:] ** 2
-    if p.sum() <= 0:
-        return np.nan, np.nan, np.nan, np.nan
-    q = p / p.sum()
-    freq = np.arange(1, len(p) + 1) / len(x)
-    some = q[q > 0]
-    return float(np.exp(np.log(p + 1e-300).mean()) / p.mean()), float(q[: len(q) // 2].sum()), float(-(some * np.log(some)).sum() / np.log(len(q))), float((freq * q).sum())
-
-
-def warped(a: np.ndarray, b: np.ndarray, band: int) -> float:
-    """Dynamic time warping distance of two z-scored rows within a band."""
-    n, m = len(a), len(b)
-    d = np.full((n + 1, m + 1), np.inf)
-    d[0, 0] = 0
+def warped(rows: np.ndarray, shape: np.ndarray, band: int = BAND) -> np.ndarray:
+    """Dynamic time warping distance of each row to a shape within a band: all rows move through the same table together."""
+    n, m = rows.shape[1], len(shape)
+    d = np.full((m + 1, len(rows)), np.inf)
+    d[0] = 0
     for i in range(1, n + 1):
+        now = np.full_like(d, np.inf)
         for j in range(max(1, i * m // n - band), min(m, i * m // n + band) + 1):
-            d[i, j] = abs(a[i - 1] - b[j - 1]) + min(d[i - 1, j], d[i, j - 1], d[i - 1, j - 1])
-    return float(d[n, m])
-
-
-def indicators(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential indicators of one symbol's ordered bars."""
-    c, h, lo, v = (pdf[x].to_numpy(float) for x in ("close", "high", "low", "volume"))
-    atr = wilder(true_range(h, lo, c), 14)
-    e12, e26 = ema(c, 12), ema(c, 26)
-    macd = e12 - e26
-    signal = ema(macd, 9)
-    plus, minus, adx = directional(h, lo, c)
-    zz_high, zz_low = zigzag(h, lo, 0.2)
-    e1 = ema(c, 10)
-    e2 = ema(e1, 10)
-    e3 = ema(e2, 10)
-    rng = np.where(h > lo, h - lo, np.nan)
-    ad = np.cumsum(np.nan_to_num((2 * c - h - lo) / rng) * v)
-    with np.errstate(all="ignore"):
-        out = pdf[["symbol", "ts"]].assign(
-            ema_20=ema(c, 20), ema_20_adjusted=ema(c, 20, seeded=False), tema=3 * e1 - 3 * e2 + e3, trix=100 * (e3 / np.concatenate([[np.nan], e3[:-1]]) - 1), kama=kama(c), rsi=rsi(c), atr=atr, natr=100 * atr / c, macd_atr=macd / atr, macd_signal_atr=signal / atr,
-            ppo=100 * macd / e26, plus_di=plus, minus_di=minus, adx=adx, dmi_direction=np.where(plus + minus > 0, (plus - minus) / (plus + minus), np.nan), sar=parabolic(h, lo), adosc=ema(ad, 3) - ema(ad, 10), zz_high=zz_high, zz_low=zz_low, dist_zz_high_atr=(zz_high - c) / atr)
-    return out
+            now[j] = np.abs(rows[:, i - 1] - shape[j - 1]) + np.minimum(np.minimum(d[j], now[j - 1]), d[j - 1])
+        d = now
+    return d[m]
+
+
+def warped_to_shapes(rows: np.ndarray) -> np.ndarray:
+    z = _z(rows)
+    return np.stack([warped(z, _z(s[None])[0]) for s in SHAPES.values()], 1)

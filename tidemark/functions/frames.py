@@ -179,7 +179,7 @@ def cross_rank(c, *keys: str) -> Column:
     """Percentile rank among the non-null rows of one moment, ties averaged."""
     c = _col(c)
     w = Window.partitionBy(*keys, c.isNull()).orderBy(c)
-    ties = F.count("*").over(Window.partitionBy(*keys, c))
+    ties = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
     n = F.count(c).over(Window.partitionBy(*keys))
     return F.when(c.isNotNull(), (F.rank().over(w) + (ties - 1) / 2) / n)
 

@@ -104,10 +104,8 @@ def vpin(ticks: DataFrame, size: float, n: int = 50) -> DataFrame:
 
 def session(ts: Column) -> Column:
     h = F.hour(ts)
-    return F.when(h < 8, "asia").when(h < 13, "eu").when(h < 21, "us").otherwise("late")
+    return F.when(h < 8, "asia").when(h < 14, "eu").when(h < 21, "us").otherwise("late")
 
 
 def month_grid(start: str, end: str, spark) -> DataFrame:
     return spark.sql(f"SELECT explode(sequence(date '{start}', date '{end}', interval 1 month)) AS month")
-
-

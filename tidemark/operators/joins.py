@@ -27,6 +27,35 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_t
     return seen.select("_row.*", *(F.when(fresh, F.col(f"_value.{v}")).alias(v) for v in values))
 
 
+def asof_one_series(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, values: list[str], right_tie: str) -> DataFrame:
+    """As asof, where all left rows look at one series: by day, with the series' last row of earlier days carried to each day.
+
+    Only a table with one row a day is ordered as a whole.
+    """
+    r = right.withColumn("_day", F.to_date(right_ts))
+    last = r.groupBy("_day").agg(F.max_by(F.struct(*values, right_ts, right_tie), F.struct(right_ts, right_tie)).alias("_last"))
+    days = left.select(F.to_date(left_ts).alias("_day")).distinct().join(last, "_day", "full_outer")
+    w = Window.partitionBy(F.lit(1)).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    carried = days.select("_day", F.last("_last", ignorenulls=True).over(w).alias("_last")).where("_last IS NOT NULL").select("_day", "_last.*")
+    both = r.select("_day", *values, right_ts, right_tie).unionByName(carried)
+    return asof(left.withColumn("_day", F.to_date(left_ts)), both, ["_day"], left_ts, right_ts, values, right_tie).drop("_day")
+
+
+def in_blocks(rows: DataFrame, ts: str, tie: str, warm: int, block: int = 100_000) -> DataFrame:
+    """One series cut into blocks of `block` rows, each with the `warm` rows before it: _n (place in the series), _block, _own.
+
+    Places come from counts of days and places within them, so nothing orders the whole series.
+    """
+    day = rows.withColumn("_day", F.to_date(ts))
+    counts = day.groupBy("_day").agg(F.count("*").alias("_rows"))
+    w = Window.partitionBy(F.lit(1)).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    starts = counts.select("_day", F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("_start"))
+    n = day.join(starts, "_day").withColumn("_n", F.col("_start") + F.row_number().over(Window.partitionBy("_day").orderBy(ts, tie)) - 1).drop("_day", "_start")
+    own = F.floor(F.col("_n") / block)
+    dealt = n.withColumn("_block", F.explode(F.sequence(own, F.floor((F.col("_n") + warm) / block))))
+    return dealt.withColumn("_own", F.col("_block") == own)
+
+
 def interval_sum(spans: DataFrame, points: DataFrame, start: str, end: str, point_ts: str, value: str, out: str) -> DataFrame:
     """Per span the sum of values at points in (start, end].
 

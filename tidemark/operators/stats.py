@@ -9,14 +9,36 @@ from tidemark.functions.frames import correlation
 
 
 def mean_rank(c: str, *keys: str) -> Column:
-    """Rank with ties averaged among the rows of the keys."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
+    """Rank with ties averaged among the rows of the keys, in one task a key: for keys of bounded size, such as a day's names."""
+    w = Window.partitionBy(*keys).orderBy(c)
+    return F.rank().over(w) + (F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
+
+
+def ranks_of_values(rows: DataFrame, value: str, *keys: str, parts: int = 64) -> DataFrame:
+    """keys, value, place (its rank with ties averaged) and rank (place over the number of rows), for keys of any size.
+
+    Equal values are counted first. A key's values are cut into parts at approximate
+    quantiles; each part is sorted by itself and begins where the counts of the parts before it
+    end, so no task sees more than about a share of 1 / parts of a key's distinct values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*(F.lit(k / parts) for k in range(1, parts))), 10_000).alias("edges"), F.sum("n").alias("total"))
+    placed = counts.join(edges, list(keys)) if keys else counts.crossJoin(F.broadcast(edges))  # one row
+    placed = placed.withColumn("part", F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges")
+    sums = placed.groupBy(*keys, "part").agg(F.sum("n").alias("of_part"))  # at most `parts` rows a key
+    before = F.sum("of_part").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*keys, "part", F.coalesce(before, F.lit(0)).alias("before"))
+    upto = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(value))
+    place = F.col("before") + F.col("upto") - (F.col("n") - 1) / 2
+    return placed.withColumn("upto", upto).join(sums, [*keys, "part"]).select(*keys, value, place.alias("place"), (place / F.col("total")).alias("rank"))
 
 
 def rank_ic(rows: DataFrame, features: list[str], targets: list[str], least: int = 100) -> DataFrame:
     """Spearman correlation of each feature with each target, the count, and its t statistic."""
     long = rows.unpivot(targets, features, "feature", "x").unpivot(["feature", "x"], targets, "target", "y").where("x IS NOT NULL AND y IS NOT NULL")
-    ranked = long.select("feature", "target", mean_rank("x", "feature", "target").alias("a"), mean_rank("y", "feature", "target").alias("b"))
+    pair = ["feature", "target"]
+    of_x, of_y = (ranks_of_values(long, c, *pair).select(*pair, c, F.col("place").alias(name)) for c, name in (("x", "a"), ("y", "b")))
+    ranked = long.join(of_x, [*pair, "x"]).join(of_y, [*pair, "y"])
     out = ranked.groupBy("feature", "target").agg(F.count("*").alias("n"), correlation("a", "b").alias("ic")).where(F.col("n") >= least)
     return out.withColumn("t", F.col("ic") * F.sqrt((F.col("n") - 2) / (1 - F.col("ic") ** 2)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -133,12 +135,13 @@ def _(spark, d):
     return peaks.groupBy("symbol").applyInPandas(keep, "symbol string, ts timestamp, volume double")
 
 
-@query("wn17_decayed_peak", f"WITH {HOURLY}, n AS (SELECT symbol, ts, volume, row_number() OVER ({_S}) AS k FROM bars), l AS (SELECT symbol, ts, k, list({{'v': volume, 'k': k}}) OVER {_w(200)} AS x FROM n) SELECT symbol, ts, list_max(list_transform(x, lambda q: q.v * pow(0.97, k - q.k))) AS peak FROM l")
+@query("wn17_decayed_peak", f"""WITH RECURSIVE {HOURLY}, n AS (SELECT symbol, ts, volume, row_number() OVER ({_S}) AS k FROM bars), m AS (SELECT symbol, ts, k, volume AS peak FROM n WHERE k = 1
+UNION ALL SELECT n.symbol, n.ts, n.k, greatest(n.volume, 0.97 * m.peak) FROM m JOIN n ON n.symbol = m.symbol AND n.k = m.k + 1) SELECT symbol, ts, peak FROM m""")
 def _(spark, d):
-    """m_t = max(s_t, 0.97 m_(t-1)): after 200 rows a value has lost 99.8 %, which bounds the frame."""
-    n = views.hourly(spark, d).withColumn("k", F.row_number().over(f.ordered))
-    x = F.collect_list(F.struct("volume", "k")).over(f.past(200))
-    return n.withColumn("x", x).select("symbol", "ts", F.array_max(F.transform("x", lambda q: q["volume"] * F.pow(F.lit(0.97), F.col("k") - q["k"]))).alias("peak"))
+    """m_t = max(s_t, 0.97 m_(t-1)): 0.97^t times the running maximum of s / 0.97^t, in logarithms, over the whole history."""
+    k, decay = F.row_number().over(f.ordered), F.lit(math.log(0.97))
+    n = views.hourly(spark, d).withColumn("k", k).withColumn("lift", F.when(F.col("volume") > 0, F.log("volume") - F.col("k") * decay))
+    return n.select("symbol", "ts", F.coalesce(F.exp(F.max("lift").over(f.so_far) + F.col("k") * decay), F.lit(0.0)).alias("peak"))
 
 
 @query("wn22_gate_drift", f"""WITH {HOURLY}, x AS (SELECT symbol, ts, CASE WHEN taker_buy_ratio > 0.6 THEN 1.0 ELSE 0.0 END AS pass, volume FROM bars) SELECT symbol, ts, CASE WHEN count(*) OVER {_w(300)} >= 60 THEN avg(pass) OVER {_w(300)} END AS pass_rate, CASE WHEN count(*) OVER {_w(300)} >= 60 THEN quantile_cont(volume, 0.95) OVER {_w(300)} END AS tail FROM x""")

@@ -5,17 +5,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.functions import filters
+from tidemark.functions import filters, recursive
 from tidemark.functions.catalog import add, listed
-from tidemark.functions.frames import cross_rank
+from tidemark.operators import stats
 from tidemark.operators.bars import BY_TIME as f
 from tidemark.plans.register import query
-from tidemark.plans.windows import _full, _list, _S, _w
+from tidemark.plans.windows import _full, _list, _S
 from tidemark.sources import views
 from tidemark.sources.views import HOURLY
 
 
-
 class _Bar:
     """A bar's columns, made when they are asked for: this module is read before any session exists."""
 
@@ -27,97 +26,21 @@ class _Bar:
 b = _Bar()
 
 
-def _some(expr: str, c: str, n: int, least: int) -> str:
-    return f"CASE WHEN count({c}) OVER {_w(n)} >= {least} THEN {expr} OVER {_w(n)} END"
-
-
-# --- one bar and short frames -------------------------------------------------------------
+# --- the catalog: features by name, with what they need ------------------------------------
 add("wick_upper", "price", ["open", "high", "low", "close"], lambda: F.when(b.span > 0, (b.h - F.greatest(b.o, b.c)) / b.span).otherwise(0.0))
 add("wick_lower", "price", ["open", "high", "low", "close"], lambda: F.when(b.span > 0, (F.least(b.o, b.c) - b.l) / b.span).otherwise(0.0))
-add("range_symmetry", "price", ["high", "low", "close"], lambda: F.log1p(b.h - b.c) - F.log1p(b.c - b.l))
-add("monday", "price", ["ts"], lambda: (F.weekday("ts") == 0).cast("int"))
-add("roc_5", "price", ["close"], lambda: f.change("close", 5))
-add("bb_width", "price", ["close"], lambda: 4 * f.std("close", 20) / f.mean("close", 20))
-add("bb_position", "price", ["close"], lambda: F.least(F.greatest((b.c - f.mean("close", 20) + 2 * f.std("close", 20)) / (4 * f.std("close", 20)), F.lit(0.0)), F.lit(1.0)))
-add("compression_score", "price", ["close"], lambda: 1 / (1 + 4 * f.std("close", 20) / f.mean("close", 20)))
-add("range_ratio_5", "price", ["high", "low"], lambda: F.log1p((f.max("high", 5) - f.min("low", 5)) / (f.max("high", 20) - f.min("low", 20))))
+add("change_5", "price", ["close"], lambda: f.change("close", 5))
 add("swing_high", "price", ["high"], lambda: F.max("high").over(f.ordered.rowsBetween(-24, -4)))
-add("sma_slope", "price", ["close"], lambda: F.coalesce((f.mean("close", 20) - F.avg("close").over(f.ordered.rowsBetween(-24, -5))) / f.mean("close", 20), F.lit(0.0)))
-add("sma_position", "price", ["close"], lambda: F.coalesce((b.c - f.mean("close", 50)) / f.mean("close", 50), F.lit(0.0)))
-add("ma_side", "price", ["close"], lambda: F.least(F.greatest((b.c - f.mean("close", 20)) / b.c, F.lit(-1.0)), F.lit(1.0)))
-add("expanding_drawdown", "price", ["close"], lambda: f.drawdown("close"))
-add("vwap_position", "flow", ["close", "high", "low", "volume"], lambda: (b.c - f.sum((b.h + b.l + b.c) / 3 * b.v, 60, 1) / f.sum("volume", 60, 1)) / b.c)
-add("volume_ratio", "flow", ["volume"], lambda: F.least(b.v / f.mean("volume", 20), F.lit(10.0)))
-add("tbr_mean", "flow", ["taker_buy_ratio"], lambda: f.mean("taker_buy_ratio", 20, 1))
-add("tbr_spike", "flow", ["taker_buy_ratio"], lambda: (F.col("taker_buy_ratio") > 1.5 * f.mean("taker_buy_ratio", 20, 1)).cast("int"))
-add("ofi_short", "flow", ["buy_qty", "sell_qty"], lambda: f.mean(F.when(F.col("buy_qty") + F.col("sell_qty") > 0, (F.col("buy_qty") - F.col("sell_qty")) / (F.col("buy_qty") + F.col("sell_qty"))), 10, 1))
 add("range_volume", "interaction", ["high", "low", "close", "volume"], lambda: F.coalesce(b.span / b.c * F.log1p("volume"), F.lit(0.0)))
 add("imbalance_range", "interaction", ["high", "low", "taker_buy_ratio"], lambda: F.coalesce((F.col("taker_buy_ratio") - 0.5) * b.span, F.lit(0.0)))
 
-_M20, _SD20 = _full("avg(close)", "close", 20), _full("stddev_samp(close)", "close", 20)
-_BARS_SQL = {
-    "wick_upper": "CASE WHEN high > low THEN (high - greatest(open, close)) / (high - low) ELSE 0 END", "wick_lower": "CASE WHEN high > low THEN (least(open, close) - low) / (high - low) ELSE 0 END",
-    "range_symmetry": "ln(1 + high - close) - ln(1 + close - low)", "monday": "CAST(isodow(ts) = 1 AS INTEGER)", "roc_5": f"close / lag(close, 5) OVER ({_S}) - 1", "bb_width": f"4 * {_SD20} / {_M20}",
-    "bb_position": f"CASE WHEN {_SD20} > 0 THEN least(greatest((close - {_M20} + 2 * {_SD20}) / (4 * {_SD20}), 0), 1) END", "compression_score": f"1 / (1 + 4 * {_SD20} / {_M20})",
-    "range_ratio_5": f"ln(1 + ({_full('max(high)', 'high', 5)} - {_full('min(low)', 'low', 5)}) / ({_full('max(high)', 'high', 20)} - {_full('min(low)', 'low', 20)}))",
-    "swing_high": f"max(high) OVER ({_S} ROWS BETWEEN 24 PRECEDING AND 4 PRECEDING)", "sma_slope": f"coalesce(({_M20} - avg(close) OVER ({_S} ROWS BETWEEN 24 PRECEDING AND 5 PRECEDING)) / {_M20}, 0)",
-    "sma_position": f"coalesce((close - {_full('avg(close)', 'close', 50)}) / {_full('avg(close)', 'close', 50)}, 0)", "ma_side": f"CASE WHEN {_M20} IS NOT NULL THEN least(greatest((close - {_M20}) / close, -1), 1) END",
-    "expanding_drawdown": f"close / max(close) OVER ({_S} ROWS UNBOUNDED PRECEDING) - 1", "vwap_position": f"(close - sum((high + low + close) / 3 * volume) OVER {_w(60)} / sum(volume) OVER {_w(60)}) / close",
-    "volume_ratio": f"CASE WHEN {_full('avg(volume)', 'volume', 20)} IS NOT NULL THEN least(volume / {_full('avg(volume)', 'volume', 20)}, 10) END", "tbr_mean": f"avg(taker_buy_ratio) OVER {_w(20)}", "tbr_spike": f"CAST(taker_buy_ratio > 1.5 * avg(taker_buy_ratio) OVER {_w(20)} AS INTEGER)",
-    "ofi_short": f"avg(CASE WHEN buy_qty + sell_qty > 0 THEN (buy_qty - sell_qty) / (buy_qty + sell_qty) END) OVER {_w(10)}", "range_volume": "coalesce((high - low) / close * ln(1 + volume), 0)", "imbalance_range": "coalesce((taker_buy_ratio - 0.5) * (high - low), 0)",
-}
-
-
-@query("fx002_to_fx177_bar_features", f"WITH {HOURLY} SELECT symbol, ts, " + ", ".join(f"{x} AS {k}" for k, x in _BARS_SQL.items()) + " FROM bars")
-def _(spark, d):
-    made = {x.name: x.build() for x in listed() if x.name in _BARS_SQL}
-    made["bb_position"] = F.when(f.std("close", 20) > 0, made["bb_position"])
-    made["ma_side"] = F.when(f.mean("close", 20).isNotNull(), made["ma_side"])
-    made["volume_ratio"] = F.when(f.mean("volume", 20).isNotNull(), made["volume_ratio"])
-    return views.hourly(spark, d).select("symbol", "ts", *(c.alias(k) for k, c in made.items()))
-
-
-# --- volatility block ---------------------------------------------------------------------
-_VOL = {
-    **{f"vol_{n}": (lambda n=n: f.std("r", n, n // 2), _some("stddev_samp(r)", "r", n, n // 2)) for n in (5, 10, 20, 60)},
-}
-_VOL2 = f"""v AS (SELECT symbol, ts, {', '.join(f'{x[1]} AS {k}' for k, x in _VOL.items())} FROM r)
-SELECT *, lag(vol_20, 1) OVER s AS vol_lag_1, lag(vol_20, 3) OVER s AS vol_lag_3, (vol_20 - lag(vol_20, 4) OVER s) / 4 AS vol_trend_5, vol_20 / lag(vol_20, 5) OVER s - 1 AS vol_mom_5, {_some('max(vol_20)', 'vol_20', 10, 1)} - {_some('min(vol_20)', 'vol_20', 10, 1)} AS vol_range_10,
-CASE WHEN count(vol_20) OVER {_w(20)} >= 20 AND stddev_samp(vol_20) OVER {_w(20)} > 0 THEN (vol_20 - avg(vol_20) OVER {_w(20)}) / stddev_samp(vol_20) OVER {_w(20)} END AS vol_z_20 FROM v WINDOW s AS ({_S})"""
-
-
-@query("fx108_to_fx115_volatility", f"WITH {HOURLY}, r AS (SELECT symbol, ts, close / lag(close) OVER ({_S}) - 1 AS r FROM bars), {_VOL2}")
-def _(spark, d):
-    r = views.hourly(spark, d).select("symbol", "ts", f.change("close").alias("r"))
-    v = r.select("symbol", "ts", *(x[0]().alias(k) for k, x in _VOL.items()))
-    return v.select("*", f.lag("vol_20").alias("vol_lag_1"), f.lag("vol_20", 3).alias("vol_lag_3"), ((F.col("vol_20") - f.lag("vol_20", 4)) / 4).alias("vol_trend_5"), (F.col("vol_20") / f.lag("vol_20", 5) - 1).alias("vol_mom_5"), (f.max("vol_20", 10, 1) - f.min("vol_20", 10, 1)).alias("vol_range_10"), f.zscore("vol_20", 20).alias("vol_z_20"))
-
-
-# --- flow in volume buckets: means, changes, ranks, spikes --------------------------------
-@query("fx074_to_fx083_flow_statistics", f"""WITH {HOURLY}, x AS (SELECT symbol, ts, abs(buy_qty - sell_qty) / (buy_qty + sell_qty) AS x FROM bars), l AS (SELECT *, {_list('x', 20)} AS v, median(x) OVER {_w(20)} AS m FROM x)
-SELECT symbol, ts, avg(x) OVER {_w(20)} AS x_mean, max(x) OVER {_w(20)} AS x_max, x - lag(x) OVER ({_S}) AS x_change, CASE WHEN len(v) = 20 THEN (len(list_filter(v, lambda y: y <= x)) - 1) / 19.0 END AS x_rank, {_some('stddev_samp(x)', 'x', 10, 2)} AS x_sd, avg(x) OVER {_w(5)} - avg(x) OVER {_w(20)} AS x_momentum,
-CAST(coalesce(abs(x - m) > 3 * 1.4826 * list_median(list_transform(v, lambda y: abs(y - m))), false) AS INTEGER) AS x_spike FROM l""")
-def _(spark, d):
-    x = views.hourly(spark, d).select("symbol", "ts", (F.abs(F.col("buy_qty") - F.col("sell_qty")) / (F.col("buy_qty") + F.col("sell_qty"))).alias("x"))
-    values = F.collect_list("x").over(f.past(20))
-    rank = F.when(F.size(values) == 20, (F.size(F.filter(values, lambda y: y <= F.col("x"))) - 1) / 19)
-    middle = F.percentile("x", F.lit(0.5)).over(f.past(20))
-    away = F.array_sort(F.transform(values, lambda y: F.abs(y - middle)))
-    mad = (F.element_at(away, F.floor((F.size(away) + 1) / 2).cast("int")) + F.element_at(away, F.floor((F.size(away) + 2) / 2).cast("int"))) / 2
-    return x.select("symbol", "ts", f.mean("x", 20, 1).alias("x_mean"), f.max("x", 20, 1).alias("x_max"), f.delta("x").alias("x_change"), rank.alias("x_rank"), f.std("x", 10, 2).alias("x_sd"), (f.mean("x", 5, 1) - f.mean("x", 20, 1)).alias("x_momentum"), F.coalesce(F.abs(F.col("x") - middle) > 3 * 1.4826 * mad, F.lit(False)).cast("int").alias("x_spike"))
-
 
+# --- ranks over everything -------------------------------------------------------------------
 @query("fx143_fx148_global_rank", f"""WITH {HOURLY}, x AS (SELECT symbol, ts, (taker_buy_ratio - 0.5) * volume AS x FROM bars), k AS (SELECT *, (rank() OVER (ORDER BY abs(x)) + (count(*) OVER (PARTITION BY abs(x)) - 1) / 2.0) / count(*) OVER () AS k FROM x) SELECT symbol, ts, coalesce(k, 0.5) AS global_rank, sign(x) * k AS signed_rank FROM k""")
 def _(spark, d):
     x = views.hourly(spark, d).select("symbol", "ts", ((F.col("taker_buy_ratio") - 0.5) * b.v).alias("x"))
-    # the rank of a value needs one row a distinct value, not one sort of all rows
-    counts = x.groupBy(F.abs("x").alias("a")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    total = x.agg(F.count("*").alias("total"))
-    run = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("a")))
-    ranked = run.crossJoin(F.broadcast(total)).select("a", ((F.col("upto") - (F.col("n") - 1) / 2) / F.col("total")).alias("k"))
-    return x.join(ranked, F.abs(x["x"]) == ranked["a"], "left").select("symbol", "ts", F.coalesce("k", F.lit(0.5)).alias("global_rank"), (F.signum("x") * F.col("k")).alias("signed_rank"))
+    ranked = stats.ranks_of_values(x.select(F.abs("x").alias("a")), "a")
+    return x.join(ranked, F.abs(x["x"]) == ranked["a"], "left").select("symbol", "ts", F.coalesce("rank", F.lit(0.5)).alias("global_rank"), (F.signum("x") * F.col("rank")).alias("signed_rank"))
 
 
 # --- indicators that are frames ------------------------------------------------------------
@@ -143,74 +66,65 @@ def _(spark, d):
 
 
 # --- sequential filters ----------------------------------------------------------------------
-_REC = ("ema_20", "ema_20_adjusted", "tema", "trix", "kama", "rsi", "atr", "natr", "macd_atr", "macd_signal_atr", "ppo", "plus_di", "minus_di", "adx", "dmi_direction", "sar", "adosc", "zz_high", "zz_low", "dist_zz_high_atr")
+_REC = ("ema_20", "ewm_20", "tema", "trix", "kama", "rsi", "rsi_7", "rsi_21", "cmo", "atr", "atr_7", "atr_21", "natr", "ppo", "plus_di", "minus_di", "adx", "adxr", "adx_50", "plus_di_200", "minus_di_200", "macdfix", "macdfix_signal", "sar", "sar_ext", "adosc", "zigzag", "zz_high", "zz_low")
 
 
 @query("ta02_to_ta33_recursive_indicators")
 def _(spark, d):
-    rows = views.hourly(spark, d).select("symbol", "ts", "close", "high", "low", "volume")
-    return filters.overlapped(rows, ["symbol"], ["ts"], "symbol string, ts timestamp, " + ", ".join(f"{x} double" for x in _REC), filters.indicators)
+    return recursive.with_indicators(views.hourly(spark, d)).select("symbol", "ts", *_REC)
 
 
 @query("ta02_wn13_ema_seeded", f"""WITH RECURSIVE {HOURLY}, k AS (SELECT symbol, ts, close, row_number() OVER ({_S}) AS k, avg(close) OVER ({_S} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m FROM bars),
 e AS (SELECT symbol, ts, k, m AS ema FROM k WHERE k = 20 UNION ALL SELECT k.symbol, k.ts, k.k, e.ema + 2.0 / 21 * (k.close - e.ema) FROM e JOIN k ON k.symbol = e.symbol AND k.k = e.k + 1) SELECT k.symbol, k.ts, e.ema FROM k LEFT JOIN e USING (symbol, ts)""")
 def _(spark, d):
-    rows = views.hourly(spark, d).select("symbol", "ts", "close")
-    made = filters.overlapped(rows, ["symbol"], ["ts"], "symbol string, ts timestamp, ema double", lambda p: p[["symbol", "ts"]].assign(ema=filters.ema(p["close"].to_numpy(), 20)))
-    return made.withColumn("ema", F.when(~F.isnan("ema"), F.col("ema")))
+    return recursive.with_indicators(views.hourly(spark, d)).select("symbol", "ts", F.col("ema_20").alias("ema"))
 
 
-@query("fx064_fx161_hurst_spectrum")
+#: Bars that a rolling kernel looks at.
+LENGTH = 128
+
+
+@query("fx064_fx161_to_fx164_hurst_spectrum")
 def _(spark, d):
-    """Rolling numeric kernels over the last 128 bars, every 8th bar."""
+    """Rolling kernels over the last 128 values of every bar: of returns, signed volume and volume; null before."""
 
     def run(pdf):
-        r = np.diff(np.log(pdf["close"].to_numpy()), prepend=np.nan)
-        h, s = np.full(len(r), np.nan), np.full((len(r), 4), np.nan)
-        for i in range(128, len(r), 8):
-            h[i], s[i] = filters.hurst(r[i - 127 : i + 1]), filters.spectrum(r[i - 127 : i + 1])
-        return pdf[["symbol", "ts"]].assign(hurst=h, flatness=s[:, 0], low_share=s[:, 1], entropy=s[:, 2], centroid=s[:, 3])
+        rows = {"price": np.diff(np.log(pdf["close"].to_numpy()), prepend=np.nan), "cvd": (pdf["buy_qty"] - pdf["sell_qty"]).to_numpy(float), "volume": pdf["volume"].to_numpy(float)}
+        out = {}
+        for name, x in rows.items():
+            out[f"hurst_{name}"] = filters.rolling(filters.hursts, x, LENGTH, 1)[:, 0]
+            for part, values in zip(("flatness", "low_share", "entropy", "centroid"), filters.rolling(filters.spectra, x, LENGTH, 4).T):
+                out[f"{part}_{name}"] = values
+        return pdf[["symbol", "ts"]].assign(**out)
 
-    rows = views.hourly(spark, d).select("symbol", "ts", "close")
-    made = filters.overlapped(rows, ["symbol"], ["ts"], "symbol string, ts timestamp, hurst double, flatness double, low_share double, entropy double, centroid double", run, warm=256)
-    return made.where("hurst IS NOT NULL AND NOT isnan(hurst)")
+    names = [f"{k}_{x}" for x in ("price", "cvd", "volume") for k in ("hurst", "flatness", "low_share", "entropy", "centroid")]
+    rows = views.hourly(spark, d).select("symbol", "ts", "close", "volume", "buy_qty", "sell_qty")
+    return filters.overlapped(rows, ["symbol"], ["ts"], "symbol string, ts timestamp, " + ", ".join(f"{x} double" for x in names), run, warm=LENGTH)
 
 
-@query("fx117_dtw_templates")
+@query("fx117_xf20_dtw_templates")
 def _(spark, d):
-    """Distance of the last 24 closes to three shapes, and the nearest one."""
-    t = np.linspace(0, 1, 24)
-    shapes = {"rise": t, "dip": np.abs(t - 0.5), "peak": -np.abs(t - 0.5)}
-    z = lambda x: (x - x.mean()) / x.std() if x.std() > 0 else x * 0
+    """Distance of the last 20 closes to each shape, and the nearest one, for every bar; null before the 20th."""
 
     def run(pdf):
-        c = pdf["close"].to_numpy()
-        out = np.full((len(c), len(shapes)), np.nan)
-        for i in range(23, len(c), 12):
-            out[i] = [filters.warped(z(c[i - 23 : i + 1]), z(s), 4) for s in shapes.values()]
-        best = [list(shapes)[int(np.argmin(o))] if not np.isnan(o).any() else None for o in out]
-        return pdf[["symbol", "ts"]].assign(**{k: out[:, j] for j, k in enumerate(shapes)}, best=best)
+        found = filters.rolling(filters.warped_to_shapes, pdf["close"].to_numpy(float), filters.SHAPE_LENGTH, len(filters.SHAPES))
+        names = np.array([*filters.SHAPES, None], object)
+        best = names[np.where(np.isnan(found).any(1), len(filters.SHAPES), np.nan_to_num(found, nan=np.inf).argmin(1))]
+        return pdf[["symbol", "ts"]].assign(**dict(zip(filters.SHAPES, found.T)), best=best)
 
     rows = views.hourly(spark, d).select("symbol", "ts", "close")
-    made = filters.overlapped(rows, ["symbol"], ["ts"], "symbol string, ts timestamp, rise double, dip double, peak double, best string", run, warm=48)
-    return made.where("best IS NOT NULL")
+    return filters.overlapped(rows, ["symbol"], ["ts"], "symbol string, ts timestamp, " + ", ".join(f"{x} double" for x in filters.SHAPES) + ", best string", run, warm=filters.SHAPE_LENGTH)
 
 
-@query("ud01_ud02_catalog")
+_KNOWN = {"wick_upper": "open", "wick_lower": "open", "change_5": f"lag(close, 5) OVER ({_S})", "swing_high": f"lag(high, 4) OVER ({_S})", "range_volume": "open", "imbalance_range": "open"}
+_ROWS = ", ".join(f"('{x.name}', '{x.category}', '{','.join(x.inputs)}')" for x in listed())
+
+
+@query("ud01_ud02_catalog", f"""WITH {HOURLY}, k AS (SELECT {', '.join(f'{x} AS {n}' for n, x in _KNOWN.items())} FROM bars), c AS (SELECT unnest([{', '.join(f"{{'feature': '{n}', 'known': (SELECT count({n}) FROM k)}}" for n in _KNOWN)}], recursive := true)),
+f(feature, category, inputs) AS (VALUES {_ROWS}) SELECT feature, category, inputs, known FROM f JOIN c USING (feature)""")
 def _(spark, d):
     """The registered features with the number of bars on which each is known."""
     rows = views.hourly(spark, d)
     known = rows.select(*(x.build().alias(x.name) for x in listed())).agg(*(F.count(x.name).alias(x.name) for x in listed()))
     names = F.array(*(F.struct(F.lit(x.name).alias("feature"), F.lit(x.category).alias("category"), F.lit(",".join(x.inputs)).alias("inputs"), F.col(x.name).alias("known")) for x in listed()))
     return known.select(F.inline(names))
-
-
-@query("fx025_atr_rank", f"""WITH {HOURLY}, t AS (SELECT symbol, ts, {_TR} AS tr FROM bars), a AS (SELECT symbol, ts, {_full('avg(tr)', 'tr', 14)} AS atr FROM t), l AS (SELECT *, list(atr) FILTER (atr IS NOT NULL) OVER {_w(100)} AS v FROM a), p AS (SELECT symbol, ts, CASE WHEN len(v) >= 100 THEN len(list_filter(v, lambda x: x <= atr)) / 100.0 END AS p FROM l)
-SELECT symbol, ts, lag(p) OVER ({_S}) AS atr_percentile, (rank() OVER (PARTITION BY ts, p IS NULL ORDER BY p) + (count(*) OVER (PARTITION BY ts, p) - 1) / 2.0) / nullif(count(p) OVER (PARTITION BY ts), 0) * CASE WHEN p IS NOT NULL THEN 1 END AS across_symbols FROM p""")
-def _(spark, d):
-    before = f.lag("close")
-    rows = views.hourly(spark, d).select("symbol", "ts", F.when(before.isNotNull(), F.greatest(b.h - b.l, F.abs(b.h - before), F.abs(b.l - before))).alias("tr"))
-    rows = rows.withColumn("atr", f.mean("tr", 14))
-    values = F.collect_list("atr").over(f.past(100))
-    rows = rows.withColumn("p", F.when(F.size(values) >= 100, F.size(F.filter(values, lambda x: x <= F.col("atr"))) / 100))
-    return rows.select("symbol", "ts", f.lag("p").alias("atr_percentile"), cross_rank("p", "ts").alias("across_symbols"))

@@ -16,11 +16,10 @@ from tidemark.sources.views import DAILY, FUNDING, HOURLY, INDUSTRY, SEGMENT_ROW
 @query("jn01_funding_asof", f"""WITH {HOURLY}, {FUNDING}, z AS (SELECT ts, seq, funding_rate, CASE WHEN count(*) OVER w >= 10 AND stddev_samp(funding_rate) OVER w > 0 THEN (funding_rate - avg(funding_rate) OVER w) / stddev_samp(funding_rate) OVER w END AS funding_z
 FROM funding WINDOW w AS (ORDER BY ts, seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)) SELECT b.symbol, b.ts, b.close, z.funding_rate, z.funding_z FROM bars b ASOF LEFT JOIN z ON b.ts >= z.ts""")
 def _(spark, d):
-    one = views.funding(spark, d).withColumn("series", F.lit("funding"))  # one low-frequency series, ordered by itself
-    f = Frames(("series",), ("ts", "seq"))
-    native = one.withColumn("funding_z", f.zscore("funding_rate", 50, 10))
-    left = views.hourly(spark, d).select("symbol", "ts", "close").withColumn("series", F.lit("funding"))
-    return joins.asof(left, native, ["series"], "ts", "ts", ["funding_rate", "funding_z"], right_tie="seq").drop("series")
+    native = joins.in_blocks(views.funding(spark, d), "ts", "seq", warm=49)
+    native = native.withColumn("funding_z", Frames(("_block",), ("_n",)).zscore("funding_rate", 50, 10)).where("_own")
+    left = views.hourly(spark, d).select("symbol", "ts", "close")
+    return joins.asof_one_series(left, native.select("ts", "seq", "funding_rate", "funding_z"), "ts", "ts", ["funding_rate", "funding_z"], "seq")
 
 
 @query("jn02_jn16_symbol_asof", f"""WITH {HOURLY}, t AS (SELECT symbol, ts + INTERVAL 7 MINUTE AS ts, close FROM bars) SELECT t.symbol, t.ts, t.close, b.ts AS bar_ts, CASE WHEN b.ts + INTERVAL 30 MINUTE >= t.ts THEN b.open END AS mark
@@ -81,10 +80,11 @@ def _(spark, d):
     days = views.daily(spark, d).select("date").distinct()
     w = Window.partitionBy(F.lit(1)).orderBy("date")  # one row a trading day
     c = days.select(F.col("date").alias("snapped"), F.row_number().over(w).alias("k"))
-    t = views.trades(spark, d).select("trade_id", "entry_time", F.lit(1).alias("one"))
-    at = joins.asof(t, c.withColumn("one", F.lit(1)), ["one"], "entry_time", "snapped", ["snapped", "k"])
+    t = views.trades(spark, d).select("trade_id", "entry_time")
+    dates = t.select("entry_time").distinct().withColumn("one", F.lit(1))  # one row a date
+    at = joins.asof(dates, c.withColumn("one", F.lit(1)), ["one"], "entry_time", "snapped", ["snapped", "k"])
     ends = c.select(F.col("snapped").alias("end_date"), (F.col("k") - 20).alias("k"))
-    return at.join(ends, "k", "left").select("trade_id", "entry_time", "snapped", "end_date")
+    return t.join(at.join(ends, "k", "left").select("entry_time", "snapped", "end_date"), "entry_time").select("trade_id", "entry_time", "snapped", "end_date")
 
 
 @query("jn12_se02_full_merge", f"""WITH {HOURLY}, a AS (SELECT symbol, ts, close, volume FROM bars WHERE hour(ts) < 14), b AS (SELECT symbol, ts, open AS close, trade_count FROM bars WHERE hour(ts) >= 10)

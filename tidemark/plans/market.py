@@ -85,7 +85,7 @@ def _(spark, d):
     return bars.vpin(views.ticks(spark, d), 500.0, 50)
 
 
-@query("br10_sessions", f"""WITH {HOURLY} SELECT symbol, ts, CASE WHEN hour(ts) < 8 THEN 'asia' WHEN hour(ts) < 13 THEN 'eu' WHEN hour(ts) < 21 THEN 'us' ELSE 'late' END AS session, sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * hour(ts) / 24) AS hour_cos FROM bars""")
+@query("br10_sessions", f"""WITH {HOURLY} SELECT symbol, ts, CASE WHEN hour(ts) < 8 THEN 'asia' WHEN hour(ts) < 14 THEN 'eu' WHEN hour(ts) < 21 THEN 'us' ELSE 'late' END AS session, sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * hour(ts) / 24) AS hour_cos FROM bars""")
 def _(spark, d):
     turn = 2 * F.pi() * F.hour("ts") / 24
     return views.hourly(spark, d).select("symbol", "ts", bars.session(F.col("ts")).alias("session"), F.sin(turn).alias("hour_sin"), F.cos(turn).alias("hour_cos"))

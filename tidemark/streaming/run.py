@@ -12,17 +12,19 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or below one temporary folder where that is unset."""
+    """A new folder below spark.checkpoint.dir; in local mode, where that is unset, below one temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidemark-stream-"))
     return f"{named.rstrip('/')}/tidemark/{uuid.uuid4().hex}/{name}"
 
 
 def ticks(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """The event file of a folder as a stream of trade prints."""
+    """The event files of a folder as a stream of trade prints; a trigger takes one file, which bounds what a key gets at once."""
     shape = spark.read.parquet(f"{folder}/{name}").schema
-    e = spark.readStream.schema(shape).option("pathGlobFilter", name).parquet(folder)
+    e = spark.readStream.schema(shape).option("pathGlobFilter", name).option("maxFilesPerTrigger", 1).parquet(folder)
     return e.select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("user_id"), (100 + F.col("value")).alias("price"),
         (1 + F.get_json_object("props", "$.k").cast("double")).alias("volume"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("side"),
