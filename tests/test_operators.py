@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import catalog, filters
+from tidemark.functions import catalog
 from tidemark.functions.frames import Frames, correlation
 from tidemark.operators import bars, joins, labels, panels, quality, rules, stats
 
@@ -92,25 +92,6 @@ def test_rules(spark):
         rules.predicate("z > 1", ["x"])
 
 
-def test_overlapped_blocks_agree_with_one_pass(spark):
-    x = np.random.default_rng(1).normal(size=900).cumsum()
-    df = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate(x)], "symbol string, ts long, close double")
-    f = lambda p: p[["symbol", "ts"]].assign(e=filters.ema(p["close"].to_numpy(), 10))
-    got = filters.overlapped(df, ["symbol"], ["ts"], "symbol string, ts long, e double", f, block=200, warm=150).orderBy("ts").toPandas()["e"].to_numpy()
-    assert len(got) == 900 and np.allclose(got[9:], filters.ema(x, 10)[9:], atol=1e-6)
-
-
-def test_filters_on_plain_paths():
-    up = np.arange(1.0, 61.0)
-    assert np.nanmin(filters.rsi(up)) == 100 and filters.wilder(np.full(20, 3.0), 5)[-1] == 3
-    plus, minus, adx = filters.directional(up + 1, up - 1, up)
-    assert plus[-1] > minus[-1] == 0 and adx[-1] == pytest.approx(100)
-    assert (filters.parabolic(up + 1, up - 1)[2:] < up[2:]).all()
-    high, low = filters.zigzag(np.array([10, 12, 11, 9, 10, 13.0]), np.array([9, 11, 10, 8, 9, 12.0]), 0.2)
-    assert high[3] == 12 and low[5] == 8 and low[3] == 9
-    assert filters.warped(up, up, 3) == 0 and 0.3 < filters.hurst(np.random.default_rng(0).normal(size=512)) < 0.7
-
-
 def test_quality_and_catalog(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, 3.0), ("a", 3, None)], "symbol string, ts int, x double")
     assert [r.x for r in quality.filled(df, "x", FR, "ffill").orderBy("ts").collect()] == [None, 3.0, 3.0]

@@ -156,8 +156,8 @@ def _vol(p: Bars, n: int = 20) -> str:
 
 
 def _atr_filled(p: Bars) -> str:
-    """Carried forward; the definition also fills the first bars from later ones, which this does not."""
-    return p.level("greatest(atr, 1e-8)")
+    """Null before the first value, where the definition fills from later bars."""
+    return p.level("CASE WHEN atr IS NOT NULL THEN greatest(atr, 1e-8) END")
 
 
 def _cross(p: Bars, fast: str, slow: str, up: bool, valid: str) -> str:
@@ -316,7 +316,7 @@ def _memory(p: Bars) -> str:
     """m = max(s, 0.97 m): 0.97^t times the running maximum of s / 0.97^t, in logarithms."""
     s, t = p.level(f"greatest(0, (2e-1 - coalesce({_atr_share(p)}, 5e-1)) / 2e-1)"), p.clock
     top = p.so_far("max", f"CASE WHEN {s} > 0 THEN ln({s}) - {t} * ln(97e-2) END")
-    return f"coalesce(least(exp({top} + {t} * ln(97e-2)), 1), 0)"
+    return f"CASE WHEN {top} IS NOT NULL THEN least(exp({top} + {t} * ln(97e-2)), 1) ELSE 0 END"
 
 
 def _cvd(p: Bars) -> str:
@@ -327,7 +327,7 @@ def _decoupling(p: Bars, n: int = 60) -> str:
     """How closely changes of signed volume and log returns move together, whatever the sign."""
     d, r, w = p.level(f"coalesce({p.delta(_cvd(p), 1)}, 0)"), p.level(f"coalesce(ln(close / {p.lag('close', 1)}), 0)"), p.frame(n)
     value = f"covar_pop({d}, {r}) OVER {w} / nullif(stddev_pop({d}) OVER {w} * stddev_pop({r}) OVER {w}, 0)"
-    return p.level(f"coalesce(least(abs(CASE WHEN {p.clock} >= {max(n // 2, 10)} THEN {value} END), 1), 0)")
+    return p.level(_or(clip(p.level(f"abs(CASE WHEN {p.clock} >= {max(n // 2, 10)} THEN {value} END)"), "0", "1"), "0"))
 
 
 def _vwap(p: Bars) -> str:
