@@ -123,6 +123,7 @@ def _matches(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: str =
 
     pick = f"CASE {' '.join(f'WHEN words = {k} THEN {_shingles("h", k)}' for k in range(1, SHINGLE))} ELSE {_shingles('h', SHINGLE)} END"
     prints = windows.select("h", "words").distinct().select("h", "words", F.expr(pick).alias("s")).select("*", F.expr(_simhash("s")).alias("f"))
+    prints = staged(prints, "prints")  # its blocks would each compute the print anew
     holders = first.select("shingle", "words", "item").distinct()
     held = windows.select("h", "words", "shingle").distinct().join(holders, ["shingle", "words"]).select("h", "words", "item").distinct()
     left = prints.join(held, ["h", "words"]).select("*", F.expr(f"inline({_blocks('f')})"))
