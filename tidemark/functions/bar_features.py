@@ -37,7 +37,7 @@ class Bars(Levels):
 
     def soft_z(self, x: str, n: int, least: int = 1, eps: str = "1e-10") -> str:
         x = self.level(x)
-        return self.add(f"({x} - {self.some('avg', x, n, least)}) / ({self.some('stddev_samp', x, n, least)} + {eps})")
+        return self.add(self.near(f"({x} - {self.some('avg', x, n, least)}) / ({self.some('stddev_samp', x, n, least)} + {eps})", 6))
 
     def share_below(self, x: str, n: int, least: int | None = None, own: bool = False) -> str:
         """The share of the n - 1 bars before (own: of all n) whose value is at most the current one; the frame must have `least` values."""
@@ -350,6 +350,73 @@ def _since(p: Bars, x: str) -> str:
     return f"least((len({values}) - list_position({values}, list_max({values}))) / 50e0, 1)"
 
 
+def _ratio(a: str, b: str) -> str:
+    return f"({a} - {b}) / ({a} + {b} + 1e-10)"
+
+
+def _means(name: str, x: str) -> dict[str, Callable[[Bars], str]]:
+    return {f"{name}_ma{n}": (lambda p, n=n: p.some("avg", x, n)) for n in (5, 10, 20)}
+
+
+def _zs(name: str, x: str) -> dict[str, Callable[[Bars], str]]:
+    return {f"{name}_zscore_{n}": (lambda p, n=n: p.soft_z(x, n)) for n in (20, 50)}
+
+
+def _spike(p: Bars, n: int) -> str:
+    """Above the frame's median by two median absolute deviations."""
+    values = p.add(p._list("vpin", n))
+    if p.dialect == "spark":
+        m = p.add(f"percentile(vpin, 5e-1) OVER {p.frame(n)}")
+        away = p.level(f"array_sort(transform({values}, q -> abs(q - {m})))")
+        mad = f"({away}[CAST((size({away}) - 1) DIV 2 AS INT)] + {away}[CAST(size({away}) DIV 2 AS INT)]) / 2"
+    else:
+        m = p.add(f"median(vpin) OVER {p.frame(n)}")
+        mad = f"list_median(list_transform({values}, lambda q: abs(q - {m})))"
+    return f"CASE WHEN {p.near('vpin', 12)} > {p.near(f'({m} + 2 * {mad})', 12)} THEN 1 ELSE 0 END"
+
+
+def _mean_rank(p: Bars, n: int) -> str:
+    """Percentile of the last value in its frame: the mean of the shares below and at most it."""
+    x = p.level(p.near("vpin", 12))
+    values = p.add(p._list(x, n))
+    size, keep, arrow = ("size", "filter", "q -> q") if p.dialect == "spark" else ("len", "list_filter", "lambda q: q")
+    return f"CASE WHEN {x} IS NOT NULL THEN ({size}({keep}({values}, {arrow} < {x})) + {size}({keep}({values}, {arrow} <= {x}))) / (2e0 * {size}({values})) END"
+
+
+def _intensity(p: Bars) -> str:
+    total = p.level("coalesce(buy_run_count, 0) + coalesce(sell_run_count, 0)")
+    active = clip(f"({total} / ({p.some('avg', total, 20, 5)} + 1e-8))", "0", "3")
+    flow = f"least(6e-1 * abs((coalesce(buy_run_count, 0) - coalesce(sell_run_count, 0)) / ({total} + 1e-8)) + 4e-1 * abs(coalesce(imbalance_ratio, 0)), 1)"
+    return p.level(f"least({flow} * (1 - least(greatest(coalesce(directional_entropy, 1), 0), 1)) * coalesce({active} / 3, 0), 1)")
+
+
+def _moved(p: Bars) -> str:
+    return p.level("least(coalesce((high - low) / greatest(coalesce(atr, 1e-8), 1e-8), 0) / 5e-1, 1)")
+
+
+_NET, _TOTAL = "(buy_run_count - sell_run_count)", "(buy_run_count + sell_run_count)"
+#: Over the columns of bars.with_flow.
+FLOW_FEATURES: dict[str, dict[str, Callable[[Bars], str]]] = {
+    "fx074_fx076_to_fx083_vpin": {
+        "ofi_short": lambda p: _or(p.some("avg", "vpin_signed_imbalance", 5), "0"), **_means("vpin", "vpin"), **{f"vpin_max{n}": (lambda p, n=n: p.some("max", "vpin", n)) for n in (5, 10, 20)}, "vpin_change": lambda p: p.delta("vpin", 1), "vpin_change_pct": lambda p: f"{p.delta('vpin', 1)} / ({p.lag('vpin', 1)} + 1e-9)",
+        **_zs("vpin", "vpin"), **{f"vpin_quantile_rank_{n}": (lambda p, n=n: _mean_rank(p, n)) for n in (20, 50)}, **{f"vpin_volatility_{n}": (lambda p, n=n: p.some("stddev_samp", "vpin", n)) for n in (10, 20)}, **{f"vpin_spike_flag_{n}": (lambda p, n=n: _spike(p, n)) for n in (20, 50)},
+        "vpin_momentum": lambda p: f"{p.some('avg', 'vpin', 5)} - {p.some('avg', 'vpin', 20)}", **_zs("vpin_signed_imbalance", "vpin_signed_imbalance"),
+    },
+    "fx084_fx086_to_fx106_trade_clusters": {
+        "trade_cluster_flow_intensity": _intensity, "trade_cluster_absorption_score": lambda p: f"{_intensity(p)} * {_moved(p)}", "trade_cluster_exhaustion_score": lambda p: f"{_intensity(p)} * (1 - {_moved(p)})",
+        **{f"trade_cluster_{x}": (lambda p, x=x: x) for x in ("max_buy_run", "max_sell_run", "avg_buy_run", "avg_sell_run", "buy_run_count", "sell_run_count", "imbalance_ratio", "directional_entropy")},
+        "trade_cluster_max_run_ratio": lambda p: _ratio("max_buy_run", "max_sell_run"), "trade_cluster_max_run": lambda p: "greatest(max_buy_run, max_sell_run)", "trade_cluster_buy_sell_max_ratio": lambda p: "max_buy_run / (max_sell_run + 1e-10)", "trade_cluster_avg_run_ratio": lambda p: _ratio("avg_buy_run", "avg_sell_run"), "trade_cluster_buy_sell_avg_ratio": lambda p: "avg_buy_run / (avg_sell_run + 1e-10)",
+        "trade_cluster_total_run_length": lambda p: "avg_buy_run * buy_run_count + avg_sell_run * sell_run_count", "trade_cluster_avg_run_length": lambda p: f"(avg_buy_run * buy_run_count + avg_sell_run * sell_run_count) / ({_TOTAL} + 1e-10)", "trade_cluster_net_runs": lambda p: _NET, "trade_cluster_total_runs": lambda p: _TOTAL, "trade_cluster_net_runs_ratio": lambda p: clip(f"({_NET} / ({_TOTAL} + 1e-10))", "-1", "1"),
+        **_means("trade_cluster_directional_entropy", "directional_entropy"), "trade_cluster_directional_entropy_change": lambda p: p.delta("directional_entropy", 1), **_zs("trade_cluster_directional_entropy", "directional_entropy"), **_means("trade_cluster_max_buy_run", "max_buy_run"), **_means("trade_cluster_imbalance_ratio", "imbalance_ratio"), **_means("trade_cluster_net_runs", _NET), **_means("trade_cluster_total_runs", _TOTAL),
+        **_zs("trade_cluster_imbalance", "imbalance_ratio"), **_zs("trade_cluster_net_runs", _NET), **_zs("trade_cluster_max_buy_run", "max_buy_run"), **_zs("trade_cluster_max_sell_run", "max_sell_run"),
+    },
+    "fx139_to_fx147_flow_products": {
+        "vpin_x_compression": lambda p: f"coalesce(vpin, 0) / (1 + coalesce(4 * {_band(p)[1]} / nullif({_band(p)[0]}, 0), 0))", "vpin_x_wick_upper": lambda p: "coalesce(vpin, 0) * coalesce((high - greatest(open, close)) / nullif(high - low, 0), 0)", "vpin_x_wick_lower": lambda p: "coalesce(vpin, 0) * coalesce((least(open, close) - low) / nullif(high - low, 0), 0)",
+        "vpin_x_trade_cluster_max_buy_run": lambda p: "coalesce(vpin, 0) * coalesce(max_buy_run, 0)", "vpin_zscore_x_trade_cluster_max_buy_run": lambda p: f"coalesce({p.soft_z('vpin', 50)}, 0) * coalesce(max_buy_run, 0)", "vpin_signed_imbalance_x_trade_cluster_imbalance": lambda p: "coalesce(vpin_signed_imbalance, 0) * coalesce(imbalance_ratio, 0)", "vpin_x_trade_cluster_entropy": lambda p: "coalesce(vpin, 0) * coalesce(directional_entropy, 0)",
+    },
+}
+
+
 def with_features(bars: DataFrame, names: dict[str, Callable[[Bars], str]], ties: bool = False) -> DataFrame:
     """symbol, ts and the features; bars must have the columns that they use."""
     p = Bars("spark", ties)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
-from math import isnan, nan
+from math import isnan, log2, nan
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -189,6 +189,33 @@ class ZigZag:
             self.low = price
 
 
+class Runs:
+    """Runs of equal sides among the last n steps: a run leaves as a whole once its first step is n steps back; the current one stays.
+
+    Gives the longest, the mean and the number of buy and of sell runs, as shares of n, the
+    difference of the numbers over their sum, and the entropy of the two shares in bits.
+    """
+
+    def __init__(self, n: int = 100):
+        self.n, self.at, self.runs = n, 0, deque()  # of [side, first step, length]
+
+    def step(self, side: int) -> tuple[float, ...]:
+        if self.runs and self.runs[-1][0] == side:
+            self.runs[-1][2] += 1
+        else:
+            self.runs.append([side, self.at, 1])
+        self.at += 1
+        while len(self.runs) > 1 and self.at - self.runs[0][1] > self.n:
+            self.runs.popleft()
+        buy, sell = ([min(k, self.n) for s, _, k in self.runs if (s > 0) == up] for up in (True, False))
+        b, s = len(buy), len(sell)
+        entropy = -sum(k / (b + s) * log2(k / (b + s)) for k in (b, s) if k)
+        parts = (max(buy, default=0), max(sell, default=0), sum(buy) / b if b else 0, sum(sell) / s if s else 0, b, s)
+        return (*(x / self.n for x in parts), (b - s) / (b + s), entropy)
+
+
+RUNS = ("max_buy_run", "max_sell_run", "avg_buy_run", "avg_sell_run", "buy_run_count", "sell_run_count", "imbalance_ratio", "directional_entropy")
+
 #: What `indicators` gives, in order.
 COLUMNS = (
     "ema_10", "ema_20", "ema_50", "ema_100", "ema_200", "ema_1200", "ewm_10", "ewm_20", "ewm_50", "volume_ewm_20", "tema", "trix", "kama", "rsi", "rsi_7", "rsi_21", "cmo",

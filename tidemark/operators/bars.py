@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import recursive
 from tidemark.functions.frames import Frames
 
 BY_TIME = Frames(("symbol",), ("ts",))
@@ -102,6 +103,28 @@ def vpin(ticks: DataFrame, size: float, n: int = 50) -> DataFrame:
     return buckets.withColumn("vpin", Frames(("symbol",), ("bucket",)).mean("imbalance", n, 1))
 
 
+def with_flow(bars: DataFrame, ticks: DataFrame, interval: str, size: float, n: int = 50, window: int = 100) -> DataFrame:
+    """Bars with the toxicity of equal-volume buckets and the runs of sides, both as of the bar's end.
+
+    vpin and vpin_signed_imbalance: means of |buy - sell| and buy - sell over the last n
+    buckets' sizes, of the last bucket that ended in or before the bar; vpin_max, vpin_min,
+    vpin_mean: over the buckets that ended in it. Prints of one time are one step of a run,
+    on the side that bought or sold more.
+    """
+    at = F.window("ts", interval)["start"].alias("ts")
+    b = volume_buckets(ticks, size).withColumn("signed", (F.col("buy") - F.col("sell")) / size)
+    f = Frames(("symbol",), ("bucket",))
+    b = b.select("symbol", "bucket", F.col("ended").alias("ts"), f.mean("imbalance", n, 1).alias("v"), f.mean("signed", n, 1).alias("s"))
+    last = lambda c: F.max_by(c, "bucket")
+    b = b.groupBy("symbol", at).agg(last("v").alias("vpin"), last("s").alias("vpin_signed_imbalance"), F.max("v").alias("vpin_max"), F.min("v").alias("vpin_min"), F.avg("v").alias("vpin_mean"))
+    net = F.sum(F.col("side") * F.col("volume"))
+    sides = ticks.groupBy("symbol", "ts").agg(F.when(net >= 0, 1).otherwise(-1).alias("side"))
+    runs = recursive.sequential(sides, ["symbol"], ["ts"], ["side"], lambda: recursive.Runs(window).step, ", ".join(f"{x} double" for x in recursive.RUNS))
+    runs = runs.groupBy("symbol", at).agg(F.max_by(F.struct(*recursive.RUNS), F.col("ts")).alias("r")).select("symbol", "ts", "r.*")
+    out = bars.join(b, ["symbol", "ts"], "left").join(runs, ["symbol", "ts"], "left")
+    return out.withColumns({c: BY_TIME.filled(c) for c in ("vpin", "vpin_signed_imbalance", *recursive.RUNS)})
+
+
 def session(ts: Column) -> Column:
     h = F.hour(ts)
     return F.when(h < 8, "asia").when(h < 14, "eu").when(h < 21, "us").otherwise("late")

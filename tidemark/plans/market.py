@@ -73,14 +73,14 @@ def _(spark, d):
     return bars.with_next_open(views.hourly(spark, d), "1 HOUR")
 
 
-_BUCKETS = f"""WITH {TICKS}, run AS (SELECT *, sum(volume) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS upto FROM ticks),
+BUCKETS = """run AS (SELECT *, sum(volume) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS upto FROM ticks),
 parts AS (SELECT symbol, ts, side, upto, upto - volume AS start, unnest(range(CAST(floor((upto - volume) / 500) AS BIGINT), CAST(ceil(upto / 500) AS BIGINT))) AS bucket FROM run),
 p AS (SELECT symbol, ts, side, bucket, least(upto, (bucket + 1) * 500) - greatest(start, bucket * 500) AS part FROM parts),
 g AS (SELECT symbol, bucket, sum(CASE WHEN side = 1 THEN part ELSE 0 END) AS buy, sum(CASE WHEN side = -1 THEN part ELSE 0 END) AS sell, max(ts) AS ended FROM p GROUP BY 1, 2),
 f AS (SELECT *, abs(buy - sell) / 500 AS imbalance FROM g WHERE buy + sell >= 500 * (1 - 1e-9))"""
 
 
-@query("br09_vpin_buckets", f"{_BUCKETS} SELECT symbol, bucket, buy, sell, ended, imbalance, avg(imbalance) OVER (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS vpin FROM f")
+@query("br09_vpin_buckets", f"WITH {TICKS}, {BUCKETS} SELECT symbol, bucket, buy, sell, ended, imbalance, avg(imbalance) OVER (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS vpin FROM f")
 def _(spark, d):
     return bars.vpin(views.ticks(spark, d), 500.0, 50)
 
