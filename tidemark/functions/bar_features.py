@@ -284,6 +284,12 @@ FEATURES: dict[str, dict[str, Callable[[Bars], str]]] = {
         "box_compression_score": lambda p: _or(clip(f"({p.level(_box(p, 60)['box_width_pct_60'])} / nullif({p.level(_box(p, 240)['box_width_pct_240'])}, 0))", "0", "10"), "1"), "box_regime_label": _regime,
         "box_breakout_up": lambda p: _breakout(p, "box_hi_120", ">"), "box_breakout_down": lambda p: _breakout(p, "box_lo_120", "<"), "box_prior_trend_sign": lambda p: f"coalesce({p.line('regr_r2', 'close', 60)} * CASE WHEN {p.clock} < 60 THEN NULL WHEN close >= {p.lag('close', 59)} THEN 1 ELSE -1 END, 0)",
     },
+    "ta06_to_ta28_recursive": {x: (lambda p, x=x: x) for x in ("rsi", "cmo", "atr", "macd", "macd_signal", "macdfix", "macdfix_signal", "plus_di_200", "minus_di_200", "ema_50", "ema_200")},
+    "ta21_to_ta27_oscillators": {
+        "ultosc": lambda p: f"100 * ({' + '.join(f'{w} * {p.sum(_pressure(p)[0], n)} / nullif({p.sum(_pressure(p)[1], n)}, 0)' for w, n in ((4, 7), (2, 14), (1, 28)))}) / 7", "stoch_k": lambda p: _stoch(p), "stoch_d": lambda p: p.mean(_stoch(p), 3),
+        "stochrsi_k": lambda p: _stochrsi(p), "stochrsi_d": lambda p: p.mean(_stochrsi(p), 3), "macdext": _macdext, "macdext_signal": lambda p: p.mean(_macdext(p), 9), "macdext_histogram": lambda p: f"{_macdext(p)} - {p.mean(_macdext(p), 9)}",
+        "bb_upper": lambda p: f"{_band(p)[0]} + 2 * {_band(p)[1]}", "bb_middle": lambda p: _band(p)[0], "bb_lower": lambda p: f"{_band(p)[0]} - 2 * {_band(p)[1]}",
+    },
     "fx186_fx187_sessions": {
         "session_id": lambda p: "CASE WHEN hour(ts) < 8 THEN 0e0 WHEN hour(ts) < 14 THEN 1e0 WHEN hour(ts) < 21 THEN 2e0 ELSE 3e0 END", "hour_sin": lambda p: "sin(2 * pi() * hour(ts) / 24)", "hour_cos": lambda p: "cos(2 * pi() * hour(ts) / 24)", "is_session_overlap": lambda p: "CASE WHEN hour(ts) >= 14 AND hour(ts) < 16 THEN 1e0 ELSE 0e0 END",
         "bars_since_local_high": lambda p: _since(p, "high"), "bars_since_local_low": lambda p: _since(p, "-low"),
@@ -291,6 +297,23 @@ FEATURES: dict[str, dict[str, Callable[[Bars], str]]] = {
 }
 
 
+def _pressure(p: Bars) -> tuple[str, str]:
+    """How far the close is above the lowest of low and last close, and the true range."""
+    before = p.lag("close", 1)
+    low = p.level(f"CASE WHEN {before} IS NOT NULL THEN least(low, {before}) END")
+    return p.level(f"close - {low}"), p.level(f"CASE WHEN {before} IS NOT NULL THEN greatest(high, {before}) - {low} END")
+
+
+def _stoch(p: Bars) -> str:
+    lo, hi = p.low("low", 5), p.high("high", 5)
+    return p.mean(f"100 * (close - {lo}) / nullif({hi} - {lo}, 0)", 3)
+
+
+def _stochrsi(p: Bars) -> str:
+    lo, hi = p.low("rsi", 5), p.high("rsi", 5)
+    return p.level(f"100 * (rsi - {lo}) / nullif({hi} - {lo}, 0)")
+
+
 def _weekday(p: Bars) -> str:
     """0 is Monday, of the calendar in Shanghai."""
     shifted = "ts + INTERVAL 8 HOUR"

@@ -30,27 +30,29 @@ def listed(category: str | None = None, text: str = "") -> list[Feature]:
     return [x for x in _features.values() if (category is None or x.category == category) and text in x.name]
 
 
-def needed(names: list[str], have: list[str]) -> list[Feature]:
+def needed(names: list[str], have: list[str], known: dict[str, Feature] | None = None) -> list[Feature]:
     """The features of names that are not columns yet, those that others need first; a cycle or an unknown input is an error."""
     order: list[Feature] = []
+    features = _features if known is None else known
 
     def visit(name: str, above: tuple[str, ...]) -> None:
         if name in have or any(x.name == name for x in order):
             return
         if name in above:
             raise ValueError("cycle: " + " -> ".join([*above, name]))
-        if name not in _features:
+        if name not in features:
             raise KeyError(name)
-        for i in _features[name].inputs:
+        for i in features[name].inputs:
             visit(i, (*above, name))
-        order.append(_features[name])
+        order.append(features[name])
 
     for n in names:
         visit(n, ())
     return order
 
 
-def with_features(rows: DataFrame, names: list[str]) -> DataFrame:
-    for feature in needed(names, rows.columns):
+def with_features(rows: DataFrame, names: list[str], known: dict[str, Feature] | None = None) -> DataFrame:
+    """rows with the features, and those that they need, of the registry or of `known`."""
+    for feature in needed(names, rows.columns, known):
         rows = rows.withColumn(feature.name, feature.build())
     return rows

@@ -22,6 +22,13 @@ def from_ticks(ticks: DataFrame, interval: str) -> DataFrame:
     ).select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "trade_count", "buy_qty", "sell_qty", "taker_buy_ratio")
 
 
+def from_snapshots(rows: DataFrame, interval: str, values: list[str]) -> DataFrame:
+    """The last snapshot of each bar that is closed: one that ends by the latest snapshot of all."""
+    end = F.broadcast(rows.agg(F.max("ts").alias("_end")))  # one row
+    g = rows.groupBy("symbol", F.window("ts", interval).alias("w")).agg(*(F.max_by(v, F.struct("ts", "seq")).alias(v) for v in values), F.count("*").alias("snapshots"))
+    return g.crossJoin(end).where("w.end <= _end").select("symbol", F.col("w.start").alias("ts"), *values, "snapshots")
+
+
 def coarser(bars: DataFrame, interval: str) -> DataFrame:
     """Bars out of finer bars; trade_count is the number of source rows, the taker ratio their mean."""
     return bars.groupBy("symbol", F.window("ts", interval).alias("w")).agg(

@@ -70,3 +70,38 @@ def quantile_label(bars: DataFrame, frames: Frames, ret: str, horizon: int, wind
     fwd = bars.withColumn("fwd_ret", frames.lead("close", horizon) / F.col("close") - 1)
     past = F.collect_list("fwd_ret").over(frames.ordered.rowsBetween(-window - horizon + 1, -horizon))
     return fwd.withColumn("fwd_quantile", F.when((F.size(past) == window) & F.col("fwd_ret").isNotNull(), F.size(F.filter(past, lambda x: x < F.col("fwd_ret"))) / window))
+
+
+def first_touch(bars: DataFrame, frames: Frames, atr: str, horizon: int, touch: float = 1.0) -> DataFrame:
+    """Signed largest excursion in ATR, on the side that is first `touch` away; both in one bar: the larger of that bar; neither: the larger of the path."""
+    rows = bars.withColumn("_path", F.collect_list(F.struct("high", "low")).over(frames.ahead(horizon)))
+    up, down = (lambda x: (x["high"] - F.col("close")) / F.col(atr)), (lambda x: (F.col("close") - x["low"]) / F.col(atr))
+    at = _first(F.col("_path"), lambda x: (up(x) >= touch) | (down(x) >= touch))
+    bar = F.element_at("_path", at.cast("int"))
+    best_up, best_down = (F.array_max(F.transform("_path", f)) for f in (up, down))
+    long = F.when(at.isNull(), best_up >= best_down).when((up(bar) >= touch) & (down(bar) >= touch), up(bar) >= down(bar)).otherwise(up(bar) >= touch)
+    known = (F.size("_path") == horizon) & (F.col(atr) > 1e-12)
+    return rows.withColumn("first_touch_mfe", F.when(known, F.when(long, best_up).otherwise(-best_down))).drop("_path")
+
+
+def exits(bars: DataFrame, frames: Frames, atr: str, horizon: int, stop: float, target: float, trail: float | None = None) -> DataFrame:
+    """What ends a long that fills at the next open: bars held, reason (stop, target, time), price and R.
+
+    Each bar's stop counts before its target. With `trail`, the stop follows the highest high of the
+    bars before at that many ATR. A path shorter than the horizon is unknown.
+    """
+    rows = bars.withColumn("_path", F.collect_list(F.struct("high", "low", "close")).over(frames.ahead(horizon))).withColumn("_entry", frames.lead("open"))
+    entry, size = F.col("_entry"), F.col(atr)
+    first = entry - stop * size
+    levels = F.transform("_path", lambda x, i: first)
+    if trail is not None:
+        levels = F.transform("_path", lambda x, i: F.when(i == 0, first).otherwise(F.greatest(first, F.array_max(F.transform(F.slice("_path", 1, F.greatest(i, F.lit(1))), lambda q: q["high"])) - trail * size)))
+    rows = rows.withColumn("_steps", F.arrays_zip("_path", levels.alias("level")))
+    rows = rows.withColumn("_steps", F.transform("_steps", lambda x: F.struct(x["_path"]["high"].alias("high"), x["_path"]["low"].alias("low"), x["_path"]["close"].alias("close"), x["level"].alias("level"))))
+    hit = _first(F.col("_steps"), lambda x: (x["low"] <= x["level"]) | (x["high"] >= entry + target * size))
+    known = entry.isNotNull() & (F.size("_path") == horizon) & (size > 0)
+    bar = F.element_at("_steps", F.coalesce(hit, F.lit(horizon)).cast("int"))
+    reason = F.when(hit.isNull(), "time").when(bar["low"] <= bar["level"], "stop").otherwise("target")
+    price = F.when(hit.isNull(), bar["close"]).when(bar["low"] <= bar["level"], bar["level"]).otherwise(entry + target * size)
+    rows = rows.withColumns({"held": F.when(known, F.coalesce(hit, F.lit(horizon)).cast("int")), "reason": F.when(known, reason), "exit_price": F.when(known, price)})
+    return rows.withColumn("r", (F.col("exit_price") - entry) / (stop * size)).drop("_path", "_entry", "_steps")

@@ -169,3 +169,27 @@ def expanding_months(rows: DataFrame, ts: str) -> DataFrame:
     months = rows.select(F.trunc(ts, "month").alias("month")).distinct()
     w = Window.partitionBy(F.lit(1)).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)  # one row a month
     return months.select("month", F.count("*").over(w).alias("train_months"), F.min("month").over(w).alias("train_from"), F.max("month").over(w).alias("train_to"))
+
+
+def robustness(rows: DataFrame, feature: str, good: str, threshold: float, step: float, key: str, order: list[str], least: int = 50) -> DataFrame:
+    """How much a rule that keeps values at or above a threshold depends on it, and on time: one row.
+
+    parameter_stability: 1 / (1 + 10 x), x the mean change of the pass rates (of all, and half
+    those of good and bad) when the threshold moves by a step either way, over the pass rate.
+    temporal_stability: 1 / (1 + 5 x) of the two halves of each key's rows, weighted by the rows
+    of keys that have `least`.
+    """
+    passes = lambda t: (F.col(feature) >= t).cast("int")
+    rates = lambda t: (F.avg(passes(t)), F.coalesce(F.avg(F.when(F.col(good), passes(t))), F.lit(0.0)), F.coalesce(F.avg(F.when(~F.col(good), passes(t))), F.lit(0.0)))
+    names = [f"{k}{x}" for k in "abc" for x in ("p", "g", "b")]
+    e = rows.agg(*(c.alias(n) for n, c in zip(names, (r for t in (threshold, threshold - step, threshold + step) for r in rates(t)))))
+    moved = lambda k, of: F.abs(F.col(k + "p") - F.col(of + "p")) + 0.5 * (F.abs(F.col(k + "g") - F.col(of + "g")) + F.abs(F.col(k + "b") - F.col(of + "b")))
+    change = (moved("b", "a") + moved("c", "a")) / 2 / F.greatest("ap", F.lit(0.1))
+    parameter = e.select((1 / (1 + 10 * change) * F.when(F.col("ab") < 0.05, 0.7).otherwise(1.0)).alias("parameter_stability"))
+    n = F.count("*").over(Window.partitionBy(key))
+    halves = rows.withColumns({"_n": n, "_k": F.row_number().over(Window.partitionBy(key).orderBy(*order))}).where(F.col("_n") >= least)
+    m = halves.groupBy(key, F.expr("_k > _n DIV 2").alias("late")).agg(F.first("_n").alias("n"), *(c.alias(x) for x, c in zip("pgb", rates(threshold))))
+    sides = m.groupBy(key).agg(F.first("n").alias("n"), *(F.sum(F.when(F.col("late"), F.col(x)).otherwise(-F.col(x))).alias(x) for x in "pgb"))
+    score = 1 / (1 + 5 * (F.abs("p") + 0.5 * (F.abs("g") + F.abs("b"))))
+    temporal = sides.agg((F.sum(F.col("n") * score) / F.sum("n")).alias("temporal_stability"))
+    return parameter.crossJoin(F.broadcast(temporal))  # one row each

@@ -54,7 +54,7 @@ CASE WHEN k > 1 THEN CASE WHEN high - ph > pl - low AND high > ph THEN high - ph
 m AS (SELECT *, {', '.join(f'{_mean(x, n)} AS {name}_seed' for name, (n, _, x, _) in _MEANS.items())} FROM m1),
 q AS (SELECT symbol, k, {', '.join(f'{x} AS {k}' for k, x in _first.items())} FROM m WHERE k = 1 UNION ALL SELECT n.symbol, n.k, {', '.join(f'{x} AS {k}' for k, x in _next.items())} FROM q JOIN m n ON n.symbol = q.symbol AND n.k = q.k + 1),
 seq AS (SELECT m.symbol, m.ts, m.open, m.high, m.low, m.close, m.volume, m.trade_count, m.buy_qty, m.sell_qty, m.taker_buy_ratio, q.atr, q.ema_50, q.ema_200, q.ema_1200, {', '.join(f'q.{k}_top / q.{k}_bottom AS {k}' for k in ('ewm_10', 'ewm_20', 'ewm_50'))},
-CASE WHEN k >= 10 THEN q.volume_ewm_top / q.volume_ewm_bottom END AS volume_ewm_20, CASE WHEN q.gain IS NOT NULL THEN CASE WHEN q.gain + q.loss > 0 THEN 100 * q.gain / (q.gain + q.loss) ELSE 50 END END AS rsi, q.fast - q.slow AS macd, q.macd_signal, q.fixed_fast - q.fixed_slow AS macdfix, q.macdfix_signal,
+CASE WHEN k >= 10 THEN q.volume_ewm_top / q.volume_ewm_bottom END AS volume_ewm_20, CASE WHEN q.gain IS NOT NULL THEN CASE WHEN q.gain + q.loss > 0 THEN 100 * q.gain / (q.gain + q.loss) ELSE 50 END END AS rsi, CASE WHEN q.gain IS NOT NULL THEN CASE WHEN q.gain + q.loss > 0 THEN 100 * (q.gain - q.loss) / (q.gain + q.loss) ELSE 0 END END AS cmo, q.fast - q.slow AS macd, q.macd_signal, q.fixed_fast - q.fixed_slow AS macdfix, q.macdfix_signal,
 100 * q.plus_200 / nullif(q.atr_200, 0) AS plus_di_200, 100 * q.minus_200 / nullif(q.atr_200, 0) AS minus_di_200, q.pivot AS zigzag, q.zz_high, q.zz_low FROM m JOIN q USING (symbol, k))"""
 
 

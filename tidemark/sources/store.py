@@ -27,6 +27,24 @@ def read_range(spark: SparkSession, path: str, start: str, end: str, columns: li
     return rows.select(*KEYS, *(columns or [c for c in rows.columns if c not in (*KEYS, "month")]))
 
 
+def load_bars(rows: DataFrame, keys: list[str], day: str, start: str, end: str, version: str) -> DataFrame:
+    """Rows of the closed interval of days; of rows with one key the latest version."""
+    some = rows.where(F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    rest = [c for c in rows.columns if c not in (*keys, version)]
+    return some.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_row")).select(*keys, "_row.*")
+
+
+def delete_month(spark: SparkSession, path: str, symbol: str, month: str) -> bool:
+    """Drops the folder of one symbol and month; whether it was there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/symbol={symbol}/month={month}")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def months_present(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, month and their rows, read from the partitions' footers alone."""
+    return spark.read.parquet(path).groupBy(*PARTS).agg(F.count("*").alias("n"))
+
+
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     """Union of rows and columns; a row that new has takes all of new's columns, nulls included."""
     n = new.select(*KEYS, F.lit(True).alias("_new"), *(F.col(c).alias("_n_" + c) for c in new.columns if c not in KEYS))
