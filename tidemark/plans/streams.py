@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tidemark.plans.market import BUCKETS
 from tidemark.plans.register import query
+from tidemark.sources import store
 from tidemark.sources.views import TICKS
 from tidemark.streaming import operators, run
 
@@ -41,3 +43,23 @@ def _(spark, d):
 r AS (SELECT symbol, k, min(ts) AS started, any_value(side) AS side, CAST(count(*) AS INTEGER) AS n, sum(volume) AS volume FROM s GROUP BY symbol, k) SELECT symbol, started, side, n, volume FROM r WHERE k < (SELECT max(k) FROM r q WHERE q.symbol = r.symbol)""")
 def _(spark, d):
     return run.finished(operators.runs(run.ticks(spark, d)), "runs")
+
+
+@query("st05_stream_buckets", f"WITH {TICKS}, {BUCKETS} SELECT symbol, bucket, buy, sell, ended, imbalance FROM f")
+def _(spark, d):
+    return run.finished(operators.buckets(run.ticks(spark, d), 500.0), "buckets")
+
+
+@query("st09_stream_ema", f"""WITH RECURSIVE {TICKS}, n AS (SELECT symbol, seq, price, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM ticks), e AS (SELECT symbol, seq, k, price AS ema FROM n WHERE k = 1
+UNION ALL SELECT n.symbol, n.seq, n.k, e.ema + 2.0 / 21 * (n.price - e.ema) FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1) SELECT symbol, seq, ema FROM e""")
+def _(spark, d):
+    return run.finished(operators.smoothed(run.ticks(spark, d), 20), "ema")
+
+
+@query("st03_st08_stream_to_store", f"""WITH {TICKS}, b AS (SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS t, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close FROM ticks GROUP BY 1, 2),
+c AS (SELECT symbol, t AS ts, open, high, low, close, close / lag(close, 3) OVER (PARTITION BY symbol ORDER BY t) - 1 AS roc FROM b WHERE t + INTERVAL 1 HOUR <= {_END}) SELECT symbol, ts, close, roc FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1""")
+def _(spark, d):
+    """Closed bars go to the store trigger by trigger; live use reads a warm-up of its last rows and takes the newest feature row."""
+    layer = run.scratch(spark, "bars")
+    run.each_batch(operators.bars(run.ticks(spark, d), "1 hour").select("symbol", "ts", "open", "high", "low", "close"), "store", operators.merged_into(layer))
+    return store.last_features(spark.read.parquet(layer).drop("month"), 4, {"roc": lambda f: f.change("close", 3)}).select("symbol", "ts", "close", "roc")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import Frames
+
 KEYS = ["symbol", "ts"]
 PARTS = ["symbol", "month"]
 
@@ -59,3 +61,11 @@ def health(layer: DataFrame) -> DataFrame:
     columns = [c for c in layer.columns if c not in (*KEYS, "month")]
     g = _with_month(layer).groupBy(*PARTS).agg(F.count("*").alias("n"), *(F.count(c).alias("_" + c) for c in columns))
     return g.select(*PARTS, "n", sum((F.col("_" + c) > 0).cast("int") for c in columns).alias("columns_present"))
+
+
+def last_features(layer: DataFrame, warm: int, features: dict) -> DataFrame:
+    """The newest row of each symbol with features that look back over at most `warm` rows: name to a function of frames."""
+    newest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+    tail = layer.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= warm)
+    f = Frames(("symbol",), ("ts",))
+    return tail.withColumns({n: make(f) for n, make in features.items()}).where("_back = 1").drop("_back")

@@ -61,3 +61,66 @@ def runs(ticks: DataFrame) -> DataFrame:
 
     return ticks.select("symbol", "ts", "seq", "side", "volume").groupBy("symbol").applyInPandasWithState(
         follow, "symbol string, started timestamp, side int, n int, volume double", "side int, n int, volume double, started timestamp", "append", GroupStateTimeout.NoTimeout)
+
+
+def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """A key's rows of one trigger in order; the trigger's size bounds them."""
+    return pd.concat(list(batches)).sort_values(by)
+
+
+def buckets(ticks: DataFrame, size: float) -> DataFrame:
+    """Equal-volume buckets per symbol: a row for each that is full; the open one is kept as state between triggers."""
+
+    def fill(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bucket, buy, sell = state.get if state.exists else (0, 0.0, 0.0)
+        out = []
+        for side, volume, t in _ordered(batches, ["ts", "seq"])[["side", "volume", "ts"]].itertuples(index=False, name=None):
+            while volume > 0:
+                part = min(volume, size - buy - sell)
+                volume -= part
+                buy, sell = (buy + part, sell) if side == 1 else (buy, sell + part)
+                if buy + sell >= size * (1 - 1e-9):
+                    out.append((key[0], bucket, buy, sell, t, abs(buy - sell) / size))
+                    bucket, buy, sell = bucket + 1, 0.0, 0.0
+        state.update((bucket, buy, sell))
+        yield pd.DataFrame(out, columns=["symbol", "bucket", "buy", "sell", "ended", "imbalance"]).astype({"bucket": "int64", "buy": float, "sell": float, "imbalance": float, "ended": "datetime64[ns]"})
+
+    return ticks.select("symbol", "ts", "seq", "side", "volume").groupBy("symbol").applyInPandasWithState(
+        fill, "symbol string, bucket long, buy double, sell double, ended timestamp, imbalance double", "bucket long, buy double, sell double", "append", GroupStateTimeout.NoTimeout)
+
+
+def smoothed(ticks: DataFrame, n: int) -> DataFrame:
+    """The exponential mean of the price after each print, from the first price on, kept as state between triggers."""
+    a = 2.0 / (n + 1)
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get[0] if state.exists else None
+        rows, out = _ordered(batches, ["ts", "seq"]), []
+        for price in rows["price"]:
+            now = price if now is None else now + a * (price - now)
+            out.append(now)
+        state.update((float(now),))
+        yield rows[["symbol", "seq"]].assign(ema=out)
+
+    return ticks.select("symbol", "ts", "seq", "price").groupBy("symbol").applyInPandasWithState(follow, "symbol string, seq long, ema double", "ema double", "append", GroupStateTimeout.NoTimeout)
+
+
+def merged_into(layer: str):
+    """For foreachBatch: closed bars of a trigger are merged into the layer's months that they touch; other months stay."""
+    from tidemark.sources import store
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        months = [r.month for r in batch.select(F.date_format("ts", "yyyy-MM").alias("month")).distinct().collect()]  # of one trigger
+        if not months:
+            return
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path(layer)
+        there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
+        if there:
+            old = spark.read.parquet(layer).where(F.col("month").isin(months)).drop("month")
+            staged = f"{layer}-staged"
+            store.merged(old, batch).write.mode("overwrite").parquet(staged)  # the layer cannot be read and replaced at once
+            batch = spark.read.parquet(staged)
+        store.write_layer(batch, layer)
+
+    return write

@@ -40,3 +40,11 @@ def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     if run.exception():
         raise run.exception()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def each_batch(stream: DataFrame, name: str, write) -> None:
+    """Runs write(batch, number) for each trigger until no input is left; a repeated trigger must leave the same."""
+    run = stream.writeStream.foreachBatch(write).option("checkpointLocation", scratch(stream.sparkSession, name)).trigger(availableNow=True).start()
+    run.awaitTermination()
+    if run.exception():
+        raise run.exception()
