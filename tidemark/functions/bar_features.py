@@ -37,7 +37,7 @@ class Bars(Levels):
 
     def soft_z(self, x: str, n: int, least: int = 1, eps: str = "1e-10") -> str:
         x = self.level(x)
-        return self.add(self.near(f"({x} - {self.some('avg', x, n, least)}) / ({self.some('stddev_samp', x, n, least)} + {eps})", 6))
+        return self.add(f"{self.near(f'({x} - {self.some("avg", x, n, least)})', 12)} / ({self.some('stddev_samp', x, n, least)} + {eps})")
 
     def share_below(self, x: str, n: int, least: int | None = None, own: bool = False) -> str:
         """The share of the n - 1 bars before (own: of all n) whose value is at most the current one; the frame must have `least` values."""

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from datetime import timedelta
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import recursive
 from tidemark.functions.frames import Frames
 from tidemark.operators import bars, joins, stats
 from tidemark.operators.bars import BY_TIME as f
@@ -119,20 +121,26 @@ def _(spark, d):
     return c.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
-@query("tk06_refractory_peaks")
+class _Apart:
+    """Whether a moment is kept: the first, and each that is `gap` after the last that was kept."""
+
+    def __init__(self, gap: timedelta):
+        self.gap, self.last = gap, None
+
+    def step(self, ts) -> tuple[bool]:
+        keep = self.last is None or ts - self.last >= self.gap
+        self.last = ts if keep else self.last
+        return (keep,)
+
+
+@query("tk06_refractory_peaks", f"""WITH RECURSIVE {HOURLY}, i AS (SELECT symbol, ts, volume, sum(CASE WHEN volume >= 60 THEN 0 ELSE 1 END) OVER ({_S} ROWS UNBOUNDED PRECEDING) AS island FROM bars), p AS (SELECT symbol, arg_max(ts, (volume, ts)) AS ts, max(volume) AS volume FROM i WHERE volume >= 60 GROUP BY symbol, island),
+k AS (SELECT *, row_number() OVER ({_S}) AS k FROM p), r AS (SELECT symbol, k, ts, volume, true AS kept, ts AS last FROM k WHERE k = 1 UNION ALL SELECT k.symbol, k.k, k.ts, k.volume, k.ts - r.last >= INTERVAL 6 HOUR, CASE WHEN k.ts - r.last >= INTERVAL 6 HOUR THEN k.ts ELSE r.last END FROM r JOIN k ON k.symbol = r.symbol AND k.k = r.k + 1) SELECT symbol, ts, volume FROM r WHERE kept""")
 def _(spark, d):
-    """The largest print of each burst, at most one in six hours: sequential over the few peaks of a symbol."""
+    """The largest print of each burst, at most one in six hours."""
     h = views.hourly(spark, d).withColumn("island", f.island(F.col("volume") >= 60))
     peaks = h.where("volume >= 60").groupBy("symbol", "island").agg(F.max_by("ts", F.struct("volume", "ts")).alias("ts"), F.max("volume").alias("volume")).drop("island")
-
-    def keep(pdf):
-        pdf, last, rows = pdf.sort_values("ts"), None, []
-        for t in pdf["ts"]:
-            rows.append(last is None or (t - last).total_seconds() >= 6 * 3600)
-            last = t if rows[-1] else last
-        return pdf[["symbol", "ts", "volume"]][rows]
-
-    return peaks.groupBy("symbol").applyInPandas(keep, "symbol string, ts timestamp, volume double")
+    kept = recursive.sequential(peaks, ["symbol"], ["ts"], ["ts"], lambda: _Apart(timedelta(hours=6)).step, "kept boolean")
+    return kept.where("kept").select("symbol", "ts", "volume")
 
 
 @query("wn17_decayed_peak", f"""WITH RECURSIVE {HOURLY}, n AS (SELECT symbol, ts, volume, row_number() OVER ({_S}) AS k FROM bars), m AS (SELECT symbol, ts, k, volume AS peak FROM n WHERE k = 1

@@ -82,7 +82,8 @@ def _(spark, d):
     return stats.threshold_scan(views.scan(spark, d), "feature", "is_good", "r", 40)
 
 
-@query("sk07_plateau")
+@query("sk07_plateau", f"""WITH RECURSIVE {SCAN}, {_SCAN}, v AS (SELECT list(r / kept ORDER BY step) AS v, list(step ORDER BY step) AS numbers FROM s), k AS (SELECT 1 AS i, CAST(1 AS BIGINT) AS head FROM v UNION ALL SELECT i + 1, list_filter(range(head, i + 2), lambda q: abs(v[i + 1] - v[q]) <= 0.05 * abs(v[q]))[1] FROM k, v WHERE i < len(v))
+SELECT 'feature >= threshold' AS rule, numbers[head] AS first_step, numbers[i] AS last_step, CAST(i - head + 1 AS INTEGER) AS steps, list_avg(v[head:i]) AS score FROM k, v ORDER BY i - head DESC, i LIMIT 1""")
 def _(spark, d):
     scan = stats.threshold_scan(views.scan(spark, d), "feature", "is_good", "r", 40)
     return stats.plateau(scan.withColumn("rule", F.lit("feature >= threshold")), ["rule"], "mean_r", 0.05)
