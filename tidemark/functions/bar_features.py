@@ -433,6 +433,7 @@ FLOW_FEATURES: dict[str, dict[str, Callable[[Bars], str]]] = {
         **_means("trade_cluster_directional_entropy", "directional_entropy"), "trade_cluster_directional_entropy_change": lambda p: p.delta("directional_entropy", 1), **_zs("trade_cluster_directional_entropy", "directional_entropy"), **_means("trade_cluster_max_buy_run", "max_buy_run"), **_means("trade_cluster_imbalance_ratio", "imbalance_ratio"), **_means("trade_cluster_net_runs", _NET), **_means("trade_cluster_total_runs", _TOTAL),
         **_zs("trade_cluster_imbalance", "imbalance_ratio"), **_zs("trade_cluster_net_runs", _NET), **_zs("trade_cluster_max_buy_run", "max_buy_run"), **_zs("trade_cluster_max_sell_run", "max_sell_run"),
     },
+    "fx070_fx071_order_flow_crowding": {"ofci_bar": lambda p: "ofci", "ofci_pct": lambda p: p.percent("ofci")},
     "fx139_to_fx147_flow_products": {
         "vpin_x_compression": lambda p: f"coalesce(vpin, 0) / (1 + coalesce(4 * {_band(p)[1]} / nullif({_band(p)[0]}, 0), 0))", "vpin_x_wick_upper": lambda p: "coalesce(vpin, 0) * coalesce((high - greatest(open, close)) / nullif(high - low, 0), 0)", "vpin_x_wick_lower": lambda p: "coalesce(vpin, 0) * coalesce((least(open, close) - low) / nullif(high - low, 0), 0)",
         "vpin_x_trade_cluster_max_buy_run": lambda p: "coalesce(vpin, 0) * coalesce(max_buy_run, 0)", "vpin_zscore_x_trade_cluster_max_buy_run": lambda p: f"coalesce({p.soft_z('vpin', 50)}, 0) * coalesce(max_buy_run, 0)", "vpin_signed_imbalance_x_trade_cluster_imbalance": lambda p: "coalesce(vpin_signed_imbalance, 0) * coalesce(imbalance_ratio, 0)", "vpin_x_trade_cluster_entropy": lambda p: "coalesce(vpin, 0) * coalesce(directional_entropy, 0)",

@@ -116,7 +116,8 @@ def with_flow(bars: DataFrame, ticks: DataFrame, interval: str, size: float, n:
     vpin and vpin_signed_imbalance: means of |buy - sell| and buy - sell over the last n
     buckets' sizes, of the last bucket that ended in or before the bar; vpin_max, vpin_min,
     vpin_mean: over the buckets that ended in it. Prints of one time are one step of a run,
-    on the side that bought or sold more.
+    on the side that bought or sold more. ofci: twice the bought share of the last `window`
+    prints' volume less one, of the bar's last print; 0 before there are as many.
     """
     at = F.window("ts", interval)["start"].alias("ts")
     b = volume_buckets(ticks, size).withColumn("signed", (F.col("buy") - F.col("sell")) / size)
@@ -128,8 +129,12 @@ def with_flow(bars: DataFrame, ticks: DataFrame, interval: str, size: float, n:
     sides = ticks.groupBy("symbol", "ts").agg(F.when(net >= 0, 1).otherwise(-1).alias("side"))
     runs = recursive.sequential(sides, ["symbol"], ["ts"], ["side"], lambda: recursive.Runs(window).step, ", ".join(f"{x} double" for x in recursive.RUNS))
     runs = runs.groupBy("symbol", at).agg(F.max_by(F.struct(*recursive.RUNS), F.col("ts")).alias("r")).select("symbol", "ts", "r.*")
-    out = bars.join(b, ["symbol", "ts"], "left").join(runs, ["symbol", "ts"], "left")
-    return out.withColumns({c: BY_TIME.filled(c) for c in ("vpin", "vpin_signed_imbalance", *recursive.RUNS)})
+    w = Frames(("symbol",), ("ts", "seq")).past(window)
+    bought = F.sum(F.when(F.col("side") == 1, F.col("volume")).otherwise(0)).over(w) / F.nullif(F.sum("volume").over(w), F.lit(0.0))
+    ofci = ticks.withColumn("ofci", F.coalesce(F.when(F.count("*").over(w) == window, 2 * bought - 1), F.lit(0.0)))
+    ofci = ofci.groupBy("symbol", at).agg(F.max_by("ofci", F.struct("ts", "seq")).alias("ofci"))
+    out = bars.join(b, ["symbol", "ts"], "left").join(runs, ["symbol", "ts"], "left").join(ofci, ["symbol", "ts"], "left")
+    return out.withColumns({c: BY_TIME.filled(c) for c in ("vpin", "vpin_signed_imbalance", "ofci", *recursive.RUNS)})
 
 
 def session(ts: Column) -> Column:

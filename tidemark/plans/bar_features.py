@@ -72,13 +72,15 @@ for _name in bar_features.FEATURES:
 #: The recursive columns, and the buckets and runs of `bars.with_flow`: a run counts while it began within the last 100 steps; the current one always does.
 FLOW = f"""{RECURSIVE}, {BUCKETS}, v0 AS (SELECT symbol, bucket, ended, avg(imbalance) OVER b AS v, avg((buy - sell) / 500) OVER b AS s FROM f WINDOW b AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
 v1 AS (SELECT symbol, time_bucket(INTERVAL '1 hour', ended) AS ts, arg_max(v, bucket) AS vpin, arg_max(s, bucket) AS vpin_signed_imbalance FROM v0 GROUP BY 1, 2),
+o0 AS (SELECT symbol, ts, seq, CASE WHEN count(*) OVER w = 100 AND sum(volume) OVER w > 0 THEN 2 * sum(CASE WHEN side = 1 THEN volume ELSE 0 END) OVER w / sum(volume) OVER w - 1 ELSE 0 END AS ofci FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+o1 AS (SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_max(ofci, (ts, seq)) AS ofci FROM o0 GROUP BY 1, 2),
 s0 AS (SELECT symbol, ts, CASE WHEN sum(side * volume) >= 0 THEN 1 ELSE -1 END AS side FROM ticks GROUP BY 1, 2), s1 AS (SELECT *, row_number() OVER ({_S}) AS i, CASE WHEN side = lag(side) OVER ({_S}) THEN 0 ELSE 1 END AS fresh FROM s0),
 r0 AS (SELECT symbol, side, i AS first, lead(i) OVER (PARTITION BY symbol ORDER BY i) AS next FROM s1 WHERE fresh = 1), e AS (SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS bar, max(i) AS i FROM s1 GROUP BY 1, 2),
 ln AS (SELECT e.symbol, e.bar AS ts, r.side, least(least(coalesce(r.next, e.i + 1), e.i + 1) - r.first, 100) AS n FROM e JOIN r0 r ON r.symbol = e.symbol AND r.first <= e.i AND (r.first > e.i - 100 OR coalesce(r.next, e.i + 1) > e.i)),
 gr AS (SELECT symbol, ts, coalesce(max(n) FILTER (side = 1), 0) / 100 AS max_buy_run, coalesce(max(n) FILTER (side = -1), 0) / 100 AS max_sell_run, coalesce(avg(n) FILTER (side = 1), 0) / 100 AS avg_buy_run, coalesce(avg(n) FILTER (side = -1), 0) / 100 AS avg_sell_run,
 count(*) FILTER (side = 1) / 100 AS buy_run_count, count(*) FILTER (side = -1) / 100 AS sell_run_count, (count(*) FILTER (side = 1) - count(*) FILTER (side = -1)) / count(*) AS imbalance_ratio, count(*) FILTER (side = 1) / count(*) AS up FROM ln GROUP BY 1, 2),
-fl AS (SELECT q.*, {', '.join(f'last_value({c} IGNORE NULLS) OVER (PARTITION BY q.symbol ORDER BY q.ts ROWS UNBOUNDED PRECEDING) AS {c}' for c in ('vpin', 'vpin_signed_imbalance', 'max_buy_run', 'max_sell_run', 'avg_buy_run', 'avg_sell_run', 'buy_run_count', 'sell_run_count', 'imbalance_ratio'))},
-last_value(CASE WHEN up > 0 AND up < 1 THEN -up * log2(up) - (1 - up) * log2(1 - up) WHEN up IS NOT NULL THEN 0 END IGNORE NULLS) OVER (PARTITION BY q.symbol ORDER BY q.ts ROWS UNBOUNDED PRECEDING) AS directional_entropy FROM seq q LEFT JOIN v1 USING (symbol, ts) LEFT JOIN gr USING (symbol, ts))"""
+fl AS (SELECT q.*, {', '.join(f'last_value({c} IGNORE NULLS) OVER (PARTITION BY q.symbol ORDER BY q.ts ROWS UNBOUNDED PRECEDING) AS {c}' for c in ('vpin', 'vpin_signed_imbalance', 'ofci', 'max_buy_run', 'max_sell_run', 'avg_buy_run', 'avg_sell_run', 'buy_run_count', 'sell_run_count', 'imbalance_ratio'))},
+last_value(CASE WHEN up > 0 AND up < 1 THEN -up * log2(up) - (1 - up) * log2(1 - up) WHEN up IS NOT NULL THEN 0 END IGNORE NULLS) OVER (PARTITION BY q.symbol ORDER BY q.ts ROWS UNBOUNDED PRECEDING) AS directional_entropy FROM seq q LEFT JOIN v1 USING (symbol, ts) LEFT JOIN gr USING (symbol, ts) LEFT JOIN o1 USING (symbol, ts))"""
 
 
 def _register_flow(name: str) -> None:
