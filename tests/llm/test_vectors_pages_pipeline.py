@@ -170,3 +170,18 @@ def test_pipeline_stages(spark, sf_dir):
     packed = by["best_fit_packing"](spark, clean, sf_dir).collect()
     assert {r.doc_id for r in packed} == set(text(clean))
     assert corpus_pipeline.run(spark, sf_dir).count() == len(packed)
+
+
+def test_pipeline_stages_with_odd_rows(spark, sf_dir, odd_docs):
+    """Nulls, empty and very long texts, repeated rows, clashing column names, and no rows at all go through every stage."""
+    docs = odd_docs.selectExpr("*", "CAST(length(text) AS LONG) AS n_chars", "1 AS d", "'x' AS r", "2 AS gone", "3 AS uid")
+    for rows in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, rows, sf_dir)
+            assert found.columns == docs.columns, name
+            kept = found.collect()
+            assert len(kept) <= rows.count() and all(r.d == 1 and r.r == "x" for r in kept), name
+        packed = corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir)
+        assert packed.where("piece = 0").count() == rows.count()
+    single = corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()
+    assert {r.doc_id for r in single} >= {1, 4, 5, 6, None} and 2 not in {r.doc_id for r in single}
