@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html, langid, linededup, minhash, packing, quality, tokens, topk, warc
+from tidemark.llm import decontaminate, html, langid, linededup, minhash, packing, quality, simhash, tokens, topk, warc
 from tidemark.llm.common import new_path
 
 
@@ -66,6 +66,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_top_k": op2_exact_top_k,
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
 _OP2 = """
