@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html, langid, linededup, minhash, packing, quality, simhash, tokens, topk, warc
+from tidemark.llm import decontaminate, html, langid, linededup, minhash, packing, phrases, quality, simhash, tokens, topk, warc
 from tidemark.llm.common import new_path
 
 
@@ -66,6 +66,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=10, top=2_000)
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3)
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
@@ -130,9 +135,32 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload
 FROM f
 """
 
+#: Every run of one to three words is counted; a phrase is told from another by its words with \\x20 between, which no word holds.
+_OP12 = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM documents),
+q AS (SELECT lang, w, row_number() OVER () AS piece FROM p),
+i AS (SELECT lang, piece, unnest(w) AS w1, unnest(range(len(w))) AS i FROM q),
+j AS (SELECT lang, w1, lead(w1) OVER t AS w2, lead(w1, 2) OVER t AS w3 FROM i WINDOW t AS (PARTITION BY piece ORDER BY i)),
+g AS (SELECT lang, 1 AS k, w1 AS phrase, w1, NULL AS w2, NULL AS w3 FROM j UNION ALL SELECT lang, 2, w1 || ' ' || w2, w1, w2, NULL FROM j WHERE w2 IS NOT NULL
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, w1, w2, w3 FROM j WHERE w3 IS NOT NULL),
+f AS (SELECT lang, k, phrase, count(*) AS f, first(w1) AS w1, first(w2) AS w2, first(w3) AS w3 FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, f AS a FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT lang, k, phrase, a, 1 AS cut, w1 AS x, CASE k WHEN 2 THEN w2 ELSE w2 || ' ' || w3 END AS y FROM c
+        UNION ALL SELECT lang, k, phrase, a, 2, w1 || ' ' || w2, w3 FROM c WHERE k = 3),
+s AS (SELECT cut.lang, cut.k, cut.phrase, a, cut, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, w1 || ' ' || w2 AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM c WHERE k = 3) GROUP BY lang, phrase),
+kept AS (SELECT b.* FROM b LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR k = 3 OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_top_k": _OP2,
     "op3_benchmark_decontamination": _OP3,
     "op5_minhash_near_dedup": _OP5,
     "op9_warc": _OP9,
+    "op12_phrase_collocations": _OP12,
 }
