@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html, langid, linededup, minhash, packing, phrases, quality, simhash, tokens, topk, warc
+from tidemark.llm import alignment, decontaminate, html, langid, linededup, minhash, packing, phrases, quality, simhash, tokens, topk, warc
 from tidemark.llm.common import new_path
 
 
@@ -66,6 +66,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"), least=10, top=2_000)
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op11_token_alignment": op11_token_alignment,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
