@@ -10,8 +10,8 @@ did. The pass after a failure of words may still find pairs that fail, the one a
 only triples; so two expansions close it at most, and the result is exact whatever the
 sample was.
 
-What is proposed is broadcast as a bitmap of `filter_bits` bits over hashes (4 MB for words,
-16 MB for pairs as given), never as a list: it does not grow with the corpus. Phrases that
+What is proposed is broadcast as a bitmap of `filter_bits` bits over hashes (2 MB for words,
+8 MB for pairs as given), never as a list: it does not grow with the corpus. Phrases that
 share a bit with a proposed one are counted as well, which costs rows and changes nothing.
 A task counts words by numbers of its own (exact), at most BUFFER occurrences at a time, and
 hands over sums; the shuffles add sums. Words go through shuffles as 64-bit hashes with their
@@ -36,7 +36,7 @@ from tidemark.llm.common import staged
 from tidemark.llm.shingles import mixed
 
 #: Occurrences and distinct words that a task holds before it hands over sums; bytes of text that are cut into words at once; rows of a batch.
-BUFFER, VOCABULARY, SLICE, ROWS = 4_000_000, 1 << 20, 1 << 19, 1 << 17
+BUFFER, VOCABULARY, SLICE, ROWS = 1_000_000, 1 << 17, 1 << 18, 1 << 16
 SIGNS = b".,;:!?\n\x0b\x0c\r"
 _END = bytes.maketrans(SIGNS, b"\xff" * len(SIGNS))  # \xff is in no UTF-8 text: it ends a piece
 _CUT = re.compile(rb"[ \t\xff" + SIGNS + rb"]")
@@ -266,7 +266,7 @@ def _score(a: Column, l: Column, r: Column) -> Column:
     return F.call_function("div", (F.lit(1_000_000).cast("decimal(7,0)") * wide(a)).cast("decimal(38,0)") * wide(a), wide(l) * wide(r))
 
 
-def collocations(docs: DataFrame, least: int = 10, top: int = 2_000, inside_percent: int = 50, fraction: float = 0.1, filter_bits: tuple[int, int] = (25, 27), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, top: int = 2_000, inside_percent: int = 50, fraction: float = 0.05, filter_bits: tuple[int, int] = (24, 26), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of two and three words.
 
     A phrase of a occurrences has the score floor(10^6 a^2 / (l r)) of its lowest cut into
