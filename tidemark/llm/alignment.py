@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,10 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
-from tidemark.llm.tokens import CACHE, LONG, as_letters, byte_level_pattern
+from tidemark.llm.tokens import LONG, as_letters, byte_level_pattern
 
-#: Windows that a worker remembers; rows of a batch that is handed over.
-MEMO, ROWS = 1_000_000, 256
+#: Windows and parts of texts that a worker remembers (about 200 MB in all); rows of a batch that is handed over.
+MEMO, PARTS, ROWS = 300_000, 250_000, 256
 _BEYOND_LATIN = re.compile("[^\x00-ɏ‐-‧€]")
 _WORD = re.compile(" +[^ ]*|[^ ]+")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
@@ -57,15 +58,16 @@ class Bytes(dict):
         raise NotImplementedError
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self._encoded(part), "<u4").tobytes()
+        ids = array("I", self._encoded(part)).tobytes()
         if len(part) <= LONG:
-            if len(self) >= CACHE:
+            if len(self) >= PARTS:
                 self.clear()
             self[part] = ids
         return ids
 
     def measure(self) -> None:
-        self.length = np.array([len(x) for x in self.tokens], np.int64)
+        self.lengths = [len(x) for x in self.tokens]
+        self.length = np.array(self.lengths, np.int64)
         self.spaced = np.array([x[:1] == b" " for x in self.tokens] + [True])
 
 
@@ -126,20 +128,28 @@ def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.
     return np.flatnonzero(same), at[same]
 
 
-def inside(ids_a: list[int], ids_b: list[int], length_a: np.ndarray, length_b: np.ndarray) -> tuple[str, int, tuple[int, ...]]:
-    """A window's groups as text, how many they are, and its links as pairs a << 32 | b."""
-    ends_a, ends_b = np.cumsum(length_a[ids_a]), np.cumsum(length_b[ids_b])
-    last_a, last_b = shared_ends(ends_a, ends_b)
-    text, links, i, j = [], [], 0, 0
-    for m, n in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
-        text.append(",".join(map(str, ids_a[i:m])) + "|" + ",".join(map(str, ids_b[j:n])))
-        while True:  # both lists in step: the one that ends first gives way
-            links.append(ids_a[i] << 32 | ids_b[j])
-            a, b = ends_a[i], ends_b[j]
-            i, j = i + int(a <= b), j + int(b <= a)
-            if i == m:  # the group's last tokens end together
-                break
-    return ";".join(text), len(text), tuple(links)
+def inside(ids_a: list[int], ids_b: list[int], length_a: list[int], length_b: list[int]) -> tuple[str, bytes]:
+    """A window's groups as text, and its links as 64-bit numbers a << 32 | b."""
+    groups, links, i, j, first_a, first_b = [], array("q"), 0, 0, 0, 0
+    end_a, end_b = length_a[ids_a[0]], length_b[ids_b[0]]
+    while True:  # both lists in step: the token that ends first gives way
+        links.append(ids_a[i] << 32 | ids_b[j])
+        both = end_a == end_b
+        if end_a <= end_b:
+            i += 1
+        if both or end_b < end_a:
+            j += 1
+        if both:
+            groups.append(",".join(map(str, ids_a[first_a:i])) + "|" + ",".join(map(str, ids_b[first_b:j])))
+            if i == len(ids_a):
+                return ";".join(groups), links.tobytes()
+            first_a, first_b = i, j
+            end_a += length_a[ids_a[i]]
+            end_b += length_b[ids_b[j]]
+        elif end_a < end_b:
+            end_a += length_a[ids_a[i]]
+        else:
+            end_b += length_b[ids_b[j]]
 
 
 def aligned(text: str | None, a: ByteLevel, b: Pieces, memo: dict) -> tuple[int, int, int, str, np.ndarray] | None:
@@ -153,25 +163,24 @@ def aligned(text: str | None, a: ByteLevel, b: Pieces, memo: dict) -> tuple[int,
     if b"".join(map(a.tokens.__getitem__, ids_a.tolist())) != data or b"".join(map(b.tokens.__getitem__, ids_b.tolist())) != data:
         return None
     at_a, at_b = shared_ends(np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b]))
-    last = len(at_a) - 1  # the end of the text
     anchor = a.spaced[ids_a[np.minimum(at_a + 1, len(ids_a) - 1)]] & b.spaced[ids_b[np.minimum(at_b + 1, len(ids_b) - 1)]]
-    anchor[last] = True
+    anchor[-1] = True  # the end of the text
     stop_a, stop_b = (4 * (at_a[anchor] + 1)).tolist(), (4 * (at_b[anchor] + 1)).tolist()
-    groups, n_groups, links, i, j = [], 0, [], 0, 0
+    groups, links, i, j = [], [], 0, 0
     for m, n in zip(stop_a, stop_b):
         key = raw_a[i:m], raw_b[j:n]
         found = memo.get(key)
         if found is None:
-            found = inside(np.frombuffer(key[0], "<u4").tolist(), np.frombuffer(key[1], "<u4").tolist(), a.length, b.length)
+            found = inside(array("I", key[0]).tolist(), array("I", key[1]).tolist(), a.lengths, b.lengths)
             if m - i + n - j <= 4 * LONG:
                 if len(memo) >= MEMO:
                     memo.clear()
                 memo[key] = found
         groups.append(found[0])
-        n_groups += found[1]
-        links.extend(found[2])
+        links.append(found[1])
         i, j = m, n
-    return len(ids_a), len(ids_b), n_groups, hashlib.sha256(";".join(groups).encode()).hexdigest(), np.array(links, np.int64)
+    digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
+    return len(ids_a), len(ids_b), len(at_a), digest, np.frombuffer(b"".join(links), np.int64)
 
 
 _ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
