@@ -79,8 +79,8 @@ def smooth(n: int, level: int) -> np.ndarray:
 
 
 def energies(rows: np.ndarray, level: int) -> dict[str, np.ndarray]:
-    """Sum of squares in each packet of each row."""
-    return {p: ((rows @ m) ** 2).sum(1) for p, m in packets(rows.shape[1], depth(rows.shape[1], level)).items()}
+    """Sum of squares in each packet of each row, after `level` splits."""
+    return {p: ((rows @ m) ** 2).sum(1) for p, m in packets(rows.shape[1], level).items()}
 
 
 def bands(energy: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -80,28 +80,6 @@ def _(spark, d):
     return recursive.with_indicators(views.hourly(spark, d)).select("symbol", "ts", F.col("ema_20").alias("ema"))
 
 
-#: Bars that a rolling kernel looks at.
-LENGTH = 128
-
-
-@query("fx064_fx161_to_fx164_hurst_spectrum")
-def _(spark, d):
-    """Rolling kernels over the last 128 values of every bar: of returns, signed volume and volume; null before."""
-
-    def run(pdf):
-        rows = {"price": np.diff(np.log(pdf["close"].to_numpy()), prepend=np.nan), "cvd": (pdf["buy_qty"] - pdf["sell_qty"]).to_numpy(float), "volume": pdf["volume"].to_numpy(float)}
-        out = {}
-        for name, x in rows.items():
-            out[f"hurst_{name}"] = filters.rolling(filters.hursts, x, LENGTH, 1)[:, 0]
-            for part, values in zip(("flatness", "low_share", "entropy", "centroid"), filters.rolling(filters.spectra, x, LENGTH, 4).T):
-                out[f"{part}_{name}"] = values
-        return pdf[["symbol", "ts"]].assign(**out)
-
-    names = [f"{k}_{x}" for x in ("price", "cvd", "volume") for k in ("hurst", "flatness", "low_share", "entropy", "centroid")]
-    rows = views.hourly(spark, d).select("symbol", "ts", "close", "volume", "buy_qty", "sell_qty")
-    return filters.overlapped(rows, ["symbol"], ["ts"], "symbol string, ts timestamp, " + ", ".join(f"{x} double" for x in names), run, warm=LENGTH)
-
-
 @query("fx117_xf20_dtw_templates")
 def _(spark, d):
     """Distance of the last 20 closes to each shape, and the nearest one, for every bar; null before the 20th."""

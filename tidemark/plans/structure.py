@@ -16,11 +16,11 @@ from tidemark.sources import views
 SHORT, LONG, LEVEL = 100, 160, 4
 
 
-def _schema(names) -> str:
+def schema(names) -> str:
     return "symbol string, ts timestamp, " + ", ".join(f"{x} double" for x in names)
 
 
-def _before(x: np.ndarray, n: int = 1) -> np.ndarray:
+def before(x: np.ndarray, n: int = 1) -> np.ndarray:
     """Values as they were n rows earlier."""
     out = np.full_like(x, np.nan, dtype=float)
     out[n:] = x[: len(x) - n] if n else x
@@ -41,7 +41,7 @@ def energy_columns(typical: np.ndarray, volume: np.ndarray, n: int = SHORT, leve
     """
 
     def of_price(rows: np.ndarray) -> np.ndarray:
-        energy = wavelets.energies(rows, level)
+        energy = wavelets.energies(rows, wavelets.depth(rows.shape[1], level))
         low, mid, high = wavelets.bands(energy)
         total, last = sum(energy.values()), rows @ wavelets.trend(rows.shape[1], level)[:, -1]
         with np.errstate(all="ignore"):
@@ -49,7 +49,7 @@ def energy_columns(typical: np.ndarray, volume: np.ndarray, n: int = SHORT, leve
             return np.stack([last, rows[:, -1] - last, rows[:, -1], *shares, np.where(low > 0, mid / low, np.nan), total], 1)
 
     def of_volume(rows: np.ndarray) -> np.ndarray:
-        energy = wavelets.energies(rows, level)
+        energy = wavelets.energies(rows, wavelets.depth(rows.shape[1], level))
         total = sum(energy.values())
         with np.errstate(all="ignore"):
             return np.stack([np.where(total > 0, energy.get("a" * level, 0.0) / total, np.nan), total], 1)
@@ -62,7 +62,7 @@ def energy_columns(typical: np.ndarray, volume: np.ndarray, n: int = SHORT, leve
     del out["energy"]
     returns = filters.rolling(of_price, np.diff(np.log(np.maximum(typical, 1e-10)), prepend=np.nan), n - 1, len(names)).T
     out |= {f"r_{k}": x for k, x in zip(names[:-1], returns)}
-    return {k: np.nan_to_num(_before(x, 2)) for k, x in out.items()}
+    return {k: np.nan_to_num(before(x, 2)) for k, x in out.items()}
 
 
 _WAVELETS = ("wpt_price_trend", "wpt_price_fluctuation", "wpt_price_reconstructed", "wpt_price_energy_low_ratio", "wpt_price_energy_mid_ratio", "wpt_price_energy_high_ratio", "wpt_price_energy_mid_low_ratio")
@@ -84,7 +84,7 @@ def with_wavelets(bars: DataFrame) -> DataFrame:
         return pdf[["symbol", "ts"]].assign(**out)
 
     rows = bars.select("symbol", "ts", "high", "low", "close", "volume")
-    return filters.overlapped(rows, ["symbol"], ["ts"], _schema([*_WAVELETS, *_OF_RETURNS, *_NORMALIZED]), run, warm=SHORT + 60)
+    return filters.overlapped(rows, ["symbol"], ["ts"], schema([*_WAVELETS, *_OF_RETURNS, *_NORMALIZED]), run, warm=SHORT + 60)
 
 
 @query("fx037_fx038_fx046_xf21_wavelets")
@@ -138,13 +138,13 @@ def with_profiles(bars: DataFrame) -> DataFrame:
         out |= {k: visible["poc" if k == "vpvr_pvp" else k.removeprefix("vpvr_")] for k in _VISIBLE}
         form = profile_columns(close, volume, SHORT)
         out |= {k: form[k.removeprefix("vp_")] for k in _SHAPE}
-        waved = profile_columns(np.nan_to_num(_before(typical, 2)) * (np.arange(len(close)) + first_row(pdf) > SHORT), volume, LONG)
+        waved = profile_columns(np.nan_to_num(before(typical, 2)) * (np.arange(len(close)) + first_row(pdf) > SHORT), volume, LONG)
         out |= {k: waved[k.removeprefix("wpt_")] for k in _WAVED}
         return pdf[["symbol", "ts"]].assign(**out)
 
     names = [*_UNIFIED, *_VISIBLE, *_SHAPE, *_WAVED]
     rows = bars.select("symbol", "ts", "high", "low", "close", "volume")
-    found = filters.overlapped(rows, ["symbol"], ["ts"], _schema(names), run, warm=LONG + 5)
+    found = filters.overlapped(rows, ["symbol"], ["ts"], schema(names), run, warm=LONG + 5)
     carried = ("vp_poc", "vp_hal_high", "vp_hal_low", "vp_hal_mid", "vp_boundary_stability_score", "vpvr_pvp", *_SHAPE, *_WAVED)
     # NaN and null are one to a frame that carries values on
     found = found.withColumns({k: F.nanvl(k, F.lit(None).cast("double")) for k in names})
@@ -191,27 +191,27 @@ def level_columns(high, low, close, volume, atr, poc, hal_high, hal_low, row: np
         for name, level, support in (("sqs_hal_high", hal_high, False), ("sqs_hal_low", hal_low, True)):
             found = profiles.level_quality(level[i], incl["high"], incl["low"], incl["close"], atr[i], incl["volume"], support, tolerance)
             out[name][i] = np.where(early | ~(level[i] > 0), 0.0, found)
-        before = lambda level, support: profiles.level_quality(level[i], excl["high"], excl["low"], excl["close"], atr[i - 1], None, support, tolerance)  # noqa: B023, E731
+        held = lambda level, support: profiles.level_quality(level[i], excl["high"], excl["low"], excl["close"], atr[i - 1], None, support, tolerance)  # noqa: B023, E731
         levels = {"high": hal_high[i], "low": hal_low[i], "poc": poc[i]}
         bonus = {k: 1 + near * sum(np.abs(x - y) <= atr[i] * tolerance for other, y in levels.items() if other != k) for k, x in levels.items()}
-        support, resistance = before(poc, True), before(poc, False)
+        support, resistance = held(poc, True), held(poc, False)
         above, drift = close[i] > poc[i], close[i - 1] - close[i - 3]
         weight = np.where(above & (drift < 0), 0.7, np.where(~above & (drift > 0), 0.3, 0.5))
         mixed = (support * weight + resistance * (1 - weight)) * bonus["poc"]
-        parts = [before(hal_high, False) * bonus["high"], before(hal_low, True) * bonus["low"], mixed, support, resistance, above, drift < 0, weight, 1 - weight]
+        parts = [held(hal_high, False) * bonus["high"], held(hal_low, True) * bonus["low"], mixed, support, resistance, above, drift < 0, weight, 1 - weight]
         out["strength"][i] = np.where(early, 0.5, np.max(np.stack([np.asarray(x, float) for x in parts]), 0))
     every = np.stack([hal_high, hal_low, poc])
     nearest = every[np.abs(every - close).argmin(0), np.arange(size)]
     gap = np.where(close > 0, (close - nearest) / np.where(close > 0, close, 1), 0.0)
-    out["dist"] = np.nan_to_num(_before(gap)) * close / np.where(atr == 0, 1e-8, atr)
-    out["side"] = np.nan_to_num(_before(np.where(close < nearest, 1.0, -1.0)))
-    out["strength"] = np.where(np.isnan(_before(out["strength"])), 0.5, _before(out["strength"]))
+    out["dist"] = np.nan_to_num(before(gap)) * close / np.where(atr == 0, 1e-8, atr)
+    out["side"] = np.nan_to_num(before(np.where(close < nearest, 1.0, -1.0)))
+    out["strength"] = np.where(np.isnan(before(out["strength"])), 0.5, before(out["strength"]))
     return out
 
 
 def _share_before(x: np.ndarray, n: int = 540) -> np.ndarray:
     """Share of the n - 1 values before that are at most the current one, as it was one row ago."""
-    return _before(filters.rolling(lambda rows: (rows[:, :-1] <= rows[:, -1:]).mean(1, keepdims=True), x, n, 1)[:, 0])
+    return before(filters.rolling(lambda rows: (rows[:, :-1] <= rows[:, -1:]).mean(1, keepdims=True), x, n, 1)[:, 0])
 
 
 _LEVELS = ("poc", "hal_high", "hal_low", "hal_mid", "sqs_hal_high", "sqs_hal_low", "sqs_hal_high_pct", "sqs_hal_low_pct", "sr_strength_combined", "sr_strength_max", "dist_to_nearest_sr", "direction_to_nearest_sr")
@@ -236,7 +236,7 @@ def with_levels(rows: DataFrame) -> DataFrame:
         return pdf[["symbol", "ts"]].assign(**out)
 
     rows = rows.select("symbol", "ts", "high", "low", "close", "volume", "atr", "vp_poc", "vp_hal_high", "vp_hal_low", "vp_hal_mid")
-    return filters.overlapped(rows, ["symbol"], ["ts"], _schema(_LEVELS), run, warm=540 + TOUCHES + 5)
+    return filters.overlapped(rows, ["symbol"], ["ts"], schema(_LEVELS), run, warm=540 + TOUCHES + 5)
 
 
 @query("fx039_to_fx044_fx149_xf10_levels")
