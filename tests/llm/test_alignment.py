@@ -83,7 +83,7 @@ def test_query_equals_brute_force(spark, sf_dir, plain):
 
 
 ODD = [
-    None, "", " ", "   ", "a", " a  b   c ", "line\nline\n\n\tx\r\n", "x▁y", "▁", "café naïve ½ ² ﬁ", "é é", "<|endoftext|> <s> </s> <unk> <0x0A> [UNK]", "don't can't I'll we've 's '", "日本語の文 русский عربي", "\U0001f600 \U0001f469‍\U0001f4bb!", "1234567890 3.14 1,000", "a\x00b \x7f \x85 \xa0 x　y  z", "http://x.y/z?q=1&r=2#s", "foo_bar FooBar fooBAR", "=" * 300, " " * 200 + "x", "ՠֈ Ა", "� ﻿x", "under the the the understanding",
+    None, "", " ", "   ", "a", " a  b   c ", "line\nline\n\n\tx\r\n", "x▁y", "▁", "café naïve ½ ² ﬁ", "é é", "<|endoftext|> <s> </s> <unk> <0x0A> [UNK]", "don't can't I'll we've 's '", "日本語の文 русский عربي", "\U0001f600 \U0001f469‍\U0001f4bb!", "1234567890 3.14 1,000", "a\x00b \x7f \x85 \xa0 x　y  z", "http://x.y/z?q=1&r=2#s", "x\n  y \xa0 z\x85  q \t w", "a \xa0\xa0 b", "\n", "\xa0 ", "a\xa0 b", "foo_bar FooBar fooBAR", "=" * 300, " " * 200 + "x", "ՠֈ Ა", "� ﻿x", "under the the the understanding",
 ]
 
 
@@ -107,11 +107,14 @@ def test_no_piece_has_a_space_after_another_sign():
 
 
 def test_windows_are_remembered_and_a_full_memory_changes_nothing(monkeypatch, plain):
-    a, b, memo = alignment.ByteLevel(A), alignment.Pieces(B), {}
     text = "the understanding of the text, the text of the understanding. " * 20
-    once = alignment.aligned(text, a, b, memo)
-    assert 0 < len(memo) < 20
+    known = alignment.Windows(alignment.Words(alignment.ByteLevel(A), alignment.Pieces(B)))
+    once = alignment.aligned(text, known)
+    assert 0 < len(known) < 20
     monkeypatch.setattr(alignment, "MEMO", 2)
-    again = alignment.aligned(text, a, b, {})
+    monkeypatch.setattr(alignment, "PARTS", 3)
+    small = alignment.Windows(alignment.Words(alignment.ByteLevel(A), alignment.Pieces(B)))
+    again = alignment.aligned(text, small)
+    assert len(small) <= 2 and len(small.older) <= 2 and len(small.words) <= 3
     assert once[:4] == again[:4] and (once[4] == again[4]).all()
     assert once[:4] == (lambda x: (x[1], x[2], x[3], x[7]))(expected([(0, text)], plain)[0])

@@ -4,11 +4,11 @@ Each text is tokenised whole by a byte-level model (A, after a space) and a piec
 which adds the space). Where an A and a B token end at the same byte, both cut the text: a
 group. An A and a B token are linked where their bytes overlap, which is only inside a group.
 
-1. Full tokenisation; the ends of both are running sums of token lengths in bytes.
+1. Full tokenisation, each part checked against its bytes; the ends of both are running sums of token lengths in bytes.
 2. Anchors: shared ends, found in both lists of ends, after which both next tokens begin
    with a space. They split a document into windows, about one a word.
 3. A window is known by its two tuples of ids. What is inside - groups and links - is worked
-   out once a worker and kept under these tuples (at most MEMO windows), so most of a
+   out once a worker and kept under these tuples (at most 2 MEMO windows), so most of a
    document is looked up. A document has the number, the links and the groups of its windows.
 4. The documents that hold an id pair linked are counted over the corpus: one row for each
    distinct pair of a document, summed before the shuffle.
@@ -16,10 +16,10 @@ group. An A and a B token are linked where their bytes overlap, which is only in
    broadcast (16 bytes each, 4 MB as given) and looked up where the document is; links of
    other pairs, which are rare, are joined by pair. Every pair is counted and looked up.
 
-Tokenisation is that of the libraries, remembered by parts that merges never cross: what A's
-pattern cuts off, and for B words with the space before them (no piece has a space after
-another sign). A text with letters beyond Latin goes to A's library whole, whose tables of
-letters decide there.
+Tokenisation is that of the libraries, remembered by parts that merges never cross: words
+with the space before them (A's pattern cuts there, and no piece of B has a space after
+another sign). A text with letters beyond Latin goes to the libraries whole, whose tables
+of letters decide there.
 
 Cases: null and empty texts, and those whose tokens do not give back the text's bytes (B
 writes U+2581 as a space), have zeros and an empty digest; a null doc_id and repeated
@@ -42,37 +42,53 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import staged
 from tidemark.llm.tokens import LONG, as_letters, byte_level_pattern
 
-#: Windows and parts of texts that a worker remembers (about 200 MB in all); rows of a batch that is handed over.
-MEMO, PARTS, ROWS = 300_000, 250_000, 256
+#: Windows and parts of texts that a worker remembers at least (about 300 MB in all); rows of a batch that is handed over.
+MEMO, PARTS, ROWS = 200_000, 200_000, 256
 _BEYOND_LATIN = re.compile("[^\x00-ɏ‐-‧€]")
-_WORD = re.compile(" +[^ ]*|[^ ]+")
+_PART = re.compile("(?: [^ ]*)(?:(?<=[ \t\n\r\x0b\x0c\x85\xa0]) [^ ]*)*")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
+_IDS = 1 << 16  # more than either tokenizer has
+#: Ids as they are written: inside a group, at the end of its A ids, at the end of its B ids.
+_TEXT = [f"{x}{sign}" for sign in ",|;" for x in range(_IDS)]
 
 
-class Bytes(dict):
-    """A tokenizer's ids (little-endian unsigned 32-bit) by part of a text, and its tokens as bytes."""
+class Kept(dict):
+    """What a worker has worked out, by key: of the last `size` to twice as many keys that were asked for."""
 
-    tokens: list[bytes]
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.older = size, {}
 
-    def _encoded(self, part: str) -> list[int]:
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.made(key)
+        if self.short(key):
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, found) -> None:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+
+    def made(self, key):
+        raise NotImplementedError
+
+    def short(self, key) -> bool:
         raise NotImplementedError
 
-    def __missing__(self, part: str) -> bytes:
-        ids = array("I", self._encoded(part)).tobytes()
-        if len(part) <= LONG:
-            if len(self) >= PARTS:
-                self.clear()
-            self[part] = ids
-        return ids
 
-    def measure(self) -> None:
-        self.lengths = [len(x) for x in self.tokens]
-        self.length = np.array(self.lengths, np.int64)
-        self.spaced = np.array([x[:1] == b" " for x in self.tokens] + [True])
+class Unlike(Exception):
+    """Tokens that do not give back their text."""
 
 
-class ByteLevel(Bytes):
+class ByteLevel(Kept):
+    """Ids of model A by what its pattern cuts off."""
+
     def __init__(self, path: str):
+        super().__init__(PARTS)
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -81,21 +97,22 @@ class ByteLevel(Bytes):
         self.whole.encode_special_tokens = True
         self.merge, self.find = self.whole.model.tokenize, byte_level_pattern().findall
         byte = {ord(as_letters(bytes([b]))): b for b in range(256)}
-        size = self.whole.get_vocab_size()
-        names = (self.whole.id_to_token(i) or "" for i in range(size))
+        names = (self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size()))
         self.tokens = [bytes(byte[ord(c)] for c in x) if all(ord(c) in byte for c in x) else x.encode() for x in names]
-        self.measure()
 
-    def _encoded(self, part: str) -> list[int]:
-        return [x.id for x in self.merge(as_letters(part.encode()))]
+    def made(self, piece: str) -> list[int]:
+        return [x.id for x in self.merge(as_letters(piece.encode()))]
 
-    def ids(self, text: str) -> bytes:
-        if _BEYOND_LATIN.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, self.find(text)))
+    def short(self, piece: str) -> bool:
+        return len(piece) <= LONG
+
+    def ids(self, part: str) -> list[int]:
+        return [i for piece in self.find(part) for i in self[piece]]
 
 
-class Pieces(Bytes):
+class Pieces:
+    """Ids of model B, of texts without the space that the model puts before them."""
+
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
@@ -103,22 +120,43 @@ class Pieces(Bytes):
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         as_byte = (self.model.is_byte(i) and _BYTE.fullmatch(x) for i, x in enumerate(names))
         self.tokens = [bytes([int(m[1], 16)]) if m else x.replace("▁", " ").encode() for m, x in zip(as_byte, names)]
-        self.measure()
+        self.space = [self.model.piece_to_id("▁")]
 
-    def _encoded(self, part: str) -> list[int]:
-        if part == " ":  # to an empty text the model adds no space
-            return [self.model.piece_to_id("▁")]
-        return self.model.encode(part[1:])  # the model puts the space before it
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        found = self.model.encode(texts, num_threads=1) if texts else []
+        return [x or self.space for x in found]  # to an empty text the model adds no space
 
-    def ids(self, text: str) -> bytes:
-        """Ids of a text that begins with the added space."""
-        return b"".join(map(self.__getitem__, _WORD.findall(text)))
 
+class Words(Kept):
+    """Both models' ids (little-endian unsigned 32-bit) by parts that merges never cross: from a space after another sign to the next."""
 
-@lru_cache(maxsize=2)
-def models(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces, dict]:
-    """One pair of tokenizers and one memory of windows for a worker process."""
-    return ByteLevel(path_a), Pieces(path_b), {}
+    def __init__(self, a: ByteLevel, b: Pieces):
+        super().__init__(PARTS)
+        self.a, self.b = a, b
+
+    def short(self, part: str) -> bool:
+        return len(part) <= LONG
+
+    def made(self, part: str) -> tuple[bytes, bytes]:
+        return self.both(part, self.a.ids(part), self.b.ids([part[1:]])[0])
+
+    def both(self, part: str, ids_a: list[int], ids_b: list[int]) -> tuple[bytes, bytes]:
+        data = part.encode()
+        if b"".join([self.a.tokens[i] for i in ids_a]) != data or b"".join([self.b.tokens[i] for i in ids_b]) != data:
+            raise Unlike
+        return array("I", ids_a).tobytes(), array("I", ids_b).tobytes()
+
+    def ids(self, text: str) -> tuple[bytes, bytes]:
+        """Ids of a text and the space before it; parts not known yet are encoded together."""
+        spaced = " " + text
+        if _BEYOND_LATIN.search(text):
+            return self.both(spaced, self.a.whole.encode(spaced, add_special_tokens=False).ids, self.b.ids([text])[0])
+        parts = _PART.findall(spaced)
+        new = [x for x in {x for x in parts if x not in self} if x not in self.older and self.short(x)]
+        for part, ids in zip(new, self.b.ids([x[1:] for x in new])):
+            self.keep(part, self.both(part, self.a.ids(part), ids))
+        found = [self[x] for x in parts]
+        return b"".join([x for x, _ in found]), b"".join([x for _, x in found])
 
 
 def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,59 +166,81 @@ def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.
     return np.flatnonzero(same), at[same]
 
 
-def inside(ids_a: list[int], ids_b: list[int], length_a: list[int], length_b: list[int]) -> tuple[str, bytes]:
-    """A window's groups as text, and its links as 64-bit numbers a << 32 | b."""
-    groups, links, i, j, first_a, first_b = [], array("q"), 0, 0, 0, 0
-    end_a, end_b = length_a[ids_a[0]], length_b[ids_b[0]]
-    while True:  # both lists in step: the token that ends first gives way
-        links.append(ids_a[i] << 32 | ids_b[j])
-        both = end_a == end_b
-        if end_a <= end_b:
-            i += 1
-        if both or end_b < end_a:
-            j += 1
-        if both:
-            groups.append(",".join(map(str, ids_a[first_a:i])) + "|" + ",".join(map(str, ids_b[first_b:j])))
-            if i == len(ids_a):
-                return ";".join(groups), links.tobytes()
-            first_a, first_b = i, j
-            end_a += length_a[ids_a[i]]
-            end_b += length_b[ids_b[j]]
-        elif end_a < end_b:
-            end_a += length_a[ids_a[i]]
-        else:
-            end_b += length_b[ids_b[j]]
-
-
-def aligned(text: str | None, a: ByteLevel, b: Pieces, memo: dict) -> tuple[int, int, int, str, np.ndarray] | None:
+def inside(ids: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray], window: tuple[np.ndarray, np.ndarray]) -> list[tuple[str, bytes]]:
+    """Of each of some windows its groups as text, and its links as 64-bit numbers a << 32 | b.
+
+    ids, ends (rising) and window numbers of their A tokens and of their B tokens. Between
+    two neighbouring ends of either kind lies one A and one B token: a link.
+    """
+    cuts = np.union1d(*ends)
+    of_a, of_b = (np.searchsorted(x, cuts) for x in ends)
+    links = ids[0][of_a].astype(np.int64) << 32 | ids[1][of_b]
+    first_link = np.flatnonzero(np.diff(window[0][of_a], prepend=-1)).tolist()
+    shared = np.intersect1d(*ends, assume_unique=True)
+    group = [np.searchsorted(shared, x) for x in ends]
+    last = [np.diff(g, append=g[-1] + 1) != 0 for g in group]
+    order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+    written = np.concatenate([ids[0] + np.where(last[0], _IDS, 0), ids[1] + np.where(last[1], 2 * _IDS, 0)])[order]
+    first_text = np.flatnonzero(np.diff(np.concatenate(window)[order], prepend=-1)).tolist()
+    texts, raw = [_TEXT[x] for x in written.tolist()], links.tobytes()
+    return [("".join(texts[i:j])[:-1], raw[8 * m : 8 * n]) for i, j, m, n in zip(first_text, [*first_text[1:], len(texts)], first_link, [*first_link[1:], len(links)])]
+
+
+class Windows(Kept):
+    """Groups and links of windows by their two tuples of ids, each as bytes."""
+
+    def __init__(self, words: Words):
+        super().__init__(MEMO)
+        self.words = words
+        tokens = words.a.tokens, words.b.tokens
+        self.length = tuple(np.array([len(x) for x in t], np.int64) for t in tokens)
+        self.spaced = tuple(np.array([x[:1] == b" " for x in t]) for t in tokens)
+
+    def short(self, key: tuple[bytes, bytes]) -> bool:
+        return len(key[0]) + len(key[1]) <= 4 * LONG
+
+    def found(self, keys: list, ids: tuple, ends: tuple, stops: tuple) -> list[tuple[str, bytes]]:
+        """What is in each window; those not known yet are worked out together. stops: how many A and B tokens end by each window's end."""
+        out = [self.get(k) or self.older.get(k) for k in keys]
+        new = np.array([x is None for x in out])
+        if new.any():
+            window = [np.repeat(np.arange(len(keys)), np.diff(x, prepend=0)) for x in stops]
+            some = [new[x] for x in window]
+            worked = iter(inside(*(tuple(x[m] for x, m in zip(y, some)) for y in (ids, ends, window))))
+            for k in np.flatnonzero(new).tolist():
+                out[k] = next(worked)
+        for key, x in zip(keys, out):
+            if key not in self and self.short(key):
+                self.keep(key, x)
+        return out
+
+
+@lru_cache(maxsize=2)
+def windows(path_a: str, path_b: str) -> Windows:
+    """One pair of tokenizers and one memory of windows for a worker process."""
+    return Windows(Words(ByteLevel(path_a), Pieces(path_b)))
+
+
+def aligned(text: str | None, known: Windows) -> tuple[int, int, int, str, np.ndarray] | None:
     """n_a, n_b, n_groups, digest of the groups, links (a << 32 | b of each occurrence); None without tokens."""
     if not text:
         return None
-    spaced = " " + text
-    raw_a, raw_b = a.ids(spaced), b.ids(spaced)
-    ids_a, ids_b = np.frombuffer(raw_a, "<u4"), np.frombuffer(raw_b, "<u4")
-    data = spaced.encode()
-    if b"".join(map(a.tokens.__getitem__, ids_a.tolist())) != data or b"".join(map(b.tokens.__getitem__, ids_b.tolist())) != data:
+    try:
+        raw_a, raw_b = known.words.ids(text)
+    except Unlike:
         return None
-    at_a, at_b = shared_ends(np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b]))
-    anchor = a.spaced[ids_a[np.minimum(at_a + 1, len(ids_a) - 1)]] & b.spaced[ids_b[np.minimum(at_b + 1, len(ids_b) - 1)]]
+    ids = tuple(np.frombuffer(x, "<u4").astype(np.int64) for x in (raw_a, raw_b))
+    ends = tuple(np.cumsum(length[x]) for length, x in zip(known.length, ids))
+    shared = shared_ends(*ends)
+    spaces = [spaced[x[np.minimum(at + 1, len(x) - 1)]] for spaced, x, at in zip(known.spaced, ids, shared)]
+    anchor = spaces[0] & spaces[1]
     anchor[-1] = True  # the end of the text
-    stop_a, stop_b = (4 * (at_a[anchor] + 1)).tolist(), (4 * (at_b[anchor] + 1)).tolist()
-    groups, links, i, j = [], [], 0, 0
-    for m, n in zip(stop_a, stop_b):
-        key = raw_a[i:m], raw_b[j:n]
-        found = memo.get(key)
-        if found is None:
-            found = inside(array("I", key[0]).tolist(), array("I", key[1]).tolist(), a.lengths, b.lengths)
-            if m - i + n - j <= 4 * LONG:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[key] = found
-        groups.append(found[0])
-        links.append(found[1])
-        i, j = m, n
-    digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-    return len(ids_a), len(ids_b), len(at_a), digest, np.frombuffer(b"".join(links), np.int64)
+    stops = tuple(at[anchor] + 1 for at in shared)
+    stop_a, stop_b = ((4 * x).tolist() for x in stops)
+    keys = [(raw_a[i:m], raw_b[j:n]) for i, m, j, n in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b)]
+    found = known.found(keys, ids, ends, stops)
+    digest = hashlib.sha256(";".join([x for x, _ in found]).encode()).hexdigest()
+    return len(ids[0]), len(ids[1]), len(shared[0]), digest, np.frombuffer(b"".join([x for _, x in found]), np.int64)
 
 
 _ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
@@ -190,11 +250,11 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
     """A row for each document: its numbers, its groups' digest, its distinct linked pairs (rising) and how often each is linked."""
 
     def run(batches):
-        a, b, memo = models(path_a, path_b)
+        known = windows(path_a, path_b)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [aligned(t.as_py(), a, b, memo) for t in part.column("text")]
+                found = [aligned(t.as_py(), known) for t in part.column("text")]
                 numbers = [[x[k] if x else 0 for x in found] for k in range(3)]
                 distinct = [np.unique(x[4], return_counts=True) if x else (np.zeros(0, np.int64),) * 2 for x in found]
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x[0]) for x in distinct]), pa.int32()), pa.array(np.concatenate([x[k] for x in distinct]), kind)) for k, kind in ((0, pa.int64()), (1, pa.int32()))]
