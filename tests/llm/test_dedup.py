@@ -75,6 +75,25 @@ def test_near_duplicates_in_loose_clusters_equal_brute_force(spark):
     assert got == want
 
 
+def test_two_texts_that_a_bucket_has_left_are_compared(spark, monkeypatch):
+    """Buckets of five texts, in each one pair alike: which pair the hub rounds leave over depends on the bucket."""
+    rng = np.random.default_rng(6)
+    rows, signed, pairs = [], [], {}
+    for g, (x, y) in enumerate([(x, y) for x in range(2, 5) for y in range(1, x)] * 5):
+        base = rng.integers(0, 250, minhash.REGISTERS).astype(np.uint8)
+        alike = [f"g{g}w{k}" for k in range(40)]
+        for m in range(5):
+            r = base.copy()
+            r[8::8] = 250 + m  # one register of every band but the first
+            words = alike + [f"m{m}"] if m in (x, y) else [f"g{g}m{m}w{k}" for k in range(41)]
+            rows.append((10 * g + m, " ".join(words)))
+            signed.append((10 * g + m, 41, f"{g},{m}".encode(), r.view(np.int64).tolist()))
+        pairs[10 * g + x] = 10 * g + y
+    monkeypatch.setattr(minhash, "signatures", lambda *a: spark.createDataFrame(signed, "doc_id long, n_shingles long, digest binary, bands array<long>"))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert got == {i: pairs.get(i, i) for i, _ in rows}
+
+
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
     rows = minhash.near_duplicates(odd_docs, 2).collect()
     assert len(rows) == odd_docs.count()

@@ -213,15 +213,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             left = tried.join(found, ["a", "b"], "left_anti").select("key", F.col("b").alias("rep"))
             left = staged(several(staged(left, "left", (tried,)), placed), "left")
         rest = left.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1")
-        edges = edges.union(left.join(rest, "key").where("rep <> a").select("a", F.col("rep").alias("b")))
+        over = staged(left.join(rest, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "over")
+        edges = edges.union(over)
         family = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+        family = staged(family, "family")
+        untried = family.join(over.select(F.col("a").alias("rep")).distinct(), "rep").select("family", F.lit(True).alias("untried")).distinct()
         member = family.join(placed, "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("component"))
         member = staged(member.join(of_some.select("rep", "n"), "rep"), "members")
         parts = member.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
         main = parts.groupBy("family").agg(F.max(F.struct("size", "component", "shingles")).alias("main"), F.sum("size").alias("n_all"), F.sum("shingles").alias("shingles"))
         blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
         outside, outside_shingles = F.col("n_all") - F.col("main.size"), F.col("shingles") - F.col("main.shingles")
-        open_ones = main.where((outside > 0) & (F.col("n_all") > 2)).select("family", F.col("main.component").alias("main"), blocks(F.col("n_all"), F.col("shingles")).alias("na"), blocks(outside, outside_shingles).alias("no"))
+        # a family of hub and member has been compared; what a bucket has left has not
+        open_ones = main.join(untried, "family", "left").where((outside > 0) & ((F.col("n_all") > 2) | F.col("untried"))).select("family", F.col("main.component").alias("main"), blocks(F.col("n_all"), F.col("shingles")).alias("na"), blocks(outside, outside_shingles).alias("no"))
         more = _within_families(member, staged(open_ones, "open"), texts, shingle, percent)
         placed = joined_up(placed, staged(more, "more"))
     of_set = reps.select("digest", "rep").join(placed, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
