@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from xxhash import xxh3_64_intdigest
 
 from tidemark.llm import phrases, queries
 
@@ -71,9 +72,9 @@ def test_words_of_one_hash_are_found_and_counted_apart(spark, monkeypatch):
     apart = phrases.counted
     seeds = []
 
-    def clashing(docs, seed, borders, words):
+    def clashing(docs, seed, borders, words, keep):
         seeds.append(seed)
-        out = apart(docs, seed, borders, words)
+        out = apart(docs, seed, borders, words, keep)
         return out.selectExpr("k", *(f"IF({h} IS NULL, NULL, IF({seed} = 0, 7, {h})) AS {h}" for h in ("h1", "h2", "h3")), "lang", "word", "n") if borders else out
 
     monkeypatch.setattr(phrases, "counted", clashing)
@@ -92,11 +93,15 @@ def test_counter_over_slices_and_full_buffers(monkeypatch):
     counter, tally, names = phrases.Counter(0, [full], True), Counter(), {}
     for batch in [*counter.add("en", text), *counter.sums()]:
         for r in batch.to_pylist():
-            tally[tuple(h for h in (r["h1"], r["h2"], r["h3"]) if h is not None)] += r["n"]
-            if r["k"] == 1:
-                names[r["h1"]] = r["word"].encode()
-    want = Counter(tuple(w[i : i + k]) for w in pieces(text.decode()) for k in (1, 2, 3) for i in range(len(w) - k + 1))
-    assert Counter({tuple(names[h] for h in p): n for p, n in tally.items()}) == want
+            key = (r["key"],) if r["k"] == 1 else tuple(r["key"][i : i + 8] for i in range(0, 8 * r["k"], 8))
+            tally[tuple(names.setdefault(x.partition(b"\xff")[2], x) if r["k"] == 1 else x for x in key)] += r["n"]
+    of = {w: xxh3_64_intdigest(key, 0).to_bytes(8, "little") for w, key in names.items()}
+    want = Counter()
+    for w in pieces(text.decode()):
+        for k in (1, 2, 3):
+            for i in range(len(w) - k + 1):
+                want[(names[w[i]],) if k == 1 else tuple(of[x] for x in w[i : i + k])] += 1
+    assert tally == want
 
 
 def test_passes_count_each_phrase_once():

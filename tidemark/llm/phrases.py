@@ -36,12 +36,12 @@ from tidemark.llm.common import staged
 from tidemark.llm.shingles import mixed
 
 #: Occurrences and distinct words that a task holds before it hands over sums; bytes of text that are cut into words at once; rows of a batch.
-BUFFER, VOCABULARY, SLICE, ROWS = 1_000_000, 1 << 17, 1 << 18, 1 << 16
+BUFFER, VOCABULARY, SLICE, ROWS = 750_000, 1 << 16, 1 << 17, 1 << 15
 SIGNS = b".,;:!?\n\x0b\x0c\r"
 _END = bytes.maketrans(SIGNS, b"\xff" * len(SIGNS))  # \xff is in no UTF-8 text: it ends a piece
 _CUT = re.compile(rb"[ \t\xff" + SIGNS + rb"]")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_COUNTED = "k int, h1 long, h2 long, h3 long, lang string, word string, n long"
+_COUNTED = "k int, key binary, n long"
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -113,11 +113,11 @@ class Counter:
         pair, triple = (i > 0) & (j > 0), None
         if self.borders:
             in_words = [pair & known[i] & known[j] for known in self.known]
-            at = np.flatnonzero(pair)
+            at = np.flatnonzero(in_words[-1])  # words of a pair in the border are in it too
             h = pair_hash(self.hash[i[at]], self.hash[j[at]])
             in_pairs = np.zeros((len(self.borders), len(pair)), bool)
             for k, (_, bitmap) in enumerate(self.borders):
-                in_pairs[k, at] = in_bitmap(bitmap, h)
+                in_pairs[k, at] = in_bitmap(bitmap, h) & in_words[k][at]
             pair = _newly(in_words)
             triple = np.flatnonzero(_newly([x[:-1] & x[1:] for x in in_pairs]))
             triple = triple[triple >= old - 2]
@@ -135,7 +135,7 @@ class Counter:
             more = n + VOCABULARY // 4 - len(self.hash)
             self.hash = np.concatenate([self.hash, np.zeros(more, np.uint64)])
             self.known = np.concatenate([self.known, np.zeros((len(self.borders), more), bool)], axis=1)
-        own = ((lang.encode() + b"\xff" + word) for lang, word in self.names[first - 1 :])
+        own = (lang.encode() + b"\xff" + word for lang, word in self.names[first - 1 :])
         self.hash[first:n] = np.fromiter((xxh3_64_intdigest(x, self.seed) for x in own), np.uint64, n - first)
         for k, (bitmap, _) in enumerate(self.borders):
             self.known[k, first:n] = in_bitmap(bitmap, self.hash[first:n])
@@ -147,7 +147,7 @@ class Counter:
             self.held += len(codes)
 
     def sums(self):
-        """All that is held as batches of (k, hashes, lang, word, n)."""
+        """All that is held as batches of (k, key, n); the key of a word is lang, \\xff and the word, that of a longer phrase its words' hashes."""
         for k, parts in enumerate(self.codes):
             if not parts:
                 continue
@@ -156,10 +156,13 @@ class Counter:
             for at in range(0, len(codes), ROWS):
                 c = codes[at : at + ROWS]
                 ids = [c >> 21 * (k - x) & (1 << 21) - 1 for x in range(k + 1)]
-                h = [pa.array(self.hash[x].view(np.int64)) for x in ids] + [pa.nulls(len(c), pa.int64())] * (2 - k)
-                own = [self.names[x - 1] for x in ids[0].tolist()] if k == 0 else []
-                text = [pa.array([x for x, _ in own]), pa.array([x.decode() for _, x in own])] if own else [pa.nulls(len(c), pa.string())] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k + 1, np.int32)), *h, *text, pa.array(n[at : at + ROWS])], ["k", "h1", "h2", "h3", "lang", "word", "n"])
+                if k == 0:
+                    key = pa.array([lang.encode() + b"\xff" + word for lang, word in (self.names[x - 1] for x in ids[0].tolist())], pa.binary())
+                else:
+                    data = np.stack([self.hash[x] for x in ids], 1)
+                    ends = np.arange(0, data.nbytes + 1, data.itemsize * (k + 1), dtype=np.int32)
+                    key = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k + 1, np.int32)), key, pa.array(n[at : at + ROWS])], ["k", "key", "n"])
         self.held = 0
         if len(self.names) >= VOCABULARY:
             self._forget()
@@ -173,8 +176,8 @@ def _newly(reached: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def counted(docs: DataFrame, seed: int, borders: list, words: bool) -> DataFrame:
-    """k (words in the phrase), h1, h2, h3, lang and word (where k = 1), n: one pass over all of docs (lang, text)."""
+def counted(docs: DataFrame, seed: int, borders: list, words: bool, keep: str) -> DataFrame:
+    """k (words in the phrase), h1, h2, h3, lang and word (where k = 1), n: one pass over all of docs (lang, text), and of its sums those that `keep` says."""
 
     def run(batches):
         counter = Counter(seed, [b.value for b in borders], words)
@@ -192,7 +195,21 @@ def counted(docs: DataFrame, seed: int, borders: list, words: bool) -> DataFrame
                 yield from counter.add(lang, b"\xff".join(bodies))
         yield from counter.sums()
 
-    return docs.mapInArrow(run, _COUNTED).groupBy("k", "h1", "h2", "h3", "lang", "word").agg(F.sum("n").alias("n"))
+    def named(batches):
+        for b in batches:
+            k, keys = b.column(0).to_numpy(), b.column(1).to_pylist()
+            h = np.zeros((len(k), 3), np.uint64)
+            for x in (2, 3):
+                h[k == x, :x] = np.frombuffer(b"".join([key for key, size in zip(keys, k.tolist()) if size == x]), np.uint64).reshape(-1, x)
+            word = [key if size == 1 else None for key, size in zip(keys, k.tolist())]
+            h[k == 1, 0] = np.array([xxh3_64_intdigest(x, seed) for x in word if x is not None], np.uint64)
+            cut = [x.partition(b"\xff")[::2] if x is not None else (None, None) for x in word]
+            text = [pa.array([None if x is None else x.decode() for x in side], pa.string()) for side in zip(*cut)] if cut else [pa.nulls(0, pa.string())] * 2
+            hashes = [pa.array(h[:, x].view(np.int64), mask=k <= x) for x in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *hashes, *text, b.column(2)], ["k", "h1", "h2", "h3", "lang", "word", "n"])
+
+    sums = docs.mapInArrow(run, _COUNTED).groupBy("k", "key").agg(F.sum("n").alias("n")).where(keep)
+    return sums.mapInArrow(named, "k int, h1 long, h2 long, h3 long, lang string, word string, n long")
 
 
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -248,16 +265,16 @@ def frequent_phrases(docs: DataFrame, least: int, fraction: float, filter_bits:
     def border_of(counts: DataFrame):
         return spark.sparkContext.broadcast(tuple(bitmap(hashes_of(counts, k), filter_bits[k - 1]) for k in (1, 2)))
 
-    proposed = staged(counted(docs.sample(fraction, seed=11), seed, [], words=True).where("n > 1"), "proposed")
+    proposed = staged(counted(docs.sample(fraction, seed=11), seed, [], True, "n > 1"), "proposed")
     borders = [border_of(proposed)]
-    first = staged(counted(docs, seed, borders, words=True).where((F.col("k") == 1) | (F.col("n") >= least)), "counted")
+    first = staged(counted(docs, seed, borders, True, f"k = 1 OR n >= {least}"), "counted")
     words = first.where("k = 1")
     if words.groupBy("h1").agg(F.count("*").alias("same")).where("same > 1").take(1):
         return frequent_phrases(docs, least, fraction, filter_bits, seed + 1)
     found = first.where(F.col("n") >= least)
     while _fails(found, borders[-1]):
         borders.append(border_of(found))
-        found = found.union(staged(counted(docs, seed, borders, words=False).where(F.col("n") >= least), "expansion"))
+        found = found.union(staged(counted(docs, seed, borders, False, f"n >= {least}"), "expansion"))
     return found, words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
