@@ -326,3 +326,17 @@ def test_trees_walk_equals_plain_recursion():
 def test_statistics_are_finite(text):
     s = quality.statistics(text)
     assert len(s) == len(quality.NAMES) and np.isfinite(s).all()
+
+
+def test_numbers_that_are_no_digits_are_no_letters():
+    """½ and the like are neither letters of a text nor parts of a word, and a text of them has no language."""
+    assert [langid.core(x) for x in ("1½", "²", "①a②", "Ⅷ", "x²y½", "_é_")] == ["", "", "a", "", "x²y", "é"]
+    assert all(bool(langid._LETTER.match(chr(c))) == chr(c).isalpha() for c in range(0x3000))
+
+
+def test_a_text_of_numbers_has_no_language_though_the_model_knows_them(spark):
+    rows = [(k, ("½ ² eins zwei drei " if k % 2 else "one two three ") * 5, "de" if k % 2 else "en") for k in range(40)]
+    rows += [(100, "1½ 2²", None), (101, "① Ⅷ", None), (102, "½ eins", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identified(docs, langid.trained(docs)).collect()}
+    assert got[100] == got[101] == ("und", 0.0) and got[102][0] == "de"

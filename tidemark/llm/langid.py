@@ -22,6 +22,7 @@ no rows give no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
@@ -38,8 +39,11 @@ VOCABULARY = {0: 30_000, 4: 15_000, 3: 8_000, 2: 2_000, 1: 500}
 CACHE, TOGETHER = 2_000_000, 1 << 21
 #: Longer words are no entries of their own, only their grams are; longer tokens are not cached.
 WORD, TOKEN = 40, 200
-_CORE = re.compile(r"[^\W\d_](?:.*[^\W\d_])?", re.S)
-_LETTER = re.compile(r"[^\W\d_]")
+#: Word characters that are neither letters nor decimal digits, such as ½, ² and Ⅷ.
+_NUMBERS = "".join(x for x in map(chr, range(0x80, sys.maxunicode + 1)) if x.isalnum() and not x.isalpha() and not x.isdecimal())
+_LETTERS = rf"[^\W\d_{_NUMBERS}]"
+_CORE = re.compile(rf"{_LETTERS}(?:.*{_LETTERS})?", re.S)
+_LETTER = re.compile(_LETTERS)
 
 
 def core(token: str) -> str:
