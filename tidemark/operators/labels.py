@@ -105,3 +105,22 @@ def exits(bars: DataFrame, frames: Frames, atr: str, horizon: int, stop: float,
     price = F.when(hit.isNull(), bar["close"]).when(bar["low"] <= bar["level"], bar["level"]).otherwise(entry + target * size)
     rows = rows.withColumns({"held": F.when(known, F.coalesce(hit, F.lit(horizon)).cast("int")), "reason": F.when(known, reason), "exit_price": F.when(known, price)})
     return rows.withColumn("r", (F.col("exit_price") - entry) / (stop * size)).drop("_path", "_entry", "_steps")
+
+
+def level_reaction(bars: DataFrame, frames: Frames, signal: str, level: str, atr: str, horizon: int = 5, deep: float = 0.5, far: float = 2.0) -> DataFrame:
+    """reaction: what the `horizon` bars after a signal (1 long, -1 short, 0 or null none) make of its level.
+
+    breakout: they go through it by `deep` ATR against the signal, or without that `far` ATR
+    away with it; reversal: neither. Null without a signal, a level, a positive ATR or the whole horizon.
+    """
+    w = frames.ahead(horizon)
+    side = F.signum(signal)
+    above, below = (F.max("high").over(w) - F.col(level)) / F.col(atr), (F.col(level) - F.min("low").over(w)) / F.col(atr)
+    against, along = F.when(side > 0, below).otherwise(above), F.when(side > 0, above).otherwise(below)
+    known = (F.coalesce(side, F.lit(0)) != 0) & F.col(level).isNotNull() & (F.col(atr) > 0) & (F.count("high").over(w) == horizon)
+    return bars.withColumn("reaction", F.when(known, F.when((against > deep) | (along > far), "breakout").otherwise("reversal")))
+
+
+def by_reaction(bars: DataFrame, label: str, reactions: tuple[str, ...] = ("reversal", "breakout")) -> DataFrame:
+    """label_<reaction>: the label where a level was met with that reaction."""
+    return bars.withColumns({f"{label}_{x}": F.when(F.col("reaction") == x, F.col(label)) for x in reactions})

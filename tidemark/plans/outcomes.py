@@ -35,6 +35,23 @@ def _(spark, d):
     return labels.risk_reward(with_atr(views.hourly(spark, d)), f).select("symbol", "ts", "tp_bar", "sl_bar", "rr_label", "mfe", "mae")
 
 
+@query("lb17_level_reaction", f"""WITH {HOURLY}, {_ATR}, {_PATH.format(h=24)}, s AS (SELECT symbol, ts, close, atr, max(high) OVER w AS top, min(low) OVER w AS bottom, max(high) OVER n AS hi, min(low) OVER n AS lo, count(high) OVER n AS ahead FROM a
+WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), n AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+g AS (SELECT *, CASE WHEN close <= bottom + atr THEN 1 WHEN close >= top - atr THEN -1 ELSE 0 END AS signal, CASE WHEN close <= bottom + atr THEN bottom ELSE top END AS level FROM s),
+q AS (SELECT *, CASE WHEN signal <> 0 AND level IS NOT NULL AND atr > 0 AND ahead = 5 THEN CASE WHEN signal > 0 AND (lo < level - 5e-1 * atr OR hi > level + 2 * atr) OR signal < 0 AND (hi > level + 5e-1 * atr OR lo < level - 2 * atr) THEN 'breakout' ELSE 'reversal' END END AS reaction FROM g),
+h AS (SELECT *, {_first('tp', "x.high >= entry + 2 * atr")}, {_first('sl', "x.low <= entry - 1 * atr")}, entry IS NOT NULL AND len(path) = 24 AND atr > 0 AS known FROM p), r AS (SELECT symbol, ts, CASE WHEN known THEN CASE WHEN tp IS NOT NULL AND (sl IS NULL OR tp < sl) THEN 1 ELSE 0 END END AS rr_label FROM h)
+SELECT symbol, ts, signal, level, reaction, CASE WHEN reaction = 'reversal' THEN rr_label END AS rr_label_reversal, CASE WHEN reaction = 'breakout' THEN rr_label END AS rr_label_breakout FROM q JOIN r USING (symbol, ts)""")
+def _(spark, d):
+    """Signals near the swing of the last 20 bars, what the next bars make of its level, and the risk-reward label by that."""
+    rows = with_atr(views.hourly(spark, d))
+    w = f.before(20)
+    rows = rows.withColumns({"top": F.max("high").over(w), "bottom": F.min("low").over(w)})
+    low, high = F.col("close") <= F.col("bottom") + F.col("atr"), F.col("close") >= F.col("top") - F.col("atr")
+    rows = rows.withColumns({"signal": F.when(low, 1).when(high, -1).otherwise(0), "level": F.when(low, F.col("bottom")).otherwise(F.col("top"))})
+    found = labels.by_reaction(labels.level_reaction(labels.risk_reward(rows, f), f, "signal", "level", "atr"), "rr_label")
+    return found.select("symbol", "ts", "signal", "level", "reaction", "rr_label_reversal", "rr_label_breakout")
+
+
 @query("lb05_triple_barrier", f"""WITH {HOURLY}, {_ATR}, {_PATH.format(h=12)}, h AS (SELECT *, {_first('tp', "x.high >= close + 1 * atr")}, {_first('sl', "x.low <= close - 1 * atr")}, len(path) = 12 AND atr IS NOT NULL AS known FROM p),
 b AS (SELECT symbol, ts, CASE WHEN known THEN CASE WHEN sl IS NOT NULL AND (tp IS NULL OR sl <= tp) THEN -1 WHEN tp IS NOT NULL THEN 1 ELSE 0 END END AS barrier FROM h) SELECT symbol, ts, barrier, CASE WHEN barrier IS NOT NULL THEN CAST(barrier = 1 AS INTEGER) END AS meta FROM b""")
 def _(spark, d):
