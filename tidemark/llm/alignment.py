@@ -201,17 +201,25 @@ class Windows(Kept):
 
     def found(self, keys: list, ids: tuple, ends: tuple, stops: tuple) -> list[tuple[str, bytes]]:
         """What is in each window; those not known yet are worked out together. stops: how many A and B tokens end by each window's end."""
-        out = [self.get(k) or self.older.get(k) for k in keys]
-        new = np.array([x is None for x in out])
-        if new.any():
+        out, new, get = [], [], self.get
+        for key in keys:
+            x = get(key)
+            if x is None:
+                x = self.older.get(key)
+                if x is None:
+                    new.append(len(out))
+                elif self.short(key):
+                    self.keep(key, x)
+            out.append(x)
+        if new:
+            some = np.zeros(len(keys), bool)
+            some[new] = True
             window = [np.repeat(np.arange(len(keys)), np.diff(x, prepend=0)) for x in stops]
-            some = [new[x] for x in window]
-            worked = iter(inside(*(tuple(x[m] for x, m in zip(y, some)) for y in (ids, ends, window))))
-            for k in np.flatnonzero(new).tolist():
-                out[k] = next(worked)
-        for key, x in zip(keys, out):
-            if key not in self and self.short(key):
-                self.keep(key, x)
+            chosen = [some[x] for x in window]
+            for k, x in zip(new, inside(*(tuple(v[m] for v, m in zip(y, chosen)) for y in (ids, ends, window)))):
+                out[k] = x
+                if self.short(keys[k]):
+                    self.keep(keys[k], x)
         return out
 
 
