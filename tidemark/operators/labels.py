@@ -124,3 +124,26 @@ def level_reaction(bars: DataFrame, frames: Frames, signal: str, level: str, atr
 def by_reaction(bars: DataFrame, label: str, reactions: tuple[str, ...] = ("reversal", "breakout")) -> DataFrame:
     """label_<reaction>: the label where a level was met with that reaction."""
     return bars.withColumns({f"{label}_{x}": F.when(F.col("reaction") == x, F.col(label)) for x in reactions})
+
+
+def retracement(bars: DataFrame, frames: Frames, flag: str, horizon: int = 3) -> DataFrame:
+    """retracement: the larger of the rise and the fall from the close within `horizon` bars after a flagged one, and the risk that its size stands for; 0 elsewhere and where the horizon is cut off."""
+    w = frames.ahead(horizon)
+    known = (F.col(flag) == 1) & (F.count("close").over(w) == horizon) & (F.col("close") > 0)
+    size = F.greatest(F.max("close").over(w) / F.col("close") - 1, 1 - F.min("close").over(w) / F.col("close"))
+    rows = bars.withColumn("retracement", F.when(known, size).otherwise(0.0))
+    return rows.withColumn("false_breakout_risk", F.when(known, F.when(F.col("retracement") > 0.5, 0.8).when(F.col("retracement") > 0.3, 0.5).otherwise(0.2)).otherwise(0.0))
+
+
+def realized_r(bars: DataFrame, atr: str, horizon: int, stop: float, target: float, trail: float | None = None, floor: float = 0.0) -> DataFrame:
+    """symbol, ts, realized_r_long, realized_r_short, label: what a long and a short from the next open make under one exit profile, and the long less the short.
+
+    A short is a long on prices turned upside down. label is null where it is under `floor` in size, or a side is unknown.
+    """
+    side = lambda k, high, low: F.struct(F.lit(k).alias("side"), (k * F.col("open")).alias("open"), (k * F.col(high)).alias("high"), (k * F.col(low)).alias("low"), (k * F.col("close")).alias("close"))
+    both = bars.select("symbol", "ts", atr, F.inline(F.array(side(1, "high", "low"), side(-1, "low", "high"))))
+    found = exits(both, Frames(("symbol", "side"), ("ts",)), atr, horizon, stop, target, trail)
+    of = lambda k: F.max(F.when(F.col("side") == k, F.col("r")))
+    out = found.groupBy("symbol", "ts").agg(of(1).alias("realized_r_long"), of(-1).alias("realized_r_short"))
+    label = F.col("realized_r_long") - F.col("realized_r_short")
+    return out.withColumn("label", F.when(F.abs(label) >= floor, label))

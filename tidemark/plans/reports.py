@@ -58,6 +58,20 @@ x AS (SELECT symbol, ts, CASE WHEN hit IS NULL THEN 12 ELSE hit.i END AS held, C
 _PLAIN, _TRAIL = "entry - atr", "CASE WHEN i = 1 THEN entry - atr ELSE greatest(entry - atr, list_max(list_transform(path[1:i - 1], lambda q: q.high)) - 1.5 * atr) END"
 
 
+_BOTH = f"""{RECURSIVE}, both_sides AS (SELECT symbol, ts, 1 AS side, open, high, low, close, atr FROM seq UNION ALL SELECT symbol, ts, -1, -open, -low, -high, -close, atr FROM seq),
+p AS (SELECT *, lead(open) OVER w AS entry, list({{'high': high, 'low': low, 'close': close}}) OVER (PARTITION BY symbol, side ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS path FROM both_sides WINDOW w AS (PARTITION BY symbol, side ORDER BY ts)),
+s AS (SELECT symbol, ts, side, entry, atr, list_transform(path, lambda x, i: {{'high': x.high, 'low': x.low, 'close': x.close, 'level': CASE WHEN i = 1 THEN entry - atr ELSE greatest(entry - atr, list_max(list_transform(path[1:i - 1], lambda q: q.high)) - 1.5 * atr) END}}) AS steps, entry IS NOT NULL AND len(path) = 12 AND atr > 0 AS known FROM p),
+h AS (SELECT *, list_filter(steps, lambda x: x.low <= x.level OR x.high >= entry + 2 * atr)[1] AS hit FROM s),
+r AS (SELECT symbol, ts, side, CASE WHEN known THEN (CASE WHEN hit IS NULL THEN steps[12].close WHEN hit.low <= hit.level THEN hit.level ELSE entry + 2 * atr END - entry) / atr END AS r FROM h),
+b AS (SELECT symbol, ts, max(r) FILTER (side = 1) AS realized_r_long, max(r) FILTER (side = -1) AS realized_r_short FROM r GROUP BY 1, 2)"""
+
+
+@query("lb18_realized_r_long_short", f"WITH RECURSIVE {_BOTH} SELECT *, CASE WHEN abs(realized_r_long - realized_r_short) >= 0.1 THEN realized_r_long - realized_r_short END AS label FROM b")
+def _(spark, d):
+    """Long less short under a trailing stop, a target of two and twelve bars; under 0.1 apart is no label."""
+    return labels.realized_r(recursive.with_indicators(views.hourly(spark, d)), "atr", 12, 1.0, 2.0, 1.5, floor=0.1)
+
+
 def _exits(spark, d, trail=None):
     rows = recursive.with_indicators(views.hourly(spark, d)).select("symbol", "ts", "open", "high", "low", "close", "atr")
     return labels.exits(rows, f, "atr", 12, 1.0, 2.0, trail).where("reason IS NOT NULL")
