@@ -219,6 +219,27 @@ def _dist(p: Bars) -> tuple[str, str, str, str]:
 WIDTHS = (60, 120, 240, 480, 1200)
 
 #: By inventory ids: the columns of each feature.
+def _unit(x: str) -> str:
+    return f"greatest(least(coalesce({x}, 0), 1), 0)"
+
+
+def _trend(p: Bars) -> str:
+    return p.level(_unit(_r2(p, 20)))
+
+
+def _width_ratio(p: Bars) -> str:
+    return f"coalesce(4 * {_band(p)[1]} / nullif({_band(p)[0]}, 0), 0)"
+
+
+def _squeezed(p: Bars) -> str:
+    return p.level(f"1 / (1 + {_width_ratio(p)})")
+
+
+def _rejected(p: Bars) -> str:
+    """The longer wick over the range."""
+    return p.level(_unit("greatest(high - greatest(open, close), least(open, close) - low) / nullif(high - low, 0)"))
+
+
 FEATURES: dict[str, dict[str, Callable[[Bars], str]]] = {
     "fx001_fx002_fx008_fx009_base": {
         "atr_filled": lambda p: _or("atr", "0"), "weekday": lambda p: f"CAST({_weekday(p)} AS DOUBLE)", "monday_return": lambda p: f"CASE WHEN {_weekday(p)} = 0 THEN {p.change('close')} END",
@@ -237,6 +258,10 @@ FEATURES: dict[str, dict[str, Callable[[Bars], str]]] = {
         "trend_direction": lambda p: f"CASE WHEN {' + '.join(_signs(p))} >= 0 THEN 'UP' ELSE 'DOWN' END",
         "slope_consistency_score": lambda p: (lambda s: " + ".join(f"CASE WHEN {a} = {b} THEN 1 ELSE 0 END" for a, b in ((s[0], s[1]), (s[1], s[2]), (s[0], s[2]))))([p.level(f"sign({p.delta(x, 1)})") for x in ("ewm_10", "ewm_20", "ewm_50")]),
     },
+    "fx018_wick_scenes": {
+        "wick_compression_score": lambda p: f"(1 - {_rejected(p)}) * {_squeezed(p)}", "wick_ignition_score": lambda p: f"(1 - {_rejected(p)}) * {_trend(p)}",
+        "wick_absorption_score": lambda p: f"(1 - {_rejected(p)}) * {_trend(p)}", "wick_exhaustion_score": lambda p: f"{_rejected(p)} * (1 - {_trend(p)})",
+    },
     "fx025_to_fx036_percentiles": {
         "atr_percentile": _atr_percentile, "jump_risk_pct": lambda p: p.percent(_jump(p)), "path_length_pct": lambda p: p.percent(_path(p)), "path_efficiency_pct": lambda p: p.percent(_efficiency(p)), "price_dir_consistency_pct": lambda p: p.percent(_consistency(p)),
         "path_efficiency_slope_5": lambda p: _slope(p, p.percent(_efficiency(p))), "price_dir_consistency_slope_5": lambda p: _slope(p, p.percent(_consistency(p))), "trend_volatility_alignment": lambda p: f"coalesce(sign({_roc_z(p, 5)}), 0) * coalesce({_atr_percentile(p)}, 0)",
@@ -441,6 +466,31 @@ FLOW_FEATURES: dict[str, dict[str, Callable[[Bars], str]]] = {
 }
 
 
+def _energy(p: Bars) -> str:
+    return p.level(_signed_log(p.level(f"coalesce(wpt_energy_cascade / nullif({_width_ratio(p)}, 0), 0)")))
+
+
+#: Over bars with the columns of the wavelet, void and profile kernels.
+KERNEL_FEATURES: dict[str, dict[str, Callable[[Bars], str]]] = {
+    "fx035_fx051_wavelet_scenes": {
+        "compression_energy": lambda p: _or(clip(p.z(_energy(p), 50, 10), "-5", "5"), "0"),
+        "wpt_compression_score": lambda p: f"{_squeezed(p)} * {_unit('wpt_multi_scale_consistency')} * (1 - {_unit('wpt_breakout_confidence')})", "wpt_ignition_score": lambda p: f"{_unit('wpt_breakout_confidence')} * (1 - {_unit('wpt_false_breakout_risk')})",
+        "wpt_absorption_score": lambda p: f"{_unit('wpt_breakout_confidence')} * (1 - {_unit('wpt_false_breakout_risk')}) * {_unit('(coalesce(wpt_energy_cascade, 0) + 1) / 2')}", "wpt_exhaustion_score": lambda p: f"{_unit('wpt_false_breakout_risk')} * (1 - {_trend(p)})",
+    },
+    "fx054_profile_scenes": {
+        "vp_compression_score": lambda p: f"(1 - {_unit('vp_width_ratio')}) * (1 - {_unit('vp_entropy / 2')})", "vp_ignition_score": lambda p: f"{_unit('vp_poc_deviation / 2')} * {_unit('vp_lv_ratio')}",
+        "vp_absorption_score": lambda p: f"(1 - {_unit('vp_entropy / 2')}) * {_unit('vp_width_ratio')} * {_trend(p)}", "vp_exhaustion_score": lambda p: f"{_unit('vp_hv_ratio')} * (1 - {_trend(p)})",
+    },
+    # void_retracement and void_risk read the bars after: what is made of them is a label
+    "fx052_void_scenes": {
+        "liquidity_void_compression_score": lambda p: f"{_unit('liquidity_void_speed / 3')} * {_squeezed(p)}",
+        "label_void_ignition_score": lambda p: f"{_unit('liquidity_void_speed / 3')} * {_unit('liquidity_void_price_impact / 3')} * (1 - {_unit('void_risk')}) * {_unit('wpt_breakout_confidence')}",
+        "label_void_absorption_score": lambda p: f"{_unit('liquidity_void_speed / 3')} * (1 - {_unit('void_retracement')}) * (1 - {_unit('void_risk')}) * {_trend(p)}",
+        "label_void_exhaustion_score": lambda p: f"{_unit('liquidity_void_speed / 3')} * {_unit('void_retracement')} * {_unit('void_risk')} * (1 - {_trend(p)})",
+    },
+}
+
+
 def with_features(bars: DataFrame, names: dict[str, Callable[[Bars], str]], ties: bool = False) -> DataFrame:
     """symbol, ts and the features; bars must have the columns that they use."""
     p = Bars("spark", ties)
