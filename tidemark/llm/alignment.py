@@ -4,7 +4,7 @@ Each text is tokenised whole by a byte-level model (A, after a space) and a piec
 which adds the space). Where an A and a B token end at the same byte, both cut the text: a
 group. An A and a B token are linked where their bytes overlap, which is only inside a group.
 
-1. Full tokenisation, each part checked against its bytes; the ends of both are running sums of token lengths in bytes.
+1. Full tokenisation, checked against the text's bytes; the ends of both are running sums of token lengths in bytes.
 2. Anchors: shared ends, found in both lists of ends, after which both next tokens begin
    with a space. They split a document into windows, about one a word.
 3. A window is known by its two tuples of ids. What is inside - groups and links - is worked
@@ -16,9 +16,8 @@ group. An A and a B token are linked where their bytes overlap, which is only in
    broadcast (16 bytes each, 4 MB as given) and looked up where the document is; links of
    other pairs, which are rare, are joined by pair. Every pair is counted and looked up.
 
-Tokenisation is that of the libraries, remembered by parts that merges never cross: words
-with the space before them (A's pattern cuts there, and no piece of B has a space after
-another sign). A text with letters beyond Latin goes to the libraries whole, whose tables
+Tokenisation is whole: B by its library, A by the ranks of its tokens (in a library that
+merges by them), and by its own library where a text has letters beyond Latin, whose tables
 of letters decide there.
 
 Cases: null and empty texts, and those whose tokens do not give back the text's bytes (B
@@ -31,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -40,78 +38,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
-from tidemark.llm.tokens import LONG, as_letters, byte_level_pattern
+from tidemark.llm.tokens import LONG, as_letters
 
-#: Windows and parts of texts that a worker remembers at least (about 300 MB in all); rows of a batch that is handed over.
-MEMO, PARTS, ROWS = 200_000, 200_000, 256
+#: Windows that a worker remembers at least (250 MB with as many older ones); rows of a batch that is handed over.
+MEMO, ROWS = 250_000, 256
+#: How the byte-level tokenizer cuts a text before merging, in its own pattern language.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BEYOND_LATIN = re.compile("[^\x00-ɏ‐-‧€]")
-_PART = re.compile("(?: [^ ]*)(?:(?<=[ \t\n\r\x0b\x0c\x85\xa0]) [^ ]*)*")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 _IDS = 1 << 16  # more than either tokenizer has
 #: Ids as they are written: inside a group, at the end of its A ids, at the end of its B ids.
 _TEXT = [f"{x}{sign}" for sign in ",|;" for x in range(_IDS)]
 
 
-class Kept(dict):
-    """What a worker has worked out, by key: of the last `size` to twice as many keys that were asked for."""
-
-    def __init__(self, size: int):
-        super().__init__()
-        self.size, self.older = size, {}
-
-    def __missing__(self, key):
-        found = self.older.get(key)
-        if found is None:
-            found = self.made(key)
-        if self.short(key):
-            self.keep(key, found)
-        return found
-
-    def keep(self, key, found) -> None:
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[key] = found
-
-    def made(self, key):
-        raise NotImplementedError
-
-    def short(self, key) -> bool:
-        raise NotImplementedError
-
-
-class Unlike(Exception):
-    """Tokens that do not give back their text."""
-
-
-class ByteLevel(Kept):
-    """Ids of model A by what its pattern cuts off."""
+class ByteLevel:
+    """Model A: by the ranks of its tokens, whose ids rise in order of its merges; texts with letters beyond Latin by its own library."""
 
     def __init__(self, path: str):
-        super().__init__(PARTS)
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
         self.whole.encode_special_tokens = True
-        self.merge, self.find = self.whole.model.tokenize, byte_level_pattern().findall
         byte = {ord(as_letters(bytes([b]))): b for b in range(256)}
-        names = (self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size()))
-        self.tokens = [bytes(byte[ord(c)] for c in x) if all(ord(c) in byte for c in x) else x.encode() for x in names]
+        special = self.whole.get_added_tokens_decoder()
+        names = [self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size())]
+        self.tokens = [x.encode() if i in special else bytes(byte[ord(c)] for c in x) for i, x in enumerate(names)]
+        ranks = {x: i for i, x in enumerate(self.tokens) if i not in special}
+        self.ranked = Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def made(self, piece: str) -> list[int]:
-        return [x.id for x in self.merge(as_letters(piece.encode()))]
-
-    def short(self, piece: str) -> bool:
-        return len(piece) <= LONG
-
-    def ids(self, part: str) -> list[int]:
-        return [i for piece in self.find(part) for i in self[piece]]
+    def ids(self, text: str) -> list[int]:
+        spaced = " " + text
+        return self.whole.encode(spaced, add_special_tokens=False).ids if _BEYOND_LATIN.search(text) else self.ranked.encode_ordinary(spaced)
 
 
 class Pieces:
-    """Ids of model B, of texts without the space that the model puts before them."""
+    """Model B, which puts a space before a text itself."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -120,43 +84,9 @@ class Pieces:
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         as_byte = (self.model.is_byte(i) and _BYTE.fullmatch(x) for i, x in enumerate(names))
         self.tokens = [bytes([int(m[1], 16)]) if m else x.replace("▁", " ").encode() for m, x in zip(as_byte, names)]
-        self.space = [self.model.piece_to_id("▁")]
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        found = self.model.encode(texts, num_threads=1) if texts else []
-        return [x or self.space for x in found]  # to an empty text the model adds no space
-
-
-class Words(Kept):
-    """Both models' ids (little-endian unsigned 32-bit) by parts that merges never cross: from a space after another sign to the next."""
-
-    def __init__(self, a: ByteLevel, b: Pieces):
-        super().__init__(PARTS)
-        self.a, self.b = a, b
-
-    def short(self, part: str) -> bool:
-        return len(part) <= LONG
-
-    def made(self, part: str) -> tuple[bytes, bytes]:
-        return self.both(part, self.a.ids(part), self.b.ids([part[1:]])[0])
-
-    def both(self, part: str, ids_a: list[int], ids_b: list[int]) -> tuple[bytes, bytes]:
-        data = part.encode()
-        if b"".join([self.a.tokens[i] for i in ids_a]) != data or b"".join([self.b.tokens[i] for i in ids_b]) != data:
-            raise Unlike
-        return array("I", ids_a).tobytes(), array("I", ids_b).tobytes()
-
-    def ids(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of a text and the space before it; parts not known yet are encoded together."""
-        spaced = " " + text
-        if _BEYOND_LATIN.search(text):
-            return self.both(spaced, self.a.whole.encode(spaced, add_special_tokens=False).ids, self.b.ids([text])[0])
-        parts = _PART.findall(spaced)
-        new = [x for x in {x for x in parts if x not in self} if x not in self.older and self.short(x)]
-        for part, ids in zip(new, self.b.ids([x[1:] for x in new])):
-            self.keep(part, self.both(part, self.a.ids(part), ids))
-        found = [self[x] for x in parts]
-        return b"".join([x for x, _ in found]), b"".join([x for _, x in found])
+    def ids(self, text: str) -> list[int]:
+        return self.model.encode(text, num_threads=1)
 
 
 def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,18 +116,22 @@ def inside(ids: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarra
     return [("".join(texts[i:j])[:-1], raw[8 * m : 8 * n]) for i, j, m, n in zip(first_text, [*first_text[1:], len(texts)], first_link, [*first_link[1:], len(links)])]
 
 
-class Windows(Kept):
+class Windows(dict):
     """Groups and links of windows by their two tuples of ids, each as bytes."""
 
-    def __init__(self, words: Words):
-        super().__init__(MEMO)
-        self.words = words
-        tokens = words.a.tokens, words.b.tokens
-        self.length = tuple(np.array([len(x) for x in t], np.int64) for t in tokens)
-        self.spaced = tuple(np.array([x[:1] == b" " for x in t]) for t in tokens)
-
-    def short(self, key: tuple[bytes, bytes]) -> bool:
-        return len(key[0]) + len(key[1]) <= 4 * LONG
+    def __init__(self, a: ByteLevel, b: Pieces):
+        super().__init__()
+        self.models, self.older = (a, b), {}
+        self.length = tuple(np.array([len(x) for x in t.tokens], np.int64) for t in self.models)
+        self.spaced = tuple(np.array([x[:1] == b" " for x in t.tokens]) for t in self.models)
+
+    def keep(self, key: tuple[bytes, bytes], found: tuple[str, bytes]) -> None:
+        """Short windows are kept: those of the last MEMO to twice as many that were asked for."""
+        if len(key[0]) + len(key[1]) <= 4 * LONG:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
 
     def found(self, keys: list, ids: tuple, ends: tuple, stops: tuple) -> list[tuple[str, bytes]]:
         """What is in each window; those not known yet are worked out together. stops: how many A and B tokens end by each window's end."""
@@ -208,7 +142,7 @@ class Windows(Kept):
                 x = self.older.get(key)
                 if x is None:
                     new.append(len(out))
-                elif self.short(key):
+                else:
                     self.keep(key, x)
             out.append(x)
         if new:
@@ -218,26 +152,25 @@ class Windows(Kept):
             chosen = [some[x] for x in window]
             for k, x in zip(new, inside(*(tuple(v[m] for v, m in zip(y, chosen)) for y in (ids, ends, window)))):
                 out[k] = x
-                if self.short(keys[k]):
-                    self.keep(keys[k], x)
+                self.keep(keys[k], x)
         return out
 
 
 @lru_cache(maxsize=2)
 def windows(path_a: str, path_b: str) -> Windows:
     """One pair of tokenizers and one memory of windows for a worker process."""
-    return Windows(Words(ByteLevel(path_a), Pieces(path_b)))
+    return Windows(ByteLevel(path_a), Pieces(path_b))
 
 
 def aligned(text: str | None, known: Windows) -> tuple[int, int, int, str, np.ndarray] | None:
     """n_a, n_b, n_groups, digest of the groups, links (a << 32 | b of each occurrence); None without tokens."""
     if not text:
         return None
-    try:
-        raw_a, raw_b = known.words.ids(text)
-    except Unlike:
+    plain, data = [m.ids(text) for m in known.models], b" " + text.encode()
+    if any(b"".join(map(m.tokens.__getitem__, x)) != data for m, x in zip(known.models, plain)):
         return None
-    ids = tuple(np.frombuffer(x, "<u4").astype(np.int64) for x in (raw_a, raw_b))
+    ids = tuple(np.array(x, np.int64) for x in plain)
+    raw_a, raw_b = (x.astype("<u4").tobytes() for x in ids)
     ends = tuple(np.cumsum(length[x]) for length, x in zip(known.length, ids))
     shared = shared_ends(*ends)
     spaces = [spaced[x[np.minimum(at + 1, len(x) - 1)]] for spaced, x, at in zip(known.spaced, ids, shared)]
