@@ -43,6 +43,17 @@ def staged(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()) ->
     return out
 
 
+#: Bytes of a batch that goes to Python, where the session names no number of its own.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Cuts batches for Python by bytes as well as by rows: a task holds several copies of one, most of them outside the heap, and texts may be long."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def strings(column: pa.Array) -> list:
     """Python strings (or None) of an Arrow column."""
     return column.to_pylist()

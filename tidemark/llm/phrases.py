@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import bounded_batches, staged
 from tidemark.llm.shingles import mixed
 
 #: Occurrences and distinct words that a task holds before it hands over sums; bytes of text that are cut into words at once; rows of a batch.
@@ -250,17 +250,20 @@ def _fails(counts: DataFrame, border) -> bool:
     def outside(k: int):
         def run(batches):
             for b in batches:
-                h = b.column(0).to_numpy().view(np.uint64)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(~in_bitmap(border.value[k - 1], h)))], ["h"])
+                h, *more = (b.column(x).to_numpy().view(np.uint64) for x in range(k))
+                known = in_bitmap(border.value[k - 1], pair_hash(h, *more) if more else h)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(~known))], ["h"])
 
         return run
 
-    return any(hashes_of(counts, k).mapInArrow(outside(k), "h long").take(1) for k in (1, 2))
+    some = lambda k: counts.where(F.col("k") == k).select(*["h1", "h2"][:k])
+    return any(some(k).mapInArrow(outside(k), "h long").take(1) for k in (1, 2))
 
 
 def frequent_phrases(docs: DataFrame, least: int, fraction: float, filter_bits: tuple[int, int], seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """All phrases of one to three words with `least` occurrences (k, h1, h2, h3, lang, word, n), and the words of each language (lang, n)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
 
     def border_of(counts: DataFrame):
         return spark.sparkContext.broadcast(tuple(bitmap(hashes_of(counts, k), filter_bits[k - 1]) for k in (1, 2)))
