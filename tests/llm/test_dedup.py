@@ -311,3 +311,24 @@ def test_decontamination_empty_tables(spark, odd_docs, no_docs):
     assert decontaminate.contaminated(no_docs, bench).count() == 0
     assert decontaminate.contaminated(odd_docs, bench).count() == 0
     assert decontaminate.contaminated(odd_docs, bench.where("false")).count() == 0
+
+
+def test_hubs_of_a_crowd_are_joined_once(spark, monkeypatch):
+    """Near copies that meet in buckets of many hubs: components are found over few edges, not over every pair of hub and member."""
+    rng = np.random.default_rng(8)
+    rows, seen = [], []
+    for i in range(300):
+        w = [f"b{k}" for k in range(200)]
+        for k in rng.choice(8, 2, replace=False):
+            w[20 * k] = f"x{k}_{rng.integers(3)}"  # changes that many share: their buckets have hubs of their own
+        rows.append((i, " ".join(w)))
+
+    def watched(links, *names):
+        seen.append((links.count(), links.select(F.explode(F.array("a", "b")).alias("x")).distinct().count()))
+        return connected_components(links, *names)
+
+    monkeypatch.setattr(minhash, "connected_components", watched)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == expected_groups(rows, 2, 80)
+    edges, nodes = seen[0]
+    assert nodes > 100 and edges < 2 * nodes

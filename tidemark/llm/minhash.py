@@ -40,10 +40,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, long_matrix, staged
+from tidemark.llm.common import bounded_batches, connected_components, long_matrix, staged
 from tidemark.llm.shingles import set_digest, shingle_set
 
 REGISTERS, ROWS, MANTISSA = 512, 8, 4
@@ -143,8 +143,20 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _fewer(edges: DataFrame) -> DataFrame:
+    """Edges (hub a, member b) of the same components: of a member's hubs it keeps the smallest, and the others are joined with that one.
+
+    A group has few hubs beside its members, so what many members say of two hubs becomes
+    one edge. A member has at most one hub for each band and round, so windows stay small.
+    """
+    first = F.min("a").over(Window.partitionBy("b"))
+    one = edges.select("a", "b", first.alias("first"))
+    return one.select(F.col("first").alias("a"), F.when(F.col("a") == F.col("first"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: see the module for method and cases."""
+    bounded_batches(docs.sparkSession)
     least = percent / 100 - margin
     loose = max(0.0, 2 * percent / 100 - 1 - margin)
     sigs = staged(signatures(docs, shingle, id_col, text_col), "signatures")
@@ -170,7 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = staged(texts.join(some.withColumnRenamed("rep", "id"), "id", "left_semi"), "texts")
     links = staged(_confirm(stars.where(F.col("estimate") >= least).select("a", "b"), texts, shingle, percent), "links")
-    placed = staged(connected_components(links).withColumnsRenamed({"node": "rep"}), "placed")
+    placed = staged(connected_components(_fewer(links)).withColumnsRenamed({"node": "rep"}), "placed")
 
     def apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
         """Those of the pairs (a, b and more) whose texts are in two components."""
@@ -215,7 +227,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         rest = left.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1")
         over = staged(left.join(rest, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "over")
         edges = edges.union(over)
-        family = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+        family = connected_components(_fewer(edges)).select(F.col("node").alias("rep"), F.col("component").alias("family"))
         family = staged(family, "family")
         untried = family.join(over.select(F.col("a").alias("rep")).distinct(), "rep").select("family", F.lit(True).alias("untried")).distinct()
         member = family.join(placed, "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("component"))
