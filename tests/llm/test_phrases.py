@@ -121,3 +121,18 @@ def test_odd_rows(odd_docs, no_docs):
     want = expected([(r.lang, r.text) for r in odd_docs.select("lang", "text").collect()])
     assert got(phrases.collocations(odd_docs)) == want
     assert phrases.collocations(no_docs).count() == 0
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    from tidemark.llm.common import BATCH_BYTES, bounded_batches
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    bounded_batches(spark)
+    texts = spark.range(3_000, numPartitions=1).selectExpr("repeat('x', 4000) AS text")
+    got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert len(got) > 1 and max(got) < 2 * BATCH_BYTES
