@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -120,3 +121,43 @@ def test_windows_are_remembered_and_a_full_memory_changes_nothing(monkeypatch, p
     assert len(small) <= 2 and len(small.older) <= 2
     assert once[:4] == again[:4] and (once[4] == again[4]).all()
     assert once[:4] == (lambda x: (x[1], x[2], x[3], x[7]))(expected([(0, text)], plain)[0])
+
+
+def test_known_windows_are_not_tokenised_again(monkeypatch):
+    known = alignment.Windows(alignment.ByteLevel(A), alignment.Pieces(B))
+    asked = []
+    for m in known.models:
+        monkeypatch.setattr(m, "ids", lambda text, f=m.ids: asked.append(len(text)) or f(text))
+    text = "The understanding of the text, the text of the understanding.\n" * 200
+    once = alignment.aligned(text, known)
+    assert 0 < sum(asked) < len(text) / 10
+    asked.clear()
+    again = alignment.aligned("The text of the text, the understanding.\n" * 50, known)
+    assert asked == [] and once[0] > again[0] > 0
+
+
+def test_windows_apart_equal_whole_texts(plain, monkeypatch):
+    """Texts of letters, signs, digits and all kinds of white space, in batches, with long ones cut in parts; some go whole."""
+    rng = random.Random(11)
+    parts = [*"abstlvxAQéßƀ  \t\n\r\xa0\x85\x0b\x1c\x1f\x00''.,;:!?*/(){}[]<>\"=_-1234567890²½ªµ€…—", " ", "\r\n", "  ", "'s", "'ll", " the", ";\r\n", "<s>", "<0x41>", "<|endoftext|>", "▁", "я"]
+    texts = [None, ""] + ["".join(rng.choices(parts, [1] * (len(parts) - 2) + [0.02] * 2, k=rng.choice([1, 2, 3, 8, 40, 300]))) for _ in range(1500)]
+    monkeypatch.setattr(alignment, "SLICE", 150)
+    known = alignment.Windows(alignment.ByteLevel(A), alignment.Pieces(B))
+    assert known.cut
+    found = [alignment.all_aligned(texts[i : i + 40], known) for i in range(0, len(texts), 40)]
+    got = [(x[0], x[1], x[2], len(x[4]), x[3]) if x else (0, 0, 0, 0, "") for batch in found for x in batch]
+    assert got == [(x[1], x[2], x[3], x[4], x[7]) for x in expected(list(enumerate(texts)), plain)]
+    assert sum(x[0] == 0 for x in got) < 600
+
+
+def test_a_window_that_is_not_given_back_takes_only_its_own_texts(monkeypatch):
+    """A model without a sign for `q`: texts with it have no tokens, others of the same batch have theirs."""
+    texts = ["a b c", "a q b", "q", "d, e. f", "a d\n", "x y zq"]
+    known = alignment.Windows(alignment.ByteLevel(A), alignment.Pieces(B))
+    want = alignment.all_aligned(texts, known)
+    lossy = alignment.Windows(alignment.ByteLevel(A), alignment.Pieces(B))
+    b = lossy.models[1]
+    monkeypatch.setattr(b, "ids", lambda text, f=b.ids: f(text.replace("q", "k")))
+    got = alignment.all_aligned(texts, lossy)
+    assert [x is None for x in got] == ["q" in x for x in texts]
+    assert all(x is None or x[:4] == y[:4] for x, y in zip(got, want))

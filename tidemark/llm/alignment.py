@@ -1,24 +1,31 @@
 """How the tokens of two tokenizers lie over each other in the same texts.
 
-Each text is tokenised whole by a byte-level model (A, after a space) and a piece model (B,
-which adds the space). Where an A and a B token end at the same byte, both cut the text: a
-group. An A and a B token are linked where their bytes overlap, which is only inside a group.
-
-1. Full tokenisation, checked against the text's bytes; the ends of both are running sums of token lengths in bytes.
-2. Anchors: shared ends, found in both lists of ends, after which both next tokens begin
-   with a space. They split a document into windows, about one a word.
-3. A window is known by its two tuples of ids. What is inside - groups and links - is worked
-   out once a worker and kept under these tuples (at most 2 MEMO windows), so most of a
-   document is looked up. A document has the number, the links and the groups of its windows.
-4. The documents that hold an id pair linked are counted over the corpus: one row for each
+Each text is tokenised by a byte-level model (A, after a space) and a piece model (B, which
+adds the space). Where an A and a B token end at the same byte, both cut the text: a group.
+An A and a B token are linked where their bytes overlap, which is only inside a group.
+
+1. A text and the space before it is cut where no token of either model can lie across: at
+   the end of a run of letters, and before white space (but for a carriage return). That
+   leaves windows of about a word or a sign each, whose groups and links do not depend on
+   their neighbours.
+2. Windows that a worker does not remember are tokenised together by both models, checked
+   against their bytes, and aligned: the ends of both are running sums of token lengths.
+   What is inside - groups and links - is kept under the window's text (at most 2 MEMO), so
+   most of a document is looked up. A document has the number, the links and the groups of
+   its windows.
+3. The documents that hold an id pair linked are counted over the corpus: one row for each
    distinct pair of a document, summed before the shuffle.
-5. Counts come back to the documents in two tiers: the `tier` most frequent pairs are
+4. Counts come back to the documents in two tiers: the `tier` most frequent pairs are
    broadcast (16 bytes each, 4 MB as given) and looked up where the document is; links of
    other pairs, which are rare, are joined by pair. Every pair is counted and looked up.
 
-Tokenisation is whole: B by its library, A by the ranks of its tokens (in a library that
-merges by them), and by its own library where a text has letters beyond Latin, whose tables
-of letters decide there.
+Why windows stand alone: A's pattern ends a piece at both kinds of cut and does not look
+back, and merges stay inside a piece; B merges neighbours only to pieces of its list, none
+of which lies across a cut. The list is searched for such pieces when it is loaded. If a
+model has one, or sums up scores over a text instead of merging, and where a text has
+letters beyond Latin, whose tables of letters decide where runs end, the text is tokenised
+whole and is one window. A merges by the ranks of its tokens, in a library that does so,
+but by its own library where a text has letters beyond Latin.
 
 Cases: null and empty texts, and those whose tokens do not give back the text's bytes (B
 writes U+2581 as a space), have zeros and an empty digest; a null doc_id and repeated
@@ -30,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,13 +46,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
-from tidemark.llm.tokens import LONG, as_letters
+from tidemark.llm.tokens import LONG, SLICE, WHITE, as_letters
 
-#: Windows that a worker remembers at least (250 MB with as many older ones); rows of a batch that is handed over.
+#: Windows that a worker remembers at least, with as many older ones; rows of a batch that is handed over.
 MEMO, ROWS = 250_000, 256
 #: How the byte-level tokenizer cuts a text before merging, in its own pattern language.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BEYOND_LATIN = re.compile("[^\x00-ɏ‐-‧€]")
+#: Letters among those that are not beyond Latin; a window: white space, then signs and digits (also behind a carriage return, since B has pieces such as `;\\r`), then letters, as far as there are any.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_WINDOW = re.compile(rf"[{WHITE}]*(?:[^{WHITE}{_LETTERS}]+(?:\r[{WHITE}]*[^{WHITE}{_LETTERS}]*)*[{_LETTERS}]*|[{_LETTERS}]+)|[{WHITE}]+")
+#: What lies across a cut; a cut before white space; beginnings before which there is a cut after every window; ends that may go on.
+_ACROSS = re.compile(rf"[{_LETTERS}][^{_LETTERS}]|[^{WHITE}](?!\r)[{WHITE}]")
+_BEFORE_WHITE = re.compile(rf"(?<![{WHITE}])(?!\r)(?=[{WHITE}])")
+_APART, _OPEN = re.compile(rf"(?!\r)[{WHITE}]"), re.compile(rf"[{WHITE}]\Z")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 _IDS = 1 << 16  # more than either tokenizer has
 #: Ids as they are written: inside a group, at the end of its A ids, at the end of its B ids.
@@ -78,24 +93,20 @@ class Pieces:
     """Model B, which puts a space before a text itself."""
 
     def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         as_byte = (self.model.is_byte(i) and _BYTE.fullmatch(x) for i, x in enumerate(names))
         self.tokens = [bytes([int(m[1], 16)]) if m else x.replace("▁", " ").encode() for m, x in zip(as_byte, names)]
+        merged = (x.replace("▁", " ") for i, x in enumerate(names) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i)))
+        trained = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto()).trainer_spec
+        self.cut = trained.model_type == trained.BPE and not any(_ACROSS.search(x) and not _BEYOND_LATIN.search(x) for x in merged)
 
     def ids(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
 
-def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in each list of ends (rising) of the ends that both have."""
-    at = np.searchsorted(ends_b, ends_a)
-    same = ends_b[np.minimum(at, len(ends_b) - 1)] == ends_a
-    return np.flatnonzero(same), at[same]
-
-
 def inside(ids: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray], window: tuple[np.ndarray, np.ndarray]) -> list[tuple[str, bytes]]:
     """Of each of some windows its groups as text, and its links as 64-bit numbers a << 32 | b.
 
@@ -117,44 +128,59 @@ def inside(ids: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarra
 
 
 class Windows(dict):
-    """Groups and links of windows by their two tuples of ids, each as bytes."""
+    """Groups as text, links as bytes and number of A tokens of windows by their text; None where tokens do not give back the bytes."""
 
     def __init__(self, a: ByteLevel, b: Pieces):
         super().__init__()
         self.models, self.older = (a, b), {}
         self.length = tuple(np.array([len(x) for x in t.tokens], np.int64) for t in self.models)
-        self.spaced = tuple(np.array([x[:1] == b" " for x in t.tokens]) for t in self.models)
+        self.cut = b.cut and self.worked_out([" a"]) != [None]
 
-    def keep(self, key: tuple[bytes, bytes], found: tuple[str, bytes]) -> None:
+    def keep(self, window: str, found: tuple[str, bytes, int] | None) -> None:
         """Short windows are kept: those of the last MEMO to twice as many that were asked for."""
-        if len(key[0]) + len(key[1]) <= 4 * LONG:
+        if len(window) <= LONG:
             if len(self) >= MEMO:
                 self.older = dict(self)
                 self.clear()
-            self[key] = found
-
-    def found(self, keys: list, ids: tuple, ends: tuple, stops: tuple) -> list[tuple[str, bytes]]:
-        """What is in each window; those not known yet are worked out together. stops: how many A and B tokens end by each window's end."""
-        out, new, get = [], [], self.get
-        for key in keys:
-            x = get(key)
-            if x is None:
-                x = self.older.get(key)
-                if x is None:
-                    new.append(len(out))
-                else:
-                    self.keep(key, x)
-            out.append(x)
-        if new:
-            some = np.zeros(len(keys), bool)
-            some[new] = True
-            window = [np.repeat(np.arange(len(keys)), np.diff(x, prepend=0)) for x in stops]
-            chosen = [some[x] for x in window]
-            for k, x in zip(new, inside(*(tuple(v[m] for v, m in zip(y, chosen)) for y in (ids, ends, window)))):
-                out[k] = x
-                self.keep(keys[k], x)
+            self[window] = found
+
+    def found(self, windows: Iterable[str]) -> dict[str, tuple[str, bytes, int] | None]:
+        """What is in each window; those not known yet are worked out together."""
+        out, new = {}, []
+        for x in windows:
+            if x in self:
+                out[x] = self[x]
+            elif x in self.older:
+                out[x] = self.older[x]
+                self.keep(x, out[x])
+            else:
+                new.append(x)
+        last = {x for x in new if _OPEN.search(x)}  # nothing may follow them
+        for some in [[x for x in new if x not in last], *([x] for x in last)] if new else []:
+            row = [" a"]
+            for x in some:
+                row += [x] if _APART.match(x) else [" a", x]
+            out.update(zip(row[1:], self.worked_out(row)[1:]))
+        for x in new:
+            self.keep(x, out[x])
         return out
 
+    def worked_out(self, row: list[str]) -> list[tuple[str, bytes, int] | None]:
+        """What is in each of some windows that follow one another. The first begins with a space; where there are more, it is " a" and counts for nothing."""
+        text = "".join(row)
+        plain, data = [m.ids(text[1:]) for m in self.models], text.encode()
+        if any(b"".join(map(m.tokens.__getitem__, x)) != data for m, x in zip(self.models, plain)):
+            if len(row) <= 2:
+                return [None] * len(row)
+            half = (len(row) + 1) // 2
+            return self.worked_out(row[:half]) + self.worked_out([" a", *row[half:]])[1:]
+        ids = tuple(np.array(x, np.int64) for x in plain)
+        ends = tuple(np.cumsum(length[x]) for length, x in zip(self.length, ids))
+        stops = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in row])
+        counts = [np.diff(np.searchsorted(x, stops, "right"), prepend=0) for x in ends]
+        window = tuple(np.repeat(np.arange(len(row)), x) for x in counts)
+        return [(*x, n) for x, n in zip(inside(ids, ends, window), counts[0].tolist())]
+
 
 @lru_cache(maxsize=2)
 def windows(path_a: str, path_b: str) -> Windows:
@@ -162,26 +188,56 @@ def windows(path_a: str, path_b: str) -> Windows:
     return Windows(ByteLevel(path_a), Pieces(path_b))
 
 
+def stretches(text: str) -> Iterator[str]:
+    """A long text in parts of about SLICE letters, cut before white space."""
+    at = 0
+    while len(text) - at > SLICE and (m := _BEFORE_WHITE.search(text, at + SLICE)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def all_aligned(texts: list[str | None], known: Windows) -> list[tuple[int, int, int, str, np.ndarray] | None]:
+    """Of each text n_a, n_b, n_groups, digest of the groups, links (a << 32 | b of each occurrence); None without tokens."""
+    parts: list[list] = [[] for _ in texts]
+    waiting: list[tuple[int, list[str]]] = []
+
+    def look_up() -> None:
+        here = known.found(set().union(*(x for _, x in waiting)))
+        unlike = {x for x, inner in here.items() if inner is None}
+        for k, row in waiting:
+            if unlike and not unlike.isdisjoint(row):
+                parts[k].append(None)
+            else:
+                groups, links, n_a = zip(*map(here.__getitem__, row))
+                parts[k].append((";".join(groups), b"".join(links), sum(n_a)))
+        waiting.clear()
+
+    size = 0
+    for k, text in enumerate(texts):
+        if text and known.cut and (text.isascii() or not _BEYOND_LATIN.search(text)):
+            for x in stretches(" " + text):
+                waiting.append((k, _WINDOW.findall(x)))
+                size += len(x)
+                if size >= SLICE:
+                    look_up()
+                    size = 0
+        elif text:
+            parts[k] = known.worked_out([" " + text])
+    look_up()
+    return [_joined(x) if x and None not in x else None for x in parts]
+
+
+def _joined(parts: list[tuple[str, bytes, int]]) -> tuple[int, int, int, str, np.ndarray]:
+    """A text's numbers by those of its parts: its links are as many as ends of either kind, its groups as many as ends of both."""
+    groups = ";".join([x for x, _, _ in parts])
+    links = np.frombuffer(b"".join([x for _, x, _ in parts]), np.int64)
+    n_a, n_groups = sum(n for _, _, n in parts), groups.count("|")
+    return n_a, len(links) + n_groups - n_a, n_groups, hashlib.sha256(groups.encode()).hexdigest(), links
+
+
 def aligned(text: str | None, known: Windows) -> tuple[int, int, int, str, np.ndarray] | None:
-    """n_a, n_b, n_groups, digest of the groups, links (a << 32 | b of each occurrence); None without tokens."""
-    if not text:
-        return None
-    plain, data = [m.ids(text) for m in known.models], b" " + text.encode()
-    if any(b"".join(map(m.tokens.__getitem__, x)) != data for m, x in zip(known.models, plain)):
-        return None
-    ids = tuple(np.array(x, np.int64) for x in plain)
-    raw_a, raw_b = (x.astype("<u4").tobytes() for x in ids)
-    ends = tuple(np.cumsum(length[x]) for length, x in zip(known.length, ids))
-    shared = shared_ends(*ends)
-    spaces = [spaced[x[np.minimum(at + 1, len(x) - 1)]] for spaced, x, at in zip(known.spaced, ids, shared)]
-    anchor = spaces[0] & spaces[1]
-    anchor[-1] = True  # the end of the text
-    stops = tuple(at[anchor] + 1 for at in shared)
-    stop_a, stop_b = ((4 * x).tolist() for x in stops)
-    keys = [(raw_a[i:m], raw_b[j:n]) for i, m, j, n in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b)]
-    found = known.found(keys, ids, ends, stops)
-    digest = hashlib.sha256(";".join([x for x, _ in found]).encode()).hexdigest()
-    return len(ids[0]), len(ids[1]), len(shared[0]), digest, np.frombuffer(b"".join([x for _, x in found]), np.int64)
+    return all_aligned([text], known)[0]
 
 
 _ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
@@ -195,7 +251,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [aligned(t.as_py(), known) for t in part.column("text")]
+                found = all_aligned(part.column("text").to_pylist(), known)
                 numbers = [[x[k] if x else 0 for x in found] for k in range(3)]
                 distinct = [np.unique(x[4], return_counts=True) if x else (np.zeros(0, np.int64),) * 2 for x in found]
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x[0]) for x in distinct]), pa.int32()), pa.array(np.concatenate([x[k] for x in distinct]), kind)) for k, kind in ((0, pa.int64()), (1, pa.int32()))]
