@@ -26,6 +26,19 @@ def test_caches_and_slices_change_nothing(monkeypatch, spark, sf_dir):
     assert (tokens.WordIds(WORD).ids(text), tokens.PieceCounts(BYTE).count(text)) == whole
 
 
+def test_word_ids_keep_a_bounded_number_of_words_and_those_in_use(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 800)
+    ids, encoded = tokens.WordIds(WORD), []
+    merge = ids.merge
+    monkeypatch.setattr(ids, "merge", lambda run: encoded.append(run) or merge(run))
+    letters = "abcdefghij"
+    for k in range(2_000):
+        word = "".join(letters[int(d)] for d in str(k))
+        assert ids.ids(f"often {word}, {word}.") == ids.encode(f"often {word}, {word}.")
+        assert len(ids) + sum(len(x) for x in vars(ids).values() if isinstance(x, dict)) <= 200
+    assert encoded.count("often") == 1
+
+
 def test_token_counts_odd_rows(odd_docs, no_docs):
     b = Tokenizer.from_file(BYTE)
     want = sorted((r.doc_id or 0, len((r.text or "").encode()), len(b.encode(r.text or "", add_special_tokens=False).ids)) for r in odd_docs.collect())

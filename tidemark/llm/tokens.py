@@ -1,8 +1,10 @@
 """Token ids and counts by the public tokenizers, with caches of what workers have encoded before.
 
 Both tokenizers never merge across the pieces that they cut a text into first, so a piece
-is encoded once and its ids or its count are kept. A cache holds at most CACHE entries and
-starts anew beyond; entries longer than LONG characters are not kept.
+is encoded once and its ids or its count are kept. A cache of counts holds at most CACHE
+entries and starts anew beyond; one of ids, whose entries are larger and which a worker keeps
+through all later stages, has two halves of CACHE // 8 entries and gives up the half that was
+not used for longer. Entries longer than LONG characters are not kept.
 
 Texts that contain a special string (such as <|endoftext|>) go to the library whole, which
 treats it as its default says.
@@ -69,27 +71,32 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.special = tokenizer(path)
         self.merge = self.tokenizer.model.tokenize
-        self.runs: dict[str, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # the half that is read and not added to
+        every = np.arange(max(self.tokenizer.get_vocab().values()) + 1, dtype="<u4").tobytes()
+        self.single = [every[k : k + 4] for k in range(0, len(every), 4)]
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _run(self, run: str) -> bytes:
-        ids = self.runs.get(run)
-        if ids is None:
-            if len(self.runs) >= CACHE:
-                self.runs.clear()
-            found = self.merge(run if run.isascii() else as_letters(run.encode()))
-            ids = self.runs[run] = np.array([x.id for x in found], "<u4").tobytes()
-        return ids
+    def _encoded(self, word: bytes, text: str) -> bytes:
+        if len(text) > LONG or not _EASY.match(text):
+            return self.encode(text)
+        runs = _RUNS.findall(text)
+        if len(runs) > 1:  # each is a word of its own, with the same ids
+            return b"".join([self[run.encode()] for run in runs])
+        return b"".join([self.single[x.id] for x in self.merge(text if text.isascii() else as_letters(word))])
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        ids = b"".join(map(self._run, _RUNS.findall(text))) if len(text) <= LONG and _EASY.match(text) else self.encode(text)
-        if len(text) <= LONG:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
+        ids = self.before.get(word)
+        if ids is None:
+            text = word.decode("utf-8", "replace")
+            ids = self._encoded(word, text)
+            if len(text) > LONG:
+                return ids
+        if len(self) >= CACHE // 8:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:
