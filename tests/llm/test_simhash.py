@@ -113,3 +113,14 @@ def test_a_long_text_is_counted_in_parts(monkeypatch):
     want = plain_print(text)
     monkeypatch.setattr(simhash, "PART", 128)
     assert simhash.fingerprint(text) == want
+
+
+def test_no_join_on_cells_is_broadcast(spark, monkeypatch):
+    """Spark sizes exploded cells like the fingerprints that they come from."""
+    plans = []
+    kept, plan = simhash.staged, lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(simhash, "staged", lambda df, name: (plan(df), kept(df, name))[1])
+    rng = random.Random(8)
+    prints = spark.createDataFrame([(signed(x ^ 1 << k),) for x in (rng.getrandbits(64) for _ in range(3)) for k in range(64)], "fp long")
+    plan(simhash.links(prints, crowd=1))
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)

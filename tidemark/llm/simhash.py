@@ -17,7 +17,8 @@ again in the grid of segments half as long (32 of 2 bits, then 64 of one bit), w
 bound is sharper. With segments of one bit it is the distance itself: all members of a cell
 are within one bit of it and so within two of each other, and a star from the smallest says
 all. So a group of near copies costs 33 + 65 + 65 rows a fingerprint at most, whatever its
-size, and no link is lost.
+size, and no link is lost. Joins on cells are merges by hint: Spark sizes exploded rows like
+their input, 33 or 65 times too low, and would broadcast them.
 
 Cases: null, empty and blank texts have fingerprint zero and are linked like any other;
 rows with a null doc_id link nothing and have a null component_id; rows that repeat a
@@ -94,9 +95,9 @@ def links(prints: DataFrame, crowd: int = 32, bits: int = 4) -> DataFrame:
     while bits > 1:
         keys = met.select("fp", F.explode(cells(F.col("fp"), bits)).alias("cell"))
         shared = keys.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-        members = staged(keys.join(shared, "cell"), "cells")
+        members = staged(keys.join(shared.hint("merge"), "cell"), "cells")
         few = members.where(F.col("size") <= crowd)
-        pairs = few.select("cell", F.col("fp").alias("a")).join(few.select("cell", F.col("fp").alias("b")), "cell").where("a < b AND bit_count(a ^ b) <= 2")
+        pairs = few.select("cell", F.col("fp").alias("a")).join(few.select("cell", F.col("fp").alias("b")).hint("merge"), "cell").where("a < b AND bit_count(a ^ b) <= 2")
         found.append(pairs.select("a", "b"))
         met = staged(members.where(F.col("size") > crowd).select("fp").distinct(), "crowded")
         if not met.take(1):
@@ -105,7 +106,7 @@ def links(prints: DataFrame, crowd: int = 32, bits: int = 4) -> DataFrame:
     else:
         keys = met.select("fp", F.explode(cells(F.col("fp"), 1)).alias("cell"))
         hubs = keys.groupBy("cell").agg(F.min("fp").alias("a"), F.count("*").alias("size")).where("size > 1")
-        found.append(keys.join(hubs, "cell").where("a <> fp").select("a", F.col("fp").alias("b")))
+        found.append(keys.join(hubs.hint("merge"), "cell").where("a <> fp").select("a", F.col("fp").alias("b")))
     return reduce(DataFrame.union, found).distinct()
 
 
