@@ -16,8 +16,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-
 
 class Levels:
     """Collects columns; methods take and give SQL expressions over the columns so far."""
@@ -265,16 +263,6 @@ def batches(p: Levels) -> list[list[tuple[str, str]]]:
     return out
 
 
-def computed(panel: DataFrame, names: list[str], ties: bool = False) -> DataFrame:
-    """symbol, date and the named formulas."""
-    p = Levels("spark", ties=ties)
-    made = {n: FORMULAS[n](p) for n in names}
-    rows = panel
-    for group in batches(p):
-        rows = rows.selectExpr("*", *(f"{x} AS {name}" for name, x in group))
-    return rows.selectExpr("symbol", "date", *(f"CAST({x} AS DOUBLE) + 0e0 AS {n}" for n, x in made.items()))
-
-
 def as_sql(names: list[str], source: str, ties: bool = False) -> str:
     """The same for DuckDB: one CTE a level over `source`."""
     p = Levels("duckdb", ties=ties)

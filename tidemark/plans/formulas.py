@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.functions import alphas
+from functools import partial
+
+from tidemark.functions import alphas, panel
 from tidemark.plans.register import query
 from tidemark.sources import views
 from tidemark.sources.views import DAILY
@@ -11,7 +13,7 @@ from tidemark.sources.views import DAILY
 def _register(names: list[str]) -> None:
     @query(f"al_{names[0]}_to_{names[-1][5:]}", f"WITH {DAILY}, {alphas.as_sql(names, 'daily', ties=True)}")
     def _(spark, d):
-        return alphas.computed(views.daily(spark, d), names, ties=True)
+        return panel.computed(partial(views.daily, spark, d), names, ties=True)
 
 
 _names = list(alphas.FORMULAS)

@@ -25,11 +25,17 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.from_ticks(ticks(spark, sf_dir), "1 hour")
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily rows out of lineitem: symbol, date, open, close, high, low, amount, volume, vwap."""
+def daily(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    """Daily rows out of lineitem: symbol, date, open, close, high, low, amount, volume, vwap.
+
+    `by`, symbol or date: rows that share it are in one partition, to which lines go as they are: there is little more than one for a day.
+    """
     li = table(spark, sf_dir, "lineitem")
     price, quantity = F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")
-    return li.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(
+    li = li.withColumns({"symbol": F.col("l_suppkey"), "date": F.to_date("l_shipdate")})
+    if by:
+        li = li.select("symbol", "date", "l_extendedprice", "l_quantity").repartition(by)
+    return li.groupBy("symbol", "date").agg(
         F.min(price).alias("open"), F.round(F.avg(price), 6).alias("close"), F.max(price).alias("high"), F.min(price).alias("low"),
         F.round(F.sum(price * quantity), 4).alias("amount"), F.sum(quantity).alias("volume"),
     ).withColumn("vwap", F.round(F.col("amount") / F.col("volume"), 6))
