@@ -428,6 +428,7 @@ def _first(ids: pa.ChunkedArray) -> np.ndarray:
 
 def kernel(steps: list[tuple[str, tuple]], outputs: list[str], ids: list[str], by: str, inputs: list[str], back: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Computes steps over sorted rows: with `back`, chunk by chunk behind so many earlier rows; without, over whole groups of equal `by`."""
+    chunk = CHUNK
 
     def computed(rows: pa.Table, skip: int) -> pa.RecordBatch:
         found = Rows(_columns(rows, inputs), _first(rows.column(by)))
@@ -445,7 +446,7 @@ def kernel(steps: list[tuple[str, tuple]], outputs: list[str], ids: list[str], b
                 continue
             held.append(pa.table(b))
             size += b.num_rows
-            if size - skip < CHUNK or back is None and held[0].column(by)[0].equals(b.column(by)[-1]):
+            if size - skip < chunk or back is None and held[0].column(by)[0].equals(b.column(by)[-1]):
                 continue
             rows = pa.concat_tables(held)
             if back is not None:
